@@ -8,6 +8,9 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "chat_format",
+    "warc",
+    "license_scan",
     "token_counts",
     "simhash_dedup",
 )
