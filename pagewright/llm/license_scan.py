@@ -146,11 +146,11 @@ def _oracle() -> str:
     last, every = len(RULES) - 1, range(len(RULES))
     return (
         r"WITH cut AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\n|[.!?;:]+\s+|[.!?;:]+$')) AS s, "
-        r"generate_subscripts(string_split_regex(coalesce(text, ''), '\n|[.!?;:]+\s+|[.!?;:]+$'), 1) AS at FROM documents), "
+        r"generate_subscripts(string_split_regex(coalesce(text, ''), '\n|[.!?;:]+\s+|[.!?;:]+$'), 1) AS pos FROM documents), "
         f"known AS (SELECT * FROM (VALUES {known}) v(sentence, id)), "
-        "hits AS (SELECT doc_id, at, id FROM cut JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), "
-        "seqs AS (SELECT doc_id, string_agg(id, ',' ORDER BY at) AS ids, count(*) AS n, "
-        "string_agg('(' || id || ')', '' ORDER BY at) AS seq0 FROM hits GROUP BY doc_id), "
+        "hits AS (SELECT doc_id, pos, id FROM cut JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))), "
+        "seqs AS (SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS ids, count(*) AS n, "
+        "string_agg('(' || id || ')', '' ORDER BY pos) AS seq0 FROM hits GROUP BY doc_id), "
         + ", ".join(steps)
         + " SELECT d.doc_id, coalesce(ids, '') AS sentence_ids, coalesce(n, 0) AS n_sentences, "
         f"concat_ws(',', {', '.join(f'm{n}' for n in every)}) AS licenses, "
