@@ -12,6 +12,7 @@ MODULES = (
     "warc",
     "license_scan",
     "token_counts",
+    "secret_scan",
     "simhash_dedup",
 )
 
