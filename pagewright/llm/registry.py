@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
+    "quality_rules",
     "chat_format",
     "warc",
     "license_scan",
