@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "quality_rules",
+    "quality_classifier",
     "decontamination",
     "chat_format",
     "warc",
