@@ -15,6 +15,7 @@ MODULES = (
     "warc",
     "license_scan",
     "token_counts",
+    "sentencepiece_lattice",
     "secret_scan",
     "simhash_dedup",
 )
