@@ -311,6 +311,26 @@ def segment(texts: list[str], seeds: list[int], model: Vocabulary, k: int) -> It
         yield [(p.ids(lattice, model), lp, q) for p, lp, q in best_first(lattice, fresh, noise, k)]
 
 
+def _mapped(docs: DataFrame, keep: list[str], seed: str, text: str, kinds: str, make, fields: list[tuple[str, pa.DataType]], path: str, k: int) -> DataFrame:
+    """Columns ``keep`` and what ``make`` derives from each text and its samples."""
+    inner = [f"c{i}" for i in range(len(keep))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = vocabulary(path)
+        for whole in batches:
+            for batch in pieces(whole, "text", 4 << 20):
+                texts = [x or "" for x in batch.column("text").to_pylist()]
+                seeds = batch.column("seed").to_pylist()
+                rows = [make(x, found, model) for x, found in zip(texts, segment(texts, seeds, model, k), strict=True)]
+                made = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)]
+                yield pa.record_batch([*(batch.column(c) for c in inner), *made], [*inner, *(n for n, _ in fields)])
+
+    chosen = docs.select(F.col(text).alias("text"), F.xxhash64(seed).alias("seed"), *[F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)])
+    schema = "".join(f"{i} {docs.schema[c].dataType.simpleString()}, " for c, i in zip(keep, inner, strict=True)) + kinds
+    out = chosen.mapInArrow(run, schema)
+    return out.select(*[F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)], *(n for n, _ in fields))
+
+
 SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())])
 
 
