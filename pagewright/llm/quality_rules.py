@@ -167,7 +167,8 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     narrow = with_features(own.select("text", "lang", "source"))
     judged = verdicts(with_features(own), thresholds(sketches(narrow)))
-    return judged.where("kept").select("_row.*")
+    # a generator, not a filter: a filter would be pushed down and repeat every expression it rests on
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("_row"))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,10 +125,11 @@ def shown(spans: str | Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: str = "text", mark: str = "[SECRET]", length: str | None = None) -> DataFrame:
     """``docs`` with every span of ``with_verdicts`` in ``text`` replaced by ``mark``; other rows are left as they are.
 
-    Overlapping spans are replaced as one.  Spans of the corpus are found first,
+    Overlapping spans are replaced as one.  Column ``length``, if named, becomes
+    the number of characters of texts that have changed.  Spans of the corpus are found first,
     without texts; the texts then meet the copied values of their own document.
     """
     found = with_verdicts(find_spans(docs, text), key, owner)
@@ -142,7 +143,10 @@ def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: st
 
     rest = lambda s: F.concat(s["out"], F.substring(whole, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, cut, rest)).otherwise(whole)
-    return found.withColumn(text, clean).select(*docs.columns)
+    out = found.withColumn("_clean", clean)
+    if length in docs.columns:
+        out = out.withColumn(length, F.when(F.size("spans") > 0, F.length("_clean").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.withColumn(text, F.col("_clean")).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
