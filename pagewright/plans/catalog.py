@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from pagewright.plans import url_queries  # noqa: F401
