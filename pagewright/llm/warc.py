@@ -29,9 +29,8 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EOL = "\r\n"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 of ``payload`` in base 32: each five hexadecimal digits give four characters."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """A SHA-1 in hexadecimal digits as base 32: each five digits give four characters."""
 
     def four(i: Column) -> Column:
         bits = F.conv(F.substring(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
@@ -50,12 +49,12 @@ def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
     keys are aggregated before the shuffle, and the join on the digest can be split.
     """
     full = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    sized = pages.withColumns({"payload_bytes": F.octet_length(full).cast("long"), "payload_digest": base32_sha1(full)})
-    first = sized.groupBy("payload_digest").agg(F.max(key).alias("_first"), F.count("*").alias("_copies"))
-    first = first.where("_copies > 1").select("payload_digest", "_first")
-    joined = sized.join(first, "payload_digest", "left")
+    hashed = pages.withColumn("_sha1", F.sha1(full))
+    first = hashed.groupBy("_sha1").agg(F.max(key).alias("_first"), F.count("*").alias("_copies"))
+    first = first.where("_copies > 1").select("_sha1", "_first")
+    joined = hashed.join(first, "_sha1", "left").withColumns({"payload_bytes": F.octet_length(full).cast("long"), "payload_digest": base32(F.col("_sha1"))})
     other = F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first")) & (F.col("payload_bytes") >= least_bytes)
-    return joined.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_first")
+    return joined.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_first", "_sha1")
 
 
 def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
