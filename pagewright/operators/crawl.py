@@ -18,19 +18,16 @@ def enqueue(offered: DataFrame, seen: DataFrame, max_depth: int, max_pages: int)
     """
     known = seen.select("key").distinct().withColumn("_known", F.lit(True))
     size = seen.agg(F.count("*").alias("_size"))
-    joined = offered.join(known, "key", "left").join(F.broadcast(size))
-    first = F.row_number().over(Window.partitionBy("key").orderBy("seq")) == 1
-    rows = joined.withColumn("_first", F.col("key").isNotNull() & first)
-    fresh = F.col("_first") & F.col("_known").isNull() & (F.col("depth") <= max_depth) & F.col("in_scope")
-    # the place among what may be let in; only the first max_pages of them matter, so the global order is of these keys alone
-    ranked = rows.where(fresh).select("key", "seq").orderBy("seq").limit(max_pages).withColumn("_place", F.row_number().over(Window.orderBy("seq")))
+    rows = offered.join(known, "key", "left").join(F.broadcast(size))
+    fresh = F.col("key").isNotNull() & F.col("_known").isNull() & (F.col("depth") <= max_depth) & F.col("in_scope")
+    # the first offer of each key that may be let in; only the first max_pages of these keys matter, so the global order is of them alone
+    firsts = rows.where(fresh).groupBy("key").agg(F.min("seq").alias("seq"))
+    ranked = firsts.orderBy("seq").limit(max_pages).withColumn("_place", F.row_number().over(Window.orderBy("seq")))
     placed = rows.join(F.broadcast(ranked.select("key", F.col("seq").alias("_seq"), "_place")), "key", "left")
-    last = ranked.agg(F.max("seq").alias("_last"), F.max("_place").alias("_most"))
-    full = placed.join(F.broadcast(last))
     room = F.lit(max_pages) - F.col("_size")
     let_in = (F.col("_place") <= room) & (F.col("seq") == F.col("_seq"))
     filled = ranked.join(F.broadcast(size)).where(F.col("_place") == F.lit(max_pages) - F.col("_size")).agg(F.min("seq").alias("_filled"))
-    full = full.join(F.broadcast(filled))
+    full = placed.join(F.broadcast(filled))
     at_limit = (room <= 0) | (F.col("seq") > F.col("_filled"))
     earlier = F.col("_known").isNotNull() | ((F.col("_place") <= room) & (F.col("seq") > F.col("_seq")))
     status = (
