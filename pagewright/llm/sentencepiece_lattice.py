@@ -21,7 +21,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm.arrow import pieces
+from pagewright.llm.tables import IntTable
 from pagewright.plans.session import table
 
 NAME = "op8_sentencepiece_sampling"
@@ -42,6 +43,8 @@ RANK_OFFSET, LAST_RANK = 10.0, 32_000.0
 BYTE_SCORE = -np.log(LAST_RANK + RANK_OFFSET)
 #: Fixed value: the mark that stands for a space.
 SPACE = "▁"
+#: Steps of a path whose regions are looked at one by one.
+AHEAD = 64
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
@@ -58,6 +61,9 @@ class Vocabulary:
         self.ascii_ids = np.array([self.byte_ids.get(b, 0) for b in range(128)], np.int64)
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.skipped = frozenset(i for i in range(n) if model.is_control(i) or model.is_unknown(i))
+        self.unusual = np.zeros(n, bool)
+        self.unusual[[*self.skipped, *(i for b, i in self.byte_ids.items() if b >= 0x80)]] = True
+        self.shown = np.array([chr(self.byte_of[i]) if i in self.byte_of else t.replace(SPACE, " ") for i, t in enumerate(self.texts)], object)
         own = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and self.texts[i]]
         crossing = re.compile(f"[^{SPACE}]{SPACE}|\n.|.\n")
         if any(crossing.search(self.texts[i]) for i in own):
@@ -73,35 +79,35 @@ class Vocabulary:
                 if at == len(piece):
                     piece.append(-1)
             piece[at] = i
-        keys = np.array([(a << 21) | c for a, c in nodes], np.int64)
-        by = np.argsort(keys)
-        self.keys, self.children, self.piece = keys[by], np.array(list(nodes.values()), np.int64)[by], np.array(piece, np.int64)
-
-    def child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
-        key = (node << 21) | char
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.children[at], -1)
-
-    def decode(self, ids: list[int]) -> str:
+        letters = sorted({c for _, c in nodes})
+        if len(letters) >= 1 << 14 or len(piece) >= 1 << 17:
+            raise ValueError("a vocabulary of more letters or prefixes than its table can hold")
+        self.letters = np.zeros(1 << 21, np.int32)  # numbers from 1; 0 for characters that no piece has
+        self.letters[letters] = np.arange(1, len(letters) + 1)
+        keys = np.array([(a << 14) | int(self.letters[c]) for a, c in nodes], np.int64)
+        self.table = IntTable(keys, np.array(list(nodes.values()), np.int64))
+        self.starts = self.table.get(np.arange(len(letters) + 1, dtype=np.int32))
+        self.piece = np.array(piece, np.int32)
+
+    def child(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        return self.table.get((node << 14) | letter)
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of a sequence of ids: bytes joined, space marks as spaces, without the one that every text begins with."""
+        found = np.asarray(ids, np.int32)
+        if not self.unusual[found].any():
+            return "".join(self.shown[found].tolist()).removeprefix(" ")
         out, held = [], bytearray()
-        texts, byte_of, skipped = self.texts, self.byte_of, self.skipped
-        if byte_of.keys().isdisjoint(ids) and skipped.isdisjoint(ids):
-            whole = "".join(map(texts.__getitem__, ids))
-        else:
-            for i in ids:
-                if i in byte_of:
-                    held.append(byte_of[i])
-                    continue
-                if held:
-                    out.append(held.decode(errors="replace"))
-                    held = bytearray()
-                if i not in skipped:
-                    out.append(texts[i])
-            if held:
-                out.append(held.decode(errors="replace"))
-            whole = "".join(out)
-        return whole.replace(SPACE, " ").removeprefix(" ")
+        for i in found.tolist():
+            if i in self.byte_of:
+                held.append(self.byte_of[i])
+                continue
+            out.append(held.decode(errors="replace"))
+            held.clear()
+            if i not in self.skipped:
+                out.append(self.shown[i])
+        out.append(held.decode(errors="replace"))
+        return "".join(out).removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
@@ -120,51 +126,51 @@ class Lattice:
     """
 
     def __init__(self, vocabulary: Vocabulary, units: list[str]):
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
-        unit = np.repeat(np.arange(len(units)), lengths)
-        self.first = np.cumsum(lengths) - lengths + np.arange(len(units))
+        lengths = np.fromiter(map(len, units), np.int32, len(units))
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int32)
+        letters = vocabulary.letters[chars]
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), lengths)
+        self.first = np.cumsum(lengths, dtype=np.int32) - lengths + np.arange(len(units), dtype=np.int32)
         self.last = self.first + lengths
         self.nodes = len(chars) + len(units)
-        place = np.arange(len(chars))
-        own = place + unit
-        left = self.last[unit] - own
-        node, open_ = np.zeros(len(chars), np.int64), place
-        begins, sizes, found, size = [], [], [], 0
+        own = np.arange(len(chars), dtype=np.int32) + unit
+        left = np.repeat(self.last, lengths) - own
+        node, open_ = vocabulary.starts[letters], np.arange(len(chars), dtype=np.int32)
+        begins, found, size = [], [], 1
         alone = np.ones(len(chars), bool)
-        while len(open_):
-            node = vocabulary.child(node, chars[open_ + size])
-            size += 1
-            on = node >= 0
+        while True:
+            on = np.flatnonzero(node >= 0)
             open_, node = open_[on], node[on]
             piece = vocabulary.piece[node]
-            hit = piece >= 0
+            hit = np.flatnonzero(piece >= 0)
             begins.append(open_[hit])
-            sizes.append(np.full(len(begins[-1]), size))
             found.append(piece[hit])
             if size == 1:
                 alone[begins[0]] = False
-            on = left[open_] > size
+            on = np.flatnonzero(left[open_] > size)
+            if not len(on):
+                break
             open_, node = open_[on], node[on]
-        alone = np.flatnonzero(alone)
-        begin, size = np.concatenate((*begins[::-1], alone)), np.concatenate((*sizes[::-1], np.ones(len(alone), np.int64)))
-        known = np.concatenate(found[::-1]) if found else np.zeros(0, np.int64)
+            node = vocabulary.child(node, letters[open_ + size])
+            size += 1
+        sizes = [np.full(len(x), i + 1, np.int32) for i, x in enumerate(begins)]
+        alone = np.flatnonzero(alone).astype(np.int32)
+        begin, size = np.concatenate((*begins[::-1], alone)), np.concatenate((*sizes[::-1], np.ones(len(alone), np.int32)))
+        known = np.concatenate(found[::-1])
         bytes_of = chars[alone]
-        piece = np.concatenate((known, np.where(bytes_of < 0x80, vocabulary.ascii_ids[bytes_of & 0x7F], -1 - bytes_of)))
+        piece = np.concatenate((known, np.where(bytes_of < 0x80, vocabulary.ascii_ids[bytes_of & 0x7F], -1 - bytes_of).astype(np.int32)))
         width = 1 + (bytes_of > 0x7F).astype(int) + (bytes_of > 0x7FF) + (bytes_of > 0xFFFF)
         score = np.concatenate((vocabulary.scores[known], BYTE_SCORE * width))
         source = own[begin]
         by = np.argsort(source, kind="stable")  # long pieces first, as they are likely
-        self.source, size, self.piece = source[by], size[by], piece[by].astype(np.int32)
+        self.source, size, self.piece = source[by], size[by], piece[by]
         self.target = self.source + size
         self.spelled = bool((self.piece < 0).any())
         self.log = self._conditional(score[by], left[begin[by]])
-        self.begin = np.searchsorted(self.source, np.arange(self.nodes + 1))
-        self.share = np.exp(self.log)
-        with np.errstate(divide="ignore"):
-            self.rest = np.log1p(-self.share)
-        upto = np.cumsum(self.share)
-        self.upto = upto - np.concatenate(([0.0], upto))[self.begin[self.source]]
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(self.source, minlength=self.nodes)))).astype(np.int32)
+        upto = np.cumsum(np.exp(self.log))
+        upto -= np.concatenate(([0.0], upto))[self.begin[self.source]]
+        self.upto = upto.astype(np.float32)
         self.upto[self.begin[1:][np.diff(self.begin) > 0] - 1] = 2.0
 
     def _conditional(self, score: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -206,7 +212,7 @@ class Lattice:
         for step, w in enumerate(who):
             counts[w] = step + 1
         ends = np.cumsum(counts)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         for step, (w, e) in enumerate(zip(who, edges, strict=True)):
             out[ends[w] - counts[w] + step] = e
         return out, ends
@@ -215,8 +221,13 @@ class Lattice:
 class Path:
     """A segmentation: its edges, and where each word ends among them."""
 
-    def __init__(self, edges: np.ndarray, ends: np.ndarray):
-        self.edges, self.ends = edges, ends
+    def __init__(self, lattice: Lattice, edges: np.ndarray, ends: np.ndarray):
+        self.lattice, self.edges, self.ends = lattice, edges, ends
+
+    @cached_property
+    def log(self) -> float:
+        """The log-probability of the path."""
+        return float(self.lattice.log[self.edges].sum())
 
     def ids(self, lattice: Lattice, vocabulary: Vocabulary) -> np.ndarray:
         found = lattice.piece[self.edges]
@@ -225,18 +236,57 @@ class Path:
         return np.asarray(found, np.int32)
 
 
+def _rest(log: np.ndarray) -> np.ndarray:
+    """Log-probabilities of all other edges of the nodes that these edges leave."""
+    with np.errstate(divide="ignore"):
+        return np.log1p(-np.exp(log))
+
+
+def _truncated(mass: np.ndarray, bound: float, noise: np.random.Generator) -> np.ndarray:
+    """Gumbel values of regions of these log-masses, below ``bound``."""
+    return -np.logaddexp(-bound, -mass - noise.gumbel(size=len(mass)))
+
+
+def _best(value: np.ndarray, most: int) -> np.ndarray:
+    order = np.argpartition(-value, most - 1)[:most] if len(value) > most else np.arange(len(value))
+    return order[value[order] > -np.inf]
+
+
 def _children(lattice: Lattice, path: Path, step: int, excluded: list[int], bound: float, noise: np.random.Generator, number: int, most: int) -> list[tuple]:
-    """The best ``most`` regions of what is left of a region once ``path`` is taken out of it."""
-    edges = path.edges[step:]
-    mass = np.cumsum(lattice.log[edges])
-    mass = np.concatenate(([0.0], mass[:-1])) + float(lattice.log[path.edges[:step]].sum()) + lattice.rest[edges]
+    """The best ``most`` regions of what is left of a region once ``path`` is taken out of it.
+
+    Paths that first differ beyond the next ``AHEAD`` steps are one region, which
+    is split only if its turn comes: there, its excluded choices are None.
+    """
+    before = float(lattice.log[path.edges[:step]].sum())
+    edges = path.edges[step : step + AHEAD]
+    log = lattice.log[edges]
+    upto = before + np.cumsum(log)
+    mass = np.concatenate(([before], upto[:-1])) + _rest(log)
     if excluded:
-        before = float(lattice.log[path.edges[:step]].sum())
-        free = 1.0 - float(lattice.share[[*excluded, edges[0]]].sum())
+        free = 1.0 - float(np.exp(lattice.log[[*excluded, edges[0]]]).sum())
         mass[0] = before + np.log(free) if free > 1e-12 else -np.inf
-    value = -np.logaddexp(-bound, -mass - noise.gumbel(size=len(edges)))
-    best = np.argpartition(-value, most - 1)[:most] if len(value) > most else np.arange(len(value))
-    return [(-float(value[i]), number, step + int(i), path, [*excluded, int(edges[0])] if i == 0 else [int(edges[i])]) for i in best if value[i] > -np.inf]
+    end = step + len(edges)
+    if end < len(path.edges):
+        left = -np.expm1(path.log - upto[-1])
+        mass = np.append(mass, upto[-1] + np.log(left) if left > 0 else -np.inf)
+    value = _truncated(mass, bound, noise)
+    out = []
+    for i in _best(value, most).tolist():
+        barred = None if i == len(edges) else [*excluded, int(edges[0])] if i == 0 else [int(edges[i])]
+        out.append((-float(value[i]), number, step + i, path, barred))
+    return out
+
+
+def _split(lattice: Lattice, path: Path, step: int, value: float, noise: np.random.Generator, number: int, most: int) -> list[tuple]:
+    """The best ``most`` parts of the region of paths that differ from ``path`` at ``step`` or later: one of them has its value."""
+    edges = path.edges[step:]
+    log = lattice.log[edges]
+    mass = np.concatenate(([0.0], np.cumsum(log)[:-1])) + _rest(log)
+    chosen = int(np.argmax(mass + noise.gumbel(size=len(mass))))
+    values = _truncated(mass, value, noise)
+    values[chosen] = value
+    return [(-float(values[i]), number, step + i, path, [int(edges[i])]) for i in _best(values, most).tolist()]
 
 
 def _resampled(lattice: Lattice, path: Path, step: int, excluded: list[int], fresh: Path, noise: np.random.Generator) -> Path | None:
@@ -246,7 +296,7 @@ def _resampled(lattice: Lattice, path: Path, step: int, excluded: list[int], fre
     choices = [e for e in range(int(lattice.begin[node]), int(lattice.begin[node + 1])) if e not in excluded]
     if not choices:
         return None
-    share = np.cumsum(lattice.share[choices])
+    share = np.cumsum(np.exp(lattice.log[choices]))
     tail = [choices[min(int(np.searchsorted(share, noise.random() * share[-1], "right")), len(choices) - 1)]]
     last = int(lattice.last[np.searchsorted(lattice.last, node)])
     while (node := int(lattice.target[tail[-1]])) < last:
@@ -256,8 +306,9 @@ def _resampled(lattice: Lattice, path: Path, step: int, excluded: list[int], fre
         tail.append(edge)
     at, behind = step + len(tail), int(fresh.ends[word])
     return Path(
-        np.concatenate((path.edges[:step], tail, fresh.edges[behind:])).astype(np.int64),
-        np.concatenate((path.ends[:word], [at], fresh.ends[word + 1 :] - behind + at)).astype(np.int64),
+        lattice,
+        np.concatenate((path.edges[:step], np.array(tail, path.edges.dtype), fresh.edges[behind:])),
+        np.concatenate((path.ends[:word], np.array([at], path.ends.dtype), fresh.ends[word + 1 :] + (at - behind))),
     )
 
 
@@ -270,13 +321,18 @@ def best_first(lattice: Lattice, fresh: list[Path], noise: np.random.Generator,
     step, excluded, out, agenda = 0, [], [], []
     while True:
         if path is not None:
-            out.append((path, float(lattice.log[path.edges].sum())))
+            out.append((path, path.log))
             for child in _children(lattice, path, step, excluded, value, noise, len(out), k):
                 heapq.heappush(agenda, child)
         if len(out) == k or not agenda:
             break
         low, _, step, parent, excluded = heapq.heappop(agenda)
         value = -low
+        if excluded is None:
+            path = None
+            for child in _split(lattice, parent, step, value, noise, len(out), k + 1):
+                heapq.heappush(agenda, child)
+            continue
         path = _resampled(lattice, parent, step, excluded, fresh[len(out)], noise)
     border = -agenda[0][0] if agenda else -np.inf
     with np.errstate(over="ignore"):
@@ -307,31 +363,48 @@ def segment(texts: list[str], seeds: list[int], model: Vocabulary, k: int) -> It
         fresh = []
         for edges, ends in drawn:
             start = int(ends[a - 1]) if a else 0
-            fresh.append(Path(edges[start : int(ends[a + n - 1])], ends[a : a + n] - start))
+            fresh.append(Path(lattice, edges[start : int(ends[a + n - 1])], ends[a : a + n] - start))
         yield [(p.ids(lattice, model), lp, q) for p, lp, q in best_first(lattice, fresh, noise, k)]
 
 
-def _mapped(docs: DataFrame, keep: list[str], seed: str, text: str, kinds: str, make, fields: list[tuple[str, pa.DataType]], path: str, k: int) -> DataFrame:
-    """Columns ``keep`` and what ``make`` derives from each text and its samples."""
+#: Bytes of text whose lattices a task holds at once.
+SLICE_BYTES = 1 << 20
+
+
+def _mapped(docs: DataFrame, keep: list[str], seed: str, text: str, build, fields: list[tuple[str, str]], path: str, k: int) -> DataFrame:
+    """Columns ``keep`` and those that ``build`` makes of texts and their samples."""
     inner = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
         for whole in batches:
-            for batch in pieces(whole, "text", 4 << 20):
+            for batch in pieces(whole, "text", SLICE_BYTES):
                 texts = [x or "" for x in batch.column("text").to_pylist()]
-                seeds = batch.column("seed").to_pylist()
-                rows = [make(x, found, model) for x, found in zip(texts, segment(texts, seeds, model, k), strict=True)]
-                made = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)]
+                made = build(texts, segment(texts, batch.column("seed").to_pylist(), model, k), model)
                 yield pa.record_batch([*(batch.column(c) for c in inner), *made], [*inner, *(n for n, _ in fields)])
 
     chosen = docs.select(F.col(text).alias("text"), F.xxhash64(seed).alias("seed"), *[F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)])
-    schema = "".join(f"{i} {docs.schema[c].dataType.simpleString()}, " for c, i in zip(keep, inner, strict=True)) + kinds
-    out = chosen.mapInArrow(run, schema)
+    kinds = [(i, docs.schema[c].dataType.simpleString()) for c, i in zip(keep, inner, strict=True)]
+    out = chosen.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in [*kinds, *fields]))
     return out.select(*[F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)], *(n for n, _ in fields))
 
 
-SAMPLE = pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("inclusion", pa.float64())])
+def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+
+
+def _sample_column(texts: list[str], found: Iterator[list[tuple]], model: Vocabulary) -> list[pa.Array]:
+    ids, sizes, logs, shares, counts = [], [], [], [], []
+    for row in found:
+        counts.append(len(row))
+        for i, log, share in row:
+            ids.append(i)
+            sizes.append(len(i))
+            logs.append(log)
+            shares.append(share)
+    flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+    one = pa.StructArray.from_arrays([_lists(flat, sizes), pa.array(logs, pa.float64()), pa.array(shares, pa.float64())], ["ids", "log_prob", "inclusion"])
+    return [_lists(one, counts)]
 
 
 def sample_segmentations(docs: DataFrame, model_path: str, keep: list[str], key: str = "doc_id", text: str = "text", k: int = SAMPLES) -> DataFrame:
@@ -342,11 +415,8 @@ def sample_segmentations(docs: DataFrame, model_path: str, keep: list[str], key:
     equal key and text have equal samples; an empty table gives no rows.
     """
 
-    def make(_, found, __):
-        return ([{"ids": i, "log_prob": lp, "inclusion": q} for i, lp, q in found],)
-
-    kinds = "samples array<struct<ids:array<int>,log_prob:double,inclusion:double>>"
-    return _mapped(docs, keep, key, text, kinds, make, [("samples", pa.list_(SAMPLE))], model_path, k)
+    fields = [("samples", "array<struct<ids:array<int>,log_prob:double,inclusion:double>>")]
+    return _mapped(docs, keep, key, text, _sample_column, fields, model_path, k)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str, into: str) -> DataFrame:
@@ -365,13 +435,16 @@ def decode(encoded: DataFrame, model_path: str, ids: str, into: str) -> DataFram
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    def make(text, found, model):
-        digest = hashlib.sha256(b"".join(len(ids).to_bytes(8, "little") + ids.astype("<i4").tobytes() for ids, _, _ in found)).hexdigest()
-        back = all(model.decode(ids.tolist()) == text.replace(SPACE, " ") for ids, _, _ in found)
-        distinct = len({ids.tobytes() for ids, _, _ in found})
-        return len(found[0][0]), distinct, found[0][1], found[0][2], min(q for _, _, q in found), digest, back
-
-    names = [("n_pieces", pa.int64()), ("n_samples", pa.int64()), ("log_prob", pa.float64()), ("inclusion", pa.float64()), ("least_inclusion", pa.float64()), ("ids_sha256", pa.string()), ("decoded", pa.bool_())]
-    kinds = "n_pieces bigint, n_samples bigint, log_prob double, inclusion double, least_inclusion double, ids_sha256 string, decoded boolean"
+    def build(texts, samples, model):
+        rows = []
+        for text, found in zip(texts, samples, strict=True):
+            digest = hashlib.sha256(b"".join(len(ids).to_bytes(8, "little") + ids.astype("<i4").tobytes() for ids, _, _ in found)).hexdigest()
+            back = all(model.decode(ids) == text.replace(SPACE, " ") for ids, _, _ in found)
+            distinct = len({ids.tobytes() for ids, _, _ in found})
+            rows.append((len(found[0][0]), distinct, found[0][1], found[0][2], min(q for _, _, q in found), digest, back))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
+        return [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+
+    fields = [("n_pieces", "bigint"), ("n_samples", "bigint"), ("log_prob", "double"), ("inclusion", "double"), ("least_inclusion", "double"), ("ids_sha256", "string"), ("decoded", "boolean")]
     docs = table(spark, sf_dir, "documents")
-    return _mapped(docs, ["doc_id"], "doc_id", "text", kinds, make, names, public_tokenizers.path("piece_bpe_32k.model"), SAMPLES)
+    return _mapped(docs, ["doc_id"], "doc_id", "text", build, fields, public_tokenizers.path("piece_bpe_32k.model"), SAMPLES)

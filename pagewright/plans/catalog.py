@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from pagewright.plans import flow_queries, page_queries, site_queries, store_queries, text_queries, url_queries  # noqa: F401
+from pagewright.plans import flow_queries, page_queries, site_queries, source_queries, store_queries, text_queries, url_queries  # noqa: F401

@@ -1,0 +1,45 @@
+"""The pipeline's stages, and the queries of the subpackage against DuckDB."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pagewright.llm import registry
+
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+
+
+def test_stages_keep_the_columns_and_take_effect(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf).cache()
+        counts.append(out.count())
+        if name == "secrets":
+            assert counts[-1] == counts[-2]
+            assert out.where(F.col("text").rlike("[0-9a-f]{16,}")).count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == columns
+        docs = out
+    assert before > counts[0] > counts[1] >= counts[2] == counts[3] == counts[4]
+    assert set(docs.columns) >= {"doc_id", "ids", "log_prob", "inclusion"}
+
+
+def test_run_equals_its_stages(spark, sf):
+    rows = corpus_pipeline.run(spark, sf)
+    assert rows.select("doc_id").distinct().count() == rows.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_its_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    result = con.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    want = sorted(map(repr, result.fetchall()))
+    got = registry.queries()[name](spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == want
