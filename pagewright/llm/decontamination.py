@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.llm.arrow import byte_texts, pieces
 from pagewright.llm.fm_index import FMIndex
@@ -132,18 +133,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
     sc = docs.sparkSession.sparkContext
     inner = [f"c{i}" for i in range(len(keep))]
     state = docs.select(F.col(text).alias("text"), *[F.col(k).alias(c) for k, c in zip(keep, inner, strict=True)], F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    kinds = ", ".join(f"{c} {docs.schema[k].dataType.simpleString()}" for k, c in zip(keep, inner, strict=True))
+    kinds = [T.StructField(c, docs.schema[k].dataType) for k, c in zip(keep, inner, strict=True)]
     blocks = _blocks(benchmark, item, item_text)
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
-        carried = [*inner] if following is None else ["text", *inner]
-        state = _searched(state, sc.broadcast(Windows(block)), carried, ("" if following is None else "text string, ") + kinds)
+        carried = kinds if following is None else [T.StructField("text", T.StringType()), *kinds]
+        state = _searched(state, sc.broadcast(Windows(block)), carried)
         block = following
     return state.select(*[F.col(c).alias(k) for k, c in zip(keep, inner, strict=True)], "n_words", "spans", "items")
 
 
-def _searched(state: DataFrame, windows, carried: list[str], kinds: str) -> DataFrame:
+def _searched(state: DataFrame, windows, kinds: list[T.StructField]) -> DataFrame:
+    carried = [x.name for x in kinds]
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +162,7 @@ def _searched(state: DataFrame, windows, carried: list[str], kinds: str) -> Data
                 out += [pa.array(sizes, pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x] for x in spans], span), pa.array(items, pa.list_(pa.string()))]
                 yield pa.record_batch(out, [*carried, "n_words", "spans", "items"])
 
-    return state.mapInArrow(run, f"{kinds}, n_words bigint, spans {SPANS}, items array<string>")
+    return state.mapInArrow(run, T.StructType([*kinds, *T.StructType.fromDDL(f"n_words bigint, spans {SPANS}, items array<string>")]))
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -170,8 +172,9 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, as they are."""
-    return judged(find_contamination(docs, benchmark, docs.columns, text)).where("not contaminated").select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, as they are; its columns may have any names."""
+    rows = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    return judged(find_contamination(rows, benchmark, ["row"])).where("not contaminated").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     key = values.copy()
     for k in range(1, depth):
         key <<= bits
-        key[: n - k] |= values[k:]
+        key[: max(n - k, 0)] |= values[k:]
     order = np.argsort(key, kind="stable")
     slots = np.arange(n)
     rank = np.empty(n, np.int64)
