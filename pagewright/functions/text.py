@@ -86,7 +86,7 @@ def extract_json(t: Column) -> Column:
 
 
 def sanitize_data_url(t: Column) -> Column:
-    return F.when(F.startswith(t, F.lit("data:")) & (F.length(t) > 500), "[data url removed]").otherwise(t)
+    return F.when(F.startswith(t, F.lit("data:")) & (F.length(t) > 500), "[DATA_URI_TRUNCATED]").otherwise(t)
 
 
 def estimate_tokens(t: Column) -> Column:

@@ -124,3 +124,35 @@ def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np
             guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
         out[i] = (int(line[i - step]) + guess) & 255
     return out[step:].astype(np.uint8)
+
+
+def _mapped(rows: DataFrame, key: str, inner: list[str], make, schema: str) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [make(*x) for x in zip(*(batch[c] for c in inner), strict=True)]
+            out = pd.DataFrame(made, columns=names)
+            out.insert(0, "key", batch["key"].to_numpy())
+            yield out
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("key"), *inner).mapInPandas(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
+
+
+def encoded(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, png) of images (key, width, height, rgba); null where the sizes do not fit."""
+    good = lambda w, h, d: d is not None and w > 0 and h > 0 and len(d) == w * h * 4
+    return _mapped(rows, key, ["width", "height", "rgba"], lambda w, h, d: (encode_png(int(w), int(h), bytes(d)) if good(w, h, d) else None,), "png binary")
+
+
+def decoded(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, width, height, rgba, error) of files (key, png); error tells of files that cannot be read."""
+
+    def one(png):
+        try:
+            return (*decode_png(bytes(png)), None)
+        except (TypeError, ValueError, struct.error, zlib.error):
+            return None, None, None, "invalid_image"
+
+    return _mapped(rows, key, ["png"], one, "width int, height int, rgba binary, error string")
