@@ -131,10 +131,14 @@ def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: st
     Overlapping spans are replaced as one.  Column ``length``, if named, becomes
     the number of characters of texts that have changed.  Spans of the corpus are found first,
     without texts; the texts then meet the copied values of their own document.
+    Other columns may have any names; null and empty texts have no spans,
+    repeated rows stay, and an empty table stays empty.
     """
-    found = with_verdicts(find_spans(docs, text), key, owner)
+    rest_of = [c for c in docs.columns if c != text]
+    own = docs.select(F.struct(*rest_of).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"), F.col(owner).alias("owner"))
+    found = with_verdicts(find_spans(own), "key", "owner")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    whole = F.col(text)
+    whole = F.col("text")
 
     def cut(state: Column, s: Column) -> Column:
         gap = F.substring(whole, (state["at"] + 1).cast("int"), F.greatest(F.lit(0), (s["begin"] - state["at"]).cast("int")))
@@ -143,10 +147,16 @@ def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: st
 
     rest = lambda s: F.concat(s["out"], F.substring(whole, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))
     clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, cut, rest)).otherwise(whole)
-    out = found.withColumn("_clean", clean)
-    if length in docs.columns:
-        out = out.withColumn(length, F.when(F.size("spans") > 0, F.length("_clean").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return out.withColumn(text, F.col("_clean")).select(*docs.columns)
+    out = found.withColumn("clean", clean)
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("clean").alias(name)
+        if name == length:
+            return F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema[name].dataType)).otherwise(F.col("row")[name]).alias(name)
+        return F.col("row")[name].alias(name)
+
+    return out.select(*map(column, docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,8 +393,10 @@ def test_secret_redaction(spark, clashing, empty):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text"))
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_scan.redact(docs, length="n_chars").collect()}
     assert got == {0: ("a [SECRET] b [SECRET]", 21), 1: ("clean", 5), 2: (None, None)}
-    odd = clashing.drop("spans")
-    assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(odd).count() == odd.count()
+    odd = clashing.withColumns({c: F.lit(2) for c in ("row", "owner", "clean", "_copied", "base_spans", "candidates")})
+    done = secret_scan.redact(odd)
+    assert done.columns == odd.columns and done.count() == odd.count()
+    assert {(r["spans"], r["row"], r["clean"]) for r in done.collect()} == {(1, 2, 2)}
     assert secret_scan.redact(empty).count() == 0
 
 
