@@ -29,6 +29,9 @@ ORACLE_SQL = None
 
 #: Fixed values of the shingle hash.
 SEED, SHINGLE_WORDS, MOST_BITS = 42, 3, 2
+#: Fingerprints with at least so many copies are joined by broadcast; so are at most MOST_HOT of them, as a hot one
+#: has at least one in MOST_HOT of all rows.
+HOT_COPIES, MOST_HOT = 1_000, 50_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -109,16 +112,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Repeated rows share a fingerprint and so a component; texts without words
     all have fingerprint zero.  Null keys take part but never name a component
     (it is null where no other key is there).  An empty table gives no rows;
-    other columns of ``docs`` are not read.
+    other columns of ``docs`` are not read.  A fingerprint that many rows share is
+    never gathered: its component is sent to where its rows are.
     """
     fps = cut_lineage(fingerprints(docs, key, text))
-    distinct = cut_lineage(fps.groupBy("fp").agg(F.min(key).alias("least")))
+    distinct = cut_lineage(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")))
     roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     grouped = distinct.join(roots, "fp").select("fp", "root", "least")
     ids = grouped.groupBy("root").agg(F.min("least").alias("id"))
     linked = grouped.join(ids, "root").select("fp", "id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
-    return fps.join(named, "fp").select(key, "fp", "component_id")
+    named = cut_lineage(distinct.join(linked, "fp", "left").select("fp", "copies", F.coalesce("id", "least").alias("component_id")))
+    rows = distinct.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") >= max(HOT_COPIES, -(-rows // MOST_HOT))
+    hot = named.where(is_hot).drop("copies")
+    many = fps.join(F.broadcast(hot), "fp")
+    few = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.where(~is_hot).drop("copies"), "fp")
+    return many.unionByName(few).select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

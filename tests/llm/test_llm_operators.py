@@ -429,7 +429,9 @@ def plain_components(fps):
     return {f: find(f) for f in keys}
 
 
-def test_simhash_equals_brute_force(docs):
+@pytest.mark.parametrize("hot", [simhash_dedup.HOT_COPIES, 2])
+def test_simhash_equals_brute_force(docs, monkeypatch, hot):
+    monkeypatch.setattr(simhash_dedup, "HOT_COPIES", hot)
     rows = simhash_dedup.near_duplicates(docs).collect()
     fps = [(r[0], plain_fingerprint(r[1])) for r in odd_documents()]
     root = plain_components([f for _, f in fps])
