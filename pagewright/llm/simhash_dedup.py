@@ -137,11 +137,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows with a null key stay only where their component has no other key.
     """
     found = near_duplicates(docs, key, text)
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    kept = docs.join(first, docs[key].eqNullSafe(first["_kept"]), "left_semi")
+    # one column that a null key has as well, so that the join and the grouping share one shuffle of the texts
+    named = F.concat(F.col(key).isNull().cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(named.alias("name")).distinct()
     rest = [c for c in docs.columns if c != key]
-    one = kept.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
-    return one.select(*[F.col(key) if c == key else F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = docs.select(named.alias("name"), F.col(key).alias("key"), F.struct(*rest).alias("row"))
+    one = rows.join(first, "name", "left_semi").groupBy("name").agg(F.first("key").alias("key"), F.min("row").alias("row"))
+    return one.select(*[F.col("key").alias(c) if c == key else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
