@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules.
 
-Each text is cut into sentences, which are normalised and mapped to the
-identifiers of known licence sentences.  What is left of a text is a sequence of
+Each text is normalised to words and the marks between them, and known licence
+sentences are looked for between two marks.  Line ends and ;: are marks that a
+sentence may go across, so texts may be wrapped and commented out; full stops and
+empty lines are marks that it may not.  What is left of a text is a sequence of
 identifiers, against which ordered rules are matched: a rule is itself a
 sequence of identifiers that must follow one another.  Earlier rules come first,
 and the identifiers a rule has used are not used again.
@@ -18,8 +20,8 @@ from pagewright.plans.session import table
 
 NAME = "op6_license_scan"
 
-#: Known sentences of licences, normalised, with their identifiers.
-SENTENCES = (
+#: One-line notices and beginnings of sentences, as the SQL has them.
+SHORT_SENTENCES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "a1"),
     ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "a2"),
     ("the software is provided as is without warranty of any kind express or implied", "a3"),
@@ -44,8 +46,52 @@ SENTENCES = (
     ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "f3"),
 )
 
-#: Rules in the order in which they are tried; whether the licence permits reuse for training.
-RULES = (
+_MIT, _GPL = "this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "* is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_APACHE = "https www apache org licenses license 2 0"
+
+#: Full sentences of licences and their usual variants; a star is one to eight words.
+FULL_SENTENCES = (
+    (f"permission is hereby granted free of charge to any person obtaining a copy of {_MIT}", "a1"),
+    ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software", "a2"),
+    *((f"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and {x}", "a3") for x in ("noninfringement", "non infringement")),
+    *((f"{x} under the {y}mit license{z}", "a4") for x in ("this project is licensed", "this software is licensed", "this software is released") for y in ("", "terms of the ") for z in ("", " see the license file for details", " see license file for details", " see the license license file for details", " see the license md file for details", " see the license md license md file for details", " see the license license md file for details")),
+    *((f"{x} under the terms of the mit license", "a4") for x in ("licensed", "released", "distributed")),
+    ("distributed under the mit license", "a4"),
+    *((f"{x} the apache license version 2 0 the license", "b1") for x in ("licensed under", "the asf licenses this file to you under", "* licenses this file to you under")),
+    *((f"you may obtain a copy of the license at {x}", "b3") for x in (_APACHE, _APACHE.replace("https", "http"))),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "b4"),
+    ("apache license version 2 0 january 2004", "b5"),
+    *((f"{_GPL} {x}", i) for v, i in (("3", "c3"), ("2", "c5")) for x in (
+        f"as published by the free software foundation either version {v} of the license or at your option any later version",
+        f"as published by the free software foundation either version {v} of the license or any later version",
+        f"as published by the free software foundation either version {v} of the license",
+        f"as published by the free software foundation version {v} of the license",
+        f"as published by the free software foundation version {v}",
+        f"version {v} as published by the free software foundation",
+        f"version {v}",
+    )),
+    (f"{_GPL} as published by the free software foundation", "c6"),
+    ("* is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "c4"),
+    ("* is distributed in the hope that it will be useful but without any warranty", "c4"),
+    ("gnu general public license version 3 29 june 2007", "c7"),
+    ("gnu general public license version 2 june 1991", "c8"),
+    *((f"this work is licensed under {x} creative commons attribution {y}4 0 international license", i) for x in ("a", "the") for y, i in (("", "d2"), ("noncommercial ", "d1"), ("sharealike ", "d3"))),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer without modification", "f2"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "f3"),
+    ("neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission", "f4"),
+    ("the name of * may not be used to endorse or promote products derived from this software without specific prior written permission", "f4"),
+    ("all advertising materials mentioning features or use of this software must display the following acknowledgement", "f5"),
+    *((f"spdx license identifier {x}", i) for x, i in (
+        ("mit", "a4"), ("apache 2 0", "b1"), ("bsd 2 clause", "f6"), ("bsd 3 clause", "f7"), ("cc by nc 4 0", "d1"), ("cc by 4 0", "d2"), ("cc by sa 4 0", "d3"),
+        ("gpl 3 0", "c1"), ("gpl 3 0 only", "c1"), ("gpl 3 0 or later", "c1"), ("gpl 2 0", "c2"), ("gpl 2 0 only", "c2"), ("gpl 2 0 or later", "c2"),
+    )),
+)
+
+#: Known sentences of licences, normalised, with their identifiers.
+SENTENCES = SHORT_SENTENCES + FULL_SENTENCES
+
+#: Rules over notices and beginnings, as the SQL has them.
+SHORT_RULES = (
     ("mit", "full", ("a1", "a2", "a3"), True),
     ("apache-2.0", "full", ("b1", "b2", "b3", "b4"), True),
     ("bsd-2-clause", "full", ("f1", "f2", "f3"), True),
@@ -62,17 +108,68 @@ RULES = (
 )
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends and at sentence marks before white space, lower case, words apart by one space."""
-    cut = F.split(F.coalesce(text, F.lit("")), r"\n|[.!?;:]+\s+|[.!?;:]+$")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
-    return F.filter(plain, lambda s: s != "")
+#: Rules in the order in which they are tried; whether the licence permits reuse for training.
+RULES = (
+    ("bsd-4-clause", "full", ("f1", "f2", "f3", "f5", "f4"), True),
+    ("bsd-3-clause", "full", ("f1", "f2", "f3", "f4"), True),
+    ("gpl-2.0", "full", ("c5", "c4"), False),
+    ("gpl", "full", ("c6", "c4"), False),
+    *SHORT_RULES,
+    ("apache-2.0", "text", ("b5",), True),
+    ("gpl-3.0", "text", ("c7",), False),
+    ("gpl-2.0", "text", ("c8",), False),
+    ("bsd-2-clause", "notice", ("f6",), True),
+    ("bsd-3-clause", "notice", ("f7",), True),
+)
+
+#: The identifier of a reservation of rights, which a full licence text right after it takes back.
+RESERVED = "e1"
+#: The mark that no sentence goes across; a line end is the mark that it may go across.
+_STOP = "\x01"
+
+
+def marked(text: Column) -> Column:
+    """Words in lower case, apart by one space, and the marks between them; a mark comes first and last."""
+    steps = (
+        (r"[;:]*[.!?][.!?;:]*\s+", _STOP),
+        (r"[;:]+\s+", "\n"),
+        (rf"([\n{_STOP}][^a-z0-9\n{_STOP}]*)(?:[a-z0-9]{{1,3}}\)|dnl|rem|o)[ \t]", "$1 "),  # marks of list items and of comments
+        (rf"[^a-z0-9\n{_STOP}]+", " "),
+        (r" ?\n ?\n[ \n]*", _STOP),
+        (rf"[ \n]*{_STOP}[ \n{_STOP}]*", _STOP),
+        (r" ?\n ?", "\n"),
+    )
+    whole = F.concat(F.lit("\n"), F.translate(F.lower(F.coalesce(text, F.lit(""))), _STOP, " "), F.lit("\n"))
+    return reduce(lambda s, x: F.regexp_replace(s, *x), steps, whole)
+
+
+def _pattern(sentence: str) -> str:
+    """The sentence as a regular expression over marked text; a star inside it may hold a stop, as names do."""
+    first, *more = sentence.split()
+    word, gap = "[a-z0-9]+", rf"[ \n{_STOP}]"
+    out = rf"(?:{word}[ \n]){{0,7}}{word}[ \n]" if first == "*" else rf"{first}[ \n]"
+    out += "".join(rf"(?:{word}{gap}){{1,8}}" if w == "*" else rf"{w}[ \n]" for w in more)
+    return out.removesuffix(r"[ \n]")
+
 
+def identifiers(text: Column, known: tuple = SENTENCES) -> Column:
+    """Identifiers of the known sentences of ``text``, in order; where two begin at one place, the longer is meant."""
+    longest = sorted(known, key=lambda x: (-len(x[0].split()), x[0]))
+    first = [s for s, _ in longest if not s.startswith("* ")]
+    star = [_pattern(s.removeprefix("* ")) for s, _ in longest if s.startswith("* ")]
+    words = sorted({s.split()[0] for s in first})
+    # alternatives are tried by their first words, and those that begin with a star by one star for all of them
+    tries = [rf"(?:[a-z0-9]+[ \n]){{1,8}}?(?:{'|'.join(star)})"] if star else []
+    tries += [rf"{w}\b(?:{'|'.join(_pattern(s)[len(w):] for s in first if s.split()[0] == w)})" for w in words]
+    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<=[\n{_STOP}])(?:{'|'.join(tries)})(?=[\n{_STOP}])"), F.lit(0))
+    plain = [x for pair in known if "*" not in pair[0] for x in pair]
+    exact = F.create_map(*map(F.lit, plain)) if plain else F.create_map().cast("map<string,string>")
 
-def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of ``text``, in order."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES for x in pair])
-    return F.filter(F.transform(sentences(text), lambda s: known[s]), lambda i: i.isNotNull())
+    def identifier(s: Column) -> Column:
+        stars = [F.when(s.rlike(f"^{_pattern(x)}$"), i) for x, i in longest if "*" in x]
+        return F.coalesce(exact[F.translate(s, "\n", " ")], *stars)
+
+    return F.transform(found, identifier)
 
 
 def _apply(state: Column, number: int, rule: tuple) -> Column:
@@ -88,35 +185,35 @@ def _apply(state: Column, number: int, rule: tuple) -> Column:
 hit_type = "array<struct<rule:int,times:int>>"
 
 
-def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", known: tuple = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """``docs`` with license_ids (identifier sequence), matches and permissive.
 
-    matches is an array of structs (license, form, times) in the order of
-    RULES; permissive is null where no rule matches, and else whether all
+    ``known`` and ``rules`` are tables like SENTENCES and RULES.  matches is an
+    array of structs (license, form, times) in the order of the rules; a
+    reservation of rights right before a full text counts as part of it.  permissive is null where no rule matches, and else whether all
     matched licences permit reuse.  Null and empty texts match nothing; a row's
     result depends on its own text alone, so repeated rows agree and an empty
     table stays empty.
     """
-    ids = docs.withColumn("license_ids", identifiers(F.col(text)))
-    start = F.struct(
-        F.array_join(F.transform("license_ids", lambda i: F.concat(F.lit("("), i, F.lit(")"))), "").alias("left"),
-        F.array().cast(hit_type).alias("found"),
-    )
-    some = ids.withColumn("_rules", F.when(F.size("license_ids") > 0, F.transform(F.array(start), _all_rules)[0]["found"]))
-    names = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("form"), F.lit(p).alias("permits")) for a, b, _, p in RULES])
+    ids = docs.withColumn("license_ids", identifiers(F.col(text), known))
+    full = "|".join("".join(rf"\({x}\)" for x in r[2]) for r in rules if r[1] == "full")
+    sequence = F.array_join(F.transform("license_ids", lambda i: F.concat(F.lit("("), i, F.lit(")"))), "")
+    start = F.struct((F.regexp_replace(sequence, rf"\({RESERVED}\)(?={full})", "") if full else sequence).alias("left"), F.array().cast(hit_type).alias("found"))
+    some = ids.withColumn("_rules", F.when(F.size("license_ids") > 0, F.transform(F.array(start), lambda s: _all_rules(s, rules))[0]["found"]))
+    names = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("form"), F.lit(p).alias("permits")) for a, b, _, p in rules])
     hits = F.coalesce("_rules", F.array().cast(hit_type))
     matches = F.transform(hits, lambda h: F.struct(names[h["rule"]]["license"].alias("license"), names[h["rule"]]["form"].alias("form"), h["times"].alias("times")))
     permits = F.when(F.size(hits) > 0, F.forall(hits, lambda h: names[h["rule"]]["permits"]))
     return some.withColumn("matches", matches).withColumn("permissive", permits).drop("_rules")
 
 
-def _all_rules(state: Column) -> Column:
+def _all_rules(state: Column, rules: tuple) -> Column:
     """Every rule in turn; each step is bound in a lambda, so that it is computed once."""
 
     def bound(number: int, rule: tuple):
         return lambda s: _apply(s, number, rule)
 
-    return reduce(lambda s, x: F.transform(F.array(s), bound(*x))[0], enumerate(RULES), state)
+    return reduce(lambda s, x: F.transform(F.array(s), bound(*x))[0], enumerate(rules), state)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,9 +229,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES)
+    known = ", ".join(f"('{s}', '{i}')" for s, i in SHORT_SENTENCES)
     steps, left = [], "seq0"
-    for n, (name, form, ids, permits) in enumerate(RULES):
+    for n, (name, form, ids, permits) in enumerate(SHORT_RULES):
         wanted = "".join(f"({i})" for i in ids)
         steps.append(
             f"s{n} AS (SELECT *, replace({left}, '{wanted}', '|') AS seq{n + 1}, "
@@ -143,7 +240,7 @@ def _oracle() -> str:
             f"CASE WHEN contains({left}, '{wanted}') THEN {str(permits).lower()} END AS p{n} FROM {f's{n - 1}' if n else 'seqs'})"
         )
         left = f"seq{n + 1}"
-    last, every = len(RULES) - 1, range(len(RULES))
+    last, every = len(SHORT_RULES) - 1, range(len(SHORT_RULES))
     return (
         r"WITH cut AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\n|[.!?;:]+\s+|[.!?;:]+$')) AS s, "
         r"generate_subscripts(string_split_regex(coalesce(text, ''), '\n|[.!?;:]+\s+|[.!?;:]+$'), 1) AS pos FROM documents), "

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -268,6 +269,92 @@ def test_license_sequences(spark, docs):
     assert license_scan.scan_licenses(docs).count() == len(odd_documents())
 
 
+MIT = """Copyright (c) 2020 A. Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+APACHE = """Copyright 2020 A. Name
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD2 = """Copyright (c) 2020, A. Name
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD2.replace("1. ", "* ").replace("2. ", "* ") + """
+* Neither the name of Name Widgets, Inc. nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2").replace("This program is", "Some Tool is")
+
+
+def test_license_texts_wrapped_and_commented(spark):
+    texts = {("mit", True): MIT, ("apache-2.0", True): APACHE, ("bsd-2-clause", True): BSD2, ("bsd-3-clause", True): BSD3, ("gpl-3.0", False): GPL, ("gpl-2.0", False): GPL2}
+    shapes = {
+        "verbatim": lambda t: t,
+        "crlf": lambda t: t.replace("\n", "\r\n"),
+        "paragraph a line": lambda t: re.sub(r"(?<!\n)\n(?!\n)", " ", t),
+        "block comment": lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\nint main(void);",
+        "hashes": lambda t: "#!/bin/sh\n" + "".join(f"# {x}\n" for x in t.split("\n")) + "exit 0",
+        "dnl": lambda t: "".join(f"dnl {x}\n" for x in t.split("\n")),
+        "narrow": lambda t: "\n\n".join(textwrap.fill(p, 31) for p in t.split("\n\n")),
+    }
+    rows = [(name, shape, make(t)) for (name, _), t in texts.items() for shape, make in shapes.items()]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "name string, shape string, text string")).collect()
+    want = {(name, shape): ([(name, "full", 1)], ok) for (name, ok) in texts for shape in shapes}
+    assert {(r["name"], r["shape"]): ([(m["license"], m["form"], m["times"]) for m in r["matches"]], r["permissive"]) for r in got} == want
+
+
+def test_license_sentences_keep_their_bounds_and_tables(spark):
+    texts = ["See the code. Released\nunder the MIT\nLicense", "released.\nunder the MIT License", "Released\n\nunder the MIT License", "not released under the MIT License", "// SPDX-License-Identifier: MIT", "Copyright A\nAll rights reserved.", "You may\ndo what you like; really."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = lambda *a: [r["license_ids"] for r in license_scan.scan_licenses(rows, "text", *a).orderBy("doc_id").collect()]
+    assert ids() == [["a4"], [], [], [], ["a4"], ["e1"], []]
+    own = (("you may do what you like", "z1"),), (("own", "notice", ("z1",), True),)
+    assert ids(*own) == [[], [], [], [], [], [], ["z1"]]
+    assert license_scan.scan_licenses(rows, "text", *own).where("doc_id = 6").first()["matches"][0]["license"] == "own"
+
+
 # --- tokens
 
 
