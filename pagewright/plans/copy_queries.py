@@ -78,7 +78,7 @@ _NAV = '<nav aria-label="Main"><ul><li><a href="/a">A</a><ul><li><a href="/b">B
 
 @register("page_forms", "SELECT page_id, 'f' AS form_id, 'POST' AS method, 'Send it' AS submit, 'mail:Mail:email:true,s:Size S M:select:false,k::hidden:false' AS fields FROM pages")
 def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A form put into every page, and found again."""
+    """A form put into every page, and found again; the forms that pages have are in page_form_rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(_FORM), F.col("html")).alias("html"))
     field = lambda f: F.concat_ws(":", f["name"], f["label"], f["type"], f["required"].cast("string"))
     return M.forms(pages).where("form_id = 'f'").select("page_id", "form_id", "method", "submit", F.array_join(F.transform("fields", field), ",").alias("fields"))
@@ -86,12 +86,31 @@ def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("page_navigation", "SELECT page_id, 'nav' AS region, 'Main' AS label, '/a:A:2,/b:B b:4' AS items FROM pages")
 def page_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A menu put before every page, and found again with the depth of its items."""
+    """A menu put before every page, and found again with the depth of its items; the regions that pages have are in page_regions."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit(_NAV), F.col("html")).alias("html"))
     item = lambda i: F.concat_ws(":", i["href"], i["text"], i["depth"].cast("string"))
     return M.navigation(pages).where("number = 0").select("page_id", "region", "label", F.array_join(F.transform("items", item), ",").alias("items"))
 
 
+_FIELD = lambda f: F.concat_ws(":", f["name"], f["label"], f["type"], f["required"].cast("string"))
+_ITEM = lambda i: F.concat_ws(":", i["href"], i["text"], i["depth"].cast("string"))
+
+
+@register("page_form_rows")
+def page_form_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of every page as it is; a page without forms is one row with nulls."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    found = M.forms(pages).select("page_id", "number", "form_id", "method", "action", "submit", F.array_join(F.transform("fields", _FIELD), ",").alias("fields"))
+    return pages.select("page_id").join(found, "page_id", "left")
+
+
+@register("page_regions")
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region of navigation of every page as it is, with the depth of its items."""
+    found = M.navigation(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return found.select("page_id", "number", "region", "label", F.array_join(F.transform("items", _ITEM), ",").alias("items"))
+
+
 @register("node_sections", "SELECT page_id, 4 AS n_hero, 1 AS n_main FROM pages")
 def node_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of a small tree: nodes below a telling class, and one that is not."""

@@ -1,9 +1,14 @@
 """Offline copies, forms and navigation, component graphs, names, nested JSON."""
 
+import re
+from collections import Counter
+from html import unescape
+
 from pyspark.sql import functions as F
 
 from pagewright.functions import json_text, labels
 from pagewright.operators import documents, dom, images, markup, rewrite, technology
+from pagewright.plans import copy_queries
 
 
 def test_rewritten_page(spark):
@@ -35,6 +40,53 @@ def test_forms_and_navigation(spark):
     assert (nav["region"], [(i["href"], i["text"], i["depth"]) for i in nav["items"]]) == ("header", [("/h", "H", 0)])
 
 
+def plain_regions(html):
+    """Regions of one page by a scan over its tags, for pages whose tags are all closed."""
+    out, regions, lists, link = [], [], [], None
+    for tag in re.finditer(r"<(/?)(nav|header|footer|ul|ol|li|a)\b([^>]*)>|([^<]+)|<[^>]*>", html):
+        close, name, rest, text = tag.groups()
+        if text and link:
+            link[1] += unescape(text)
+        elif name in ("nav", "header", "footer"):
+            if close:
+                regions.pop()
+            else:
+                label = re.search(r'aria-label="([^"]*)"', rest)
+                out.append([len(out), name, unescape(label[1]) if label else "", []])
+                regions.append((out[-1], len(lists)))
+        elif name == "a":
+            href = re.search(r'href="([^"]*)"', rest)
+            link = None if close or not href else [unescape(href[1]), ""]
+            for region, outer in regions if link else ():
+                region[3].append((link, len(lists) - outer))
+        elif name:
+            lists.pop() if close else lists.append(name)
+    return [(n, r, label, ",".join(f"{a[0]}:{' '.join(a[1].split())}:{d}" for a, d in items)) for n, r, label, items in out if items or r == "nav"]
+
+
+def test_regions_and_forms_of_the_real_pages(spark, sf):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    want = Counter((k, *x) for k, html in pages.items() for x in plain_regions(html))
+    assert len({x[0] for x in want}) == len(pages)
+    assert Counter(tuple(r) for r in copy_queries.page_regions(spark, sf).select("page_id", "number", "region", "label", "items").collect()) == want
+    forms = Counter((r["page_id"], r["number"] is not None) for r in copy_queries.page_form_rows(spark, sf).collect())
+    assert forms == Counter((k, n > 0) for k, html in pages.items() for n in [len(re.findall(r"(?i)<form[\s>]", html))] for _ in range(n or 1))
+
+
+def test_regions_and_forms_of_odd_pages(spark, tmp_path):
+    own = copy_queries._NAV + copy_queries._FORM + '<form action="/q"><input name="q"></form><footer><a href="/t">T &amp; c</a></footer><nav></nav>'
+    spark.createDataFrame([(1, own), (2, None), (3, "<p>x</p>")], "page_id int, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = copy_queries.page_regions(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["number"], r["region"], r["label"], r["items"]) for r in got) == [(1, 0, "nav", "Main", "/a:A:2,/b:B b:4"), (1, 1, "footer", "", "/t:T & c:0"), (1, 2, "nav", "", "")]
+    got = sorted((r["page_id"], r["number"] or 0, r["form_id"], r["method"], r["action"], r["submit"], r["fields"]) for r in copy_queries.page_form_rows(spark, str(tmp_path)).collect())
+    assert got == [
+        (1, 0, "f", "POST", "/go", "Send it", "mail:Mail:email:true,s:Size S M:select:false,k::hidden:false"),
+        (1, 1, "form1", "GET", "/q", "", "q::text:false"),
+        (2, 0, None, None, None, None, None),
+        (3, 0, None, None, None, None, None),
+    ]
+
+
 def test_templates_layouts_and_meanings(spark):
     pages = spark.createDataFrame([(1, "<header></header><section></section><section></section>"), (2, "<aside></aside><footer></footer>"), (3, "<p>x</p>")], "page_id int, html string")
     nodes = dom.nodes(pages)
