@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from pagewright.operators import records
+from pagewright.plans import record_queries
 from pagewright.plans.session import scratch_path
 from pagewright.streaming import requests
 
@@ -39,3 +40,11 @@ def test_request_stream_equals_batch(spark):
     batch = {r["id"]: (r["outcome"], r["replied"]) for r in requests.outcomes(spark.createDataFrame(first + second + last, kind)).collect()}
     assert batch == {"a": ("answered", at(30)), "b": ("timed_out", None), "c": ("timed_out", None), "d": ("answered", at(4)), "z": ("unasked", None), "end": ("pending", None)}
     assert {k: v for k, v in got.items() if v[0] != "pending"} == {k: v for k, v in batch.items() if v[0] in ("answered", "timed_out")}
+
+
+def test_event_outcomes_take_every_event(spark, tmp_path):
+    at = lambda minute: datetime(2024, 1, 1, 0, minute)
+    rows = [(0, at(0), "view"), (1, at(1), "view"), (2, at(0), "view"), (3, at(1), "view"), (4, at(0), "view"), (5, at(1), "error"), (6, at(0), "error"), (7, at(9), None), (9, at(9), "view"), (13, at(1), "error")]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in record_queries.event_outcomes(spark, str(tmp_path)).collect()}
+    assert got == {("0", "answered"), ("1", "answered"), ("2", "timed_out"), ("3", "timed_out"), ("4", "unasked"), ("6", "unasked")}
