@@ -4,9 +4,11 @@ Each text gives whole-number metrics.  A quantile sketch per language, source an
 metric is a histogram whose bins widen with the value (six leading bits are
 kept, so a quantile is right within 1/32 of its value).  Sketches merge by adding
 counts, so those of a language or the whole corpus are sums of those of its
-sources.  Thresholds come from the sketch of a document's language and source,
-or, where that has seen too few documents, of its language, or of all; they are
-joined to the documents and filter them.
+sources.  A threshold lies beyond an outer quantile by a multiple of that quantile's
+distance from the median.  Quantiles of a source are blended with those of its
+language, and these with those of the corpus, by the numbers of documents seen, so
+small sources lean on larger ones without a switch.  Thresholds are joined to the
+documents and filter them.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.plans.session import cut_lineage, table
+from pagewright.llm import rows
+from pagewright.plans.session import cut_lineage, saved, table
 
 NAME = "op1_quality_rules"
 
@@ -24,14 +27,16 @@ NAME = "op1_quality_rules"
 SPACE, NOT_SYMBOL = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 WINDOW_WORDS, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 
-#: Metric: what is added to the adaptive distance, and whether small values are bad as well.
-METRICS = {"symbols": (50, False), "capitals": (150, False), "marks": (50, False), "dup_lines": (400, False), "repeats": (200, False), "word_length": (300, True)}
-#: A threshold lies this many times the distance of median and tenth percentile from the median.
-FENCE = 6
-#: Documents that a sketch must have seen for thresholds of its own.
-LEAST_DOCS = 200
+#: Metric: what is granted beyond the adaptive distance, and whether small values are bad as well.  Shares are in
+#: thousandths (in a text of four lines one repeated line is 250), word lengths in hundredths of a character.
+METRICS = {"symbols": (10, False), "capitals": (10, False), "marks": (10, False), "dup_lines": (250, False), "repeats": (100, False), "word_length": (10, True)}
+#: The outer quantile in percent (on the lower side its mirror), and how many distances from the median lie beyond it.
+OUTER, FENCE = 90, 3
+#: A wider sketch counts as this many documents when it is blended with a narrower one.
+PRIOR_DOCS = 200
 #: Rows of thresholds up to which they are broadcast (some 200 bytes each).
 BROADCAST_ROWS = 20_000
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "metrics")
 
 
 def _let(value: Column, body) -> Column:
@@ -60,41 +65,44 @@ def _repeated_words(words: Column) -> Column:
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the metrics.
 
-    A null text has no words.  Each row's features come from its own text alone.
+    A null text has no words.  Each row's features come from its own text alone,
+    so repeated rows agree and an empty table stays empty.  Columns of ``docs`` that
+    bear these names give way; others may have any names and types.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.withColumn("_words", F.filter(F.split(whole, SPACE, -1), lambda w: w != ""))
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    cut = rows.packed(docs, text=text).withColumn("words", F.filter(F.split(whole, SPACE, -1), lambda w: w != ""))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = cut.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_words": F.size("words").cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(whole, NOT_SYMBOL, "")).cast("long"),
-            "_lines": _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))),
-            "n_repeat_words": _repeated_words(F.col("_words")).cast("long"),
-            "_capitals": F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")),
-            "_marks": F.length(F.regexp_replace(whole, r"[^!?]+", "")),
+            "lines": _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))),
+            "n_repeat_words": _repeated_words(F.col("words")).cast("long"),
+            "capitals": F.length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")),
+            "marks": F.length(F.regexp_replace(whole, r"[^!?]+", "")),
         }
     )
     chars, words = F.greatest(F.col("word_chars"), F.lit(1)), F.greatest(F.col("n_words"), F.lit(1))
     share = lambda n, of: F.floor(F.lit(1000) * n / of).cast("long")
-    return counted.select(
-        *docs.columns,
+    made = counted.select(
+        "row",
         "n_words",
         "word_chars",
         "n_symbols",
-        F.col("_lines.dup").cast("long").alias("n_dup_lines"),
+        F.col("lines.dup").cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         ((F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED_PERCENT) * F.col("n_words"))).alias("base_failed"),
         F.struct(
             share(F.col("n_symbols"), chars).alias("symbols"),
-            share(F.col("_capitals"), chars).alias("capitals"),
-            share(F.col("_marks"), chars).alias("marks"),
-            share(F.col("_lines.dup"), F.greatest(F.col("_lines.n"), F.lit(1))).alias("dup_lines"),
+            share(F.col("capitals"), chars).alias("capitals"),
+            share(F.col("marks"), chars).alias("marks"),
+            share(F.col("lines.dup"), F.greatest(F.col("lines.n"), F.lit(1))).alias("dup_lines"),
             share(F.col("n_repeat_words"), words).alias("repeats"),
             F.floor(F.lit(100) * F.col("word_chars") / words).cast("long").alias("word_length"),
         ).alias("metrics"),
     )
+    return rows.unpacked(made, docs, *FEATURES)
 
 
 def sketches(featured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -102,73 +110,84 @@ def sketches(featured: DataFrame, lang: str = "lang", source: str = "source") ->
 
     Bins of one sketch are few, whatever the number of documents, and are
     counted before the shuffle, so a source with most rows is no larger than others.
+    Null languages and sources have sketches of their own; no rows give no sketch.
     """
     values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col("metrics")[m].alias("value")) for m in METRICS])
-    flat = featured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(values).alias("x"))
+    own = rows.chosen(featured, lang=lang, source=source, metrics="metrics")
+    flat = own.select("lang", "source", F.explode(values).alias("x"))
     lost = F.greatest(F.lit(0), F.length(F.bin("x.value")) - 6)
     kept = F.expr("shiftleft(shiftright(x.value, lost), lost)")
     return flat.withColumn("lost", lost).groupBy("lang", "source", F.col("x.metric").alias("metric"), kept.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def _thresholds(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group of merged sketches: its document count, and bounds (low, high) per metric."""
+QUANTILES = ("low", "middle", "high")
+
+
+def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group of merged sketches and metric: its document count and quantiles."""
     merged = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     seen = Window.partitionBy(*by, "metric")
     ranked = merged.withColumn("upto", F.sum("n").over(seen.orderBy("bin"))).withColumn("all", F.sum("n").over(seen))
     at = lambda percent: F.min(F.when(F.lit(100) * F.col("upto") >= F.lit(percent) * F.col("all"), F.col("bin")))
-    quantiles = ranked.groupBy(*by, "metric").agg(F.max("all").alias("docs"), at(10).alias("q10"), at(50).alias("q50"))
-    slack = reduce(lambda c, m: F.when(F.col("metric") == m, METRICS[m][0]).otherwise(c), METRICS, F.lit(None).cast("int"))
-    far = F.lit(FENCE) * (F.col("q50") - F.col("q10")) + slack
-    bounds = F.struct((F.col("q50") - far).alias("low"), (F.col("q50") + far).alias("high"))
-    each = [F.max(F.when(F.col("metric") == m, bounds)).alias(m) for m in METRICS]
-    wide = quantiles.groupBy(*by).agg(F.max("docs").alias("docs"), *each)
-    return wide.select(*by, F.struct("docs", *METRICS).alias(f"by_{len(by)}"))
+    every = [at(p).alias(q) for q, p in zip(QUANTILES, (100 - OUTER, 50, OUTER), strict=True)]
+    return ranked.groupBy(*by, "metric").agg(F.max("all").alias("docs"), *every)
+
+
+def _blended(narrow: DataFrame, wide: DataFrame, on: Column) -> DataFrame:
+    """``narrow`` with its quantiles drawn towards those of ``wide``, less so the more documents it has."""
+    wide = wide.select(F.col("metric").alias("_metric"), *[F.col(c).alias(f"_{c}") for c in wide.columns if c in ("lang", *QUANTILES)])
+    both = narrow.join(wide, (F.col("metric") == F.col("_metric")) & on)
+    prior = F.lit(PRIOR_DOCS).cast("long")
+    mean = lambda q: F.call_function("div", F.col("docs") * F.col(q) + prior * F.col(f"_{q}"), F.col("docs") + prior)
+    return both.select(*[mean(c).alias(c) if c in QUANTILES else F.col(c) for c in narrow.columns])
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """Rows (lang, source, bounds): the bounds that hold for each pair, after falling back where few were seen."""
-    own, language, every = _thresholds(sketch, ["lang", "source"]), _thresholds(sketch, ["lang"]), _thresholds(sketch.withColumn("one", F.lit(1)), ["one"])
-    language = language.withColumnRenamed("lang", "_lang")
-    joined = own.join(F.broadcast(every.select(F.col("by_1").alias("by_0"))), F.lit(True)).join(language, own["lang"].eqNullSafe(language["_lang"]))
-    chosen = F.when(F.col("by_2.docs") >= LEAST_DOCS, F.col("by_2")).when(F.col("by_1.docs") >= LEAST_DOCS, F.col("by_1")).otherwise(F.col("by_0"))
-    return joined.select("lang", "source", chosen.alias("bounds"))
+    """Rows (lang, source, bounds) for each pair: bounds has a struct (low, high) per metric."""
+    own, language, every = _quantiles(sketch, ["lang", "source"]), _quantiles(sketch, ["lang"]), _quantiles(sketch, [])
+    blended = _blended(own, _blended(language, every, F.lit(True)), F.col("lang").eqNullSafe(F.col("_lang")))
+    slack = reduce(lambda c, m: F.when(F.col("metric") == m, METRICS[m][0]).otherwise(c), METRICS, F.lit(None).cast("int"))
+    low = F.col("low") - F.lit(FENCE) * (F.col("middle") - F.col("low")) - slack
+    high = F.col("high") + F.lit(FENCE) * (F.col("high") - F.col("middle")) + slack
+    each = [F.max(F.when(F.col("metric") == m, F.struct(low.alias("low"), high.alias("high")))).alias(m) for m in METRICS]
+    return blended.groupBy("lang", "source").agg(*each).select("lang", "source", F.struct(*METRICS).alias("bounds"))
 
 
 def verdicts(featured: DataFrame, bounds: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``featured`` with failed (names of the metrics out of bounds) and kept.
+    """``featured`` with failed (names of the metrics out of bounds) and kept; columns of these names give way.
 
     ``bounds`` has a row for each language and source that occurs, null ones
-    included.  It is broadcast if it has few rows; else the join is a shuffle
-    whose large partitions can be split.
+    included; a row without bounds fails by the base rule alone.  ``bounds`` is
+    broadcast if it has few rows; else the join is a shuffle whose large
+    partitions can be split.
     """
     bounds = cut_lineage(bounds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "bounds"))
     if bounds.count() <= BROADCAST_ROWS:
         bounds = F.broadcast(bounds)
-    joined = featured.join(bounds, featured[lang].eqNullSafe(F.col("_lang")) & featured[source].eqNullSafe(F.col("_source")), "left")
+    own = rows.packed(featured, lang=lang, source=source, metrics="metrics", base_failed="base_failed")
+    joined = own.join(bounds, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     out = []
     for m, (_, both) in METRICS.items():
         bad = F.col("metrics")[m] > F.col("bounds")[m]["high"]
         if both:
             bad = bad | (F.col("metrics")[m] < F.col("bounds")[m]["low"])
         out.append(F.when(bad, m))
-    failed = F.filter(F.array(*out), lambda x: x.isNotNull())
-    judged = joined.withColumn("failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_lang", "_source", "bounds")
+    judged = joined.withColumn("failed", F.filter(F.array(*out), lambda x: x.isNotNull()))
+    return rows.unpacked(judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)), featured, "failed", "kept")
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that are kept.
+    """The rows of ``docs`` that are kept, as they are; columns may have any names and types.
 
-    Texts are read twice, once for the sketches and once for the verdicts, so
-    that no text is shuffled.  Null languages and sources are groups of their
-    own, null and empty texts are rejected, repeated rows get one verdict, and
-    an empty table stays empty.
+    Texts are read once: rows are written with their features to the shared folder,
+    sketches are made of the features there, and no text is shuffled.  Null
+    languages and sources are groups of their own, null and empty texts are
+    rejected, repeated rows get one verdict, texts may be of any length, and an
+    empty table stays empty.
     """
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    narrow = with_features(own.select("text", "lang", "source"))
-    judged = verdicts(with_features(own), thresholds(sketches(narrow)))
-    # a generator, not a filter: a filter would be pushed down and repeat every expression it rests on
-    return judged.select(F.inline(F.when(F.col("kept"), F.array("_row"))))
+    featured = saved(with_features(rows.packed(docs, text=text, lang=lang, source=source)).select("row", "lang", "source", "base_failed", "metrics"), "features")
+    judged = verdicts(featured, thresholds(sketches(featured)))
+    return rows.unpacked(judged.where("kept").select("row"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,13 +204,17 @@ def _oracle() -> str:
 
     def level(name: str, by: str) -> str:
         keys = f"{by}, " if by else ""
+        quantiles = ", ".join(f"min(bin) FILTER (WHERE 100 * upto >= {p} * total) AS {q}" for q, p in zip(QUANTILES, (100 - OUTER, 50, OUTER), strict=True))
         return f"""{name}_m AS (SELECT {keys}metric, bin, sum(n) AS n FROM sketch GROUP BY ALL),
 {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys}metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}metric) AS total FROM {name}_m),
-{name} AS (SELECT {keys}metric, max(total) AS docs, min(bin) FILTER (WHERE 100 * upto >= 10 * total) AS q10, min(bin) FILTER (WHERE 100 * upto >= 50 * total) AS q50 FROM {name}_r GROUP BY ALL)"""
+{name} AS (SELECT {keys}metric, max(total) AS docs, {quantiles} FROM {name}_r GROUP BY ALL)"""
+
+    def blend(narrow: str, wide: str) -> str:
+        return ", ".join(f"({narrow}.docs * {narrow}.{q} + {PRIOR_DOCS} * {wide}.{q}) // ({narrow}.docs + {PRIOR_DOCS}) AS {q}" for q in QUANTILES)
 
     metrics = ", ".join(f"('{m}', {m})" for m in METRICS)
     failed = ", ".join(f"max(metric) FILTER (WHERE metric = '{m}' AND bad)" for m in METRICS)
-    both = " OR ".join(f"(l.metric = '{m}' AND value < q50 - far)" for m, x in METRICS.items() if x[1])
+    both = " OR ".join(f"(l.metric = '{m}' AND value < low - {FENCE} * (middle - low) - slack)" for m, x in METRICS.items() if x[1])
     return rf"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 cut AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM texts),
@@ -209,12 +232,10 @@ sketch AS (SELECT lang, source, metric, (value >> {bins}) << {bins} AS bin, coun
 {level("own", "lang, source")},
 {level("lng", "lang")},
 {level("tot", "")},
-bounds AS (SELECT own.lang, own.source, own.metric,
-  CASE WHEN own.docs >= {LEAST_DOCS} THEN own.q50 WHEN lng.docs >= {LEAST_DOCS} THEN lng.q50 ELSE tot.q50 END AS q50,
-  CASE WHEN own.docs >= {LEAST_DOCS} THEN own.q10 WHEN lng.docs >= {LEAST_DOCS} THEN lng.q10 ELSE tot.q10 END AS q10
-  FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.metric = lng.metric JOIN tot ON tot.metric = own.metric),
-fenced AS (SELECT *, {FENCE} * (q50 - q10) + CASE metric {slack} END AS far FROM bounds),
-judged AS (SELECT l.doc_id, l.metric, (value > q50 + far OR {both}) AS bad FROM long l JOIN fenced f
+lngb AS (SELECT lng.lang, lng.metric, {blend("lng", "tot")} FROM lng JOIN tot USING (metric)),
+fenced AS (SELECT own.lang, own.source, own.metric, {blend("own", "lngb")}, CASE own.metric {slack} END AS slack
+  FROM own JOIN lngb ON own.lang IS NOT DISTINCT FROM lngb.lang AND own.metric = lngb.metric),
+judged AS (SELECT l.doc_id, l.metric, (value > high + {FENCE} * (high - middle) + slack OR {both}) AS bad FROM long l JOIN fenced f
   ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND l.metric = f.metric),
 out AS (SELECT doc_id, concat_ws(',', {failed}) AS failed FROM judged GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND failed = '') AS kept, failed
