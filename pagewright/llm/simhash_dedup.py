@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm import rows
 from pagewright.llm.arrow import byte_texts, pieces
 from pagewright.llm.graph import components
 from pagewright.plans.session import cut_lineage, table
@@ -32,6 +33,8 @@ SEED, SHINGLE_WORDS, MOST_BITS = 42, 3, 2
 #: Fingerprints with at least so many copies are joined by broadcast; so are at most MOST_HOT of them, as a hot one
 #: has at least one in MOST_HOT of all rows.
 HOT_COPIES, MOST_HOT = 1_000, 50_000
+#: Rows (key, hash) up to which they are broadcast (some 100 bytes each).
+BROADCAST_ROWS = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -54,17 +57,19 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (key, fp) per row of ``docs``; a null or empty text has fingerprint zero."""
+    """One row (key, fp, h) per row of ``docs``, h a hash that tells texts of equal keys apart.
+
+    A null or empty text has fingerprint zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 fps = [fingerprint(x) for x in byte_texts(batch.column("text"))]
-                yield pa.record_batch([batch.column("key"), pa.array(fps, pa.int64())], ["key", "fp"])
+                yield pa.record_batch([batch.column("key"), pa.array(fps, pa.int64()), batch.column("h")], ["key", "fp", "h"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
+    own = rows.chosen(docs, key=key, text=text).withColumn("h", F.xxhash64("text"))
+    return own.mapInArrow(run, rows.schema(("key", rows.kind(docs, key)), ("fp", "bigint"), ("h", "bigint")))
 
 
 def _bits(x: Column, low: int, width: int) -> Column:
@@ -105,45 +110,77 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (key, fp, component_id) per row of ``docs``.
+def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row (key, fp, h, root, component_id) per row of ``docs``; root is the component's smallest fingerprint.
 
-    component_id is the smallest key that links reach, itself included.
-    Repeated rows share a fingerprint and so a component; texts without words
-    all have fingerprint zero.  Null keys take part but never name a component
-    (it is null where no other key is there).  An empty table gives no rows;
-    other columns of ``docs`` are not read.  A fingerprint that many rows share is
-    never gathered: its component is sent to where its rows are.
+    A fingerprint that many rows share is never gathered: its component is sent to where its rows are.
     """
     fps = cut_lineage(fingerprints(docs, key, text))
-    distinct = cut_lineage(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("copies")))
+    distinct = cut_lineage(fps.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("copies")))
     roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     grouped = distinct.join(roots, "fp").select("fp", "root", "least")
     ids = grouped.groupBy("root").agg(F.min("least").alias("id"))
-    linked = grouped.join(ids, "root").select("fp", "id")
-    named = cut_lineage(distinct.join(linked, "fp", "left").select("fp", "copies", F.coalesce("id", "least").alias("component_id")))
-    rows = distinct.agg(F.sum("copies")).first()[0] or 0
-    is_hot = F.col("copies") >= max(HOT_COPIES, -(-rows // MOST_HOT))
+    linked = grouped.join(ids, "root").select("fp", "root", "id")
+    alone = distinct.join(linked, "fp", "left")
+    named = cut_lineage(alone.select("fp", "copies", F.coalesce("root", "fp").alias("root"), F.coalesce("id", "least").alias("component_id")))
+    count = distinct.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") >= max(HOT_COPIES, -(-count // MOST_HOT))
     hot = named.where(is_hot).drop("copies")
     many = fps.join(F.broadcast(hot), "fp")
     few = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.where(~is_hot).drop("copies"), "fp")
-    return many.unionByName(few).select(key, "fp", "component_id")
+    return many.unionByName(few)
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near duplicates: of each component the row with the smallest key stays.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (key, fp, component_id) per row of ``docs``.
 
-    Of rows that repeat that key, the smallest by the other columns stays.
-    Rows with a null key stay only where their component has no other key.
+    component_id is the smallest key that links reach, itself included.
+    Repeated rows share a fingerprint and so a component; texts without words
+    (null, empty) all have fingerprint zero.  Null keys take part but never name a
+    component (it is null where no other key is there).  A text is one row of a
+    task, however long.  An empty table gives no rows; other columns of ``docs``
+    are not read and may have any names and types.
+    """
+    return _members(docs, key, text).select(F.col("key").alias(key), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near duplicates: one row of each component stays, that with its smallest key.
+
+    Of several rows with that key, that whose text has the smallest hash stays, and
+    of rows that repeat key and text, that with the smallest other columns (as
+    JSON).  A row with a null key stays only if its component has no other key;
+    null, empty and blank texts are one component.  Rows of different components
+    never meet, whatever their keys.  An empty table stays empty; columns may have
+    any names and types.
+
+    Representatives are picked on rows (key, hash), so no text is moved for that.
+    The rows that go are then taken out of ``docs`` where they are, if they are few
+    enough to be broadcast; else by one shuffle whose large partitions can be split.
     """
-    found = near_duplicates(docs, key, text)
-    # one column that a null key has as well, so that the join and the grouping share one shuffle of the texts
-    named = F.concat(F.col(key).isNull().cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(named.alias("name")).distinct()
-    rest = [c for c in docs.columns if c != key]
-    rows = docs.select(named.alias("name"), F.col(key).alias("key"), F.struct(*rest).alias("row"))
-    one = rows.join(first, "name", "left_semi").groupBy("name").agg(F.first("key").alias("key"), F.min("row").alias("row"))
-    return one.select(*[F.col("key").alias(c) if c == key else F.col("row")[c].alias(c) for c in docs.columns])
+    members = cut_lineage(_members(docs, key, text).select("key", "h", "root", "component_id"))
+    heads = members.where(F.col("key").eqNullSafe(F.col("component_id")))
+    heads = heads.groupBy("root").agg(F.min("component_id").alias("key"), F.min("h").alias("h")).select("key", "h", F.lit(True).alias("stays"))
+    counts = members.groupBy("key", "h").agg(F.count("*").alias("n"))
+    judged = _joined(counts, heads, "left").select("key", "h", "n", F.coalesce("stays", F.lit(False)).alias("stays"))
+    out_of_place = cut_lineage(judged.where("not stays or n > 1"))
+    repeated = out_of_place.where("stays")
+    own = rows.packed(docs, key=key, text=text).select("row", "key", F.xxhash64("text").alias("h"))
+    kept = _joined(own, _small(out_of_place.select("key", "h")), "left_anti").select("row")
+    if not repeated.isEmpty():
+        again = _joined(own, _small(repeated.select("key", "h")), "left_semi")
+        kept = kept.unionByName(again.groupBy("key", "h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return rows.unpacked(kept, docs)
+
+
+def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """A join on key and hash, null keys among themselves."""
+    right = right.withColumnsRenamed({"key": "_key", "h": "_h"})
+    return left.join(right, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")), how)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
