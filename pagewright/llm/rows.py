@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _place(df: DataFrame, name: str) -> int:
+def place(df: DataFrame, name: str) -> int:
+    """Where column ``name`` stands; a name in other case will do if there is no exact one."""
     names = df.columns
     if name in names:
         return names.index(name)
@@ -16,13 +17,13 @@ def _place(df: DataFrame, name: str) -> int:
 
 def kind(df: DataFrame, name: str) -> T.DataType:
     """The type of column ``name``."""
-    return df.schema.fields[_place(df, name)].dataType
+    return df.schema.fields[place(df, name)].dataType
 
 
 def chosen(df: DataFrame, **named: str) -> DataFrame:
     """The columns of ``df`` that ``named`` gives (new name = old name)."""
     inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return inner.select(*[F.col(f"c{_place(df, old)}").alias(new) for new, old in named.items()])
+    return inner.select(*[F.col(f"c{place(df, old)}").alias(new) for new, old in named.items()])
 
 
 def packed(df: DataFrame, **named: str) -> DataFrame:
@@ -30,7 +31,7 @@ def packed(df: DataFrame, **named: str) -> DataFrame:
     inner = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     # a column that is null throughout has a type that no file can hold
     own = [F.col(f"c{i}").cast("string").alias(f"c{i}") if isinstance(f.dataType, T.NullType) else F.col(f"c{i}") for i, f in enumerate(df.schema.fields)]
-    return inner.select(F.struct(*own).alias("row"), *[F.col(f"c{_place(df, old)}").alias(new) for new, old in named.items()])
+    return inner.select(F.struct(*own).alias("row"), *[F.col(f"c{place(df, old)}").alias(new) for new, old in named.items()])
 
 
 def unpacked(found: DataFrame, df: DataFrame, *made: str, **changed: Column) -> DataFrame:
@@ -41,7 +42,7 @@ def unpacked(found: DataFrame, df: DataFrame, *made: str, **changed: Column) ->
     """
     new = {m.lower() for m in made}
     own = [(i, c) for i, c in enumerate(df.columns) if c.lower() not in new]
-    at = {_place(df, c): value for c, value in changed.items()}
+    at = {place(df, c): value for c, value in changed.items()}
     return found.select(*[at.get(i, F.col(f"row.c{i}")).alias(f"c{i}") for i, _ in own], *made).toDF(*[c for _, c in own], *made)
 
 

@@ -2,17 +2,21 @@
 
 Patterns give spans in each text.  Beside the named kinds, any long mixed token
 is a candidate.  Hashes of all values are counted over the whole corpus by
-distinct repositories and owners: a value that several owners hold is an example
-that people copy, a value of one owner looks live.  Live-looking candidates
-become spans of their own; spans of the named kinds stay whatever their frequency.
+distinct repositories and owners: a value that several owners hold, or that two
+hold in many repositories, is an example that people copy; a value of one owner
+looks live, in however many repositories.  Live-looking candidates become spans of
+their own; spans of the named kinds stay whatever their frequency.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.plans.session import cut_lineage, table
+from pagewright.llm import rows
+from pagewright.plans.session import cut_lineage, saved, table
 
 NAME = "op9_secret_scan"
 
@@ -22,11 +26,12 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
 )
-#: What a candidate looks like: a long token with both cases and digits.
+#: What a candidate looks like: a long token with both cases and three digits, without a longer run of small letters, as words have.
 CANDIDATE = ("owned", r"[A-Za-z0-9+/_-]{24,}", 0, 24)
-#: A value in this many distinct owners' texts or more is a copied example.
-EXAMPLE_OWNERS = 3
-#: Rows of the per-document lists of copied values up to which they are broadcast (at some 100 bytes each).
+MIXED, WORDY = ("[a-z]", "[A-Z]", "[0-9].*[0-9].*[0-9]"), "[a-z]{7,}"
+#: A value in this many distinct owners' texts or more is a copied example; so is one of fewer, but several, in this many repositories.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
+#: Rows of lists of copied values up to which they are broadcast (at some 100 bytes each).
 BROADCAST_ROWS = 100_000
 
 SPAN = "array<struct<kind:string,rank:int,begin:bigint,end:bigint,hash:bigint>>"
@@ -69,55 +74,71 @@ def _quick(pattern: str, group: int, least: int) -> str:
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with base_spans (the named kinds) and candidates, both ordered by begin, then kind.
 
-    Null and empty texts have none.  Offsets are code points, ends exclusive.
+    Null and empty texts have none; a text of any length is searched whole.  Offsets
+    are code points, ends exclusive.  A row's spans come from its own text alone, so
+    repeated rows agree and an empty table stays empty.  Columns of ``docs`` that
+    bear these two names give way; others may have any names and types.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col("text"), F.lit(""))
     base = [_spans(whole, i, *k) for i, k in enumerate(KINDS)]
     named, pattern, _, least = CANDIDATE
-    found = docs.withColumn("_base", F.concat(*base)).withColumn("_any", _spans(whole, len(KINDS), named, pattern, 0, least))
+    found = rows.packed(docs, text=text).withColumn("base", F.concat(*base)).withColumn("tokens", _spans(whole, len(KINDS), named, pattern, 0, least))
     order = lambda spans: F.transform(F.array_sort(F.transform(spans, _sortable)), lambda s: s["span"])
     span_text = lambda s: F.substring(whole, (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))
-    mixed = lambda s: span_text(s).rlike("[a-z]") & span_text(s).rlike("[A-Z]") & span_text(s).rlike("[0-9]")
+    mixed = lambda s: reduce(lambda c, x: c & span_text(s).rlike(x), MIXED, ~span_text(s).rlike(WORDY))
     apart = lambda s: ~F.exists("base_spans", lambda b: (b["begin"] < s["end"]) & (s["begin"] < b["end"]))
-    ordered = found.withColumn("base_spans", order("_base"))
-    return ordered.withColumn("candidates", F.filter(F.col("_any"), lambda s: mixed(s) & apart(s))).drop("_base", "_any")
+    ordered = found.withColumn("base_spans", order("base")).withColumn("candidates", F.filter(F.col("tokens"), lambda s: mixed(s) & apart(s)))
+    return rows.unpacked(ordered, docs, "base_spans", "candidates")
 
 
 def _sortable(s: Column) -> Column:
     return F.struct(s["begin"].alias("begin"), s["rank"].alias("rank"), s.alias("span"))
 
 
+def _values() -> Column:
+    return F.array_distinct(F.transform(F.concat("base_spans", "candidates"), lambda s: s["hash"]))
+
+
 def ownership(scanned: DataFrame, repository: str, owner: str) -> DataFrame:
     """Rows (hash, n_repositories, n_owners) over all spans and candidates of the corpus.
 
-    Distinct pairs are taken first, so a value that everyone holds is not counted in one task.
+    A row with a null repository is a repository of its own; a null owner is one
+    owner.  Counts are made per repository first, then per owner, so a value that
+    everyone holds is not counted in one task.
     """
-    values = F.array_distinct(F.transform(F.concat("base_spans", "candidates"), lambda s: s["hash"]))
-    held = scanned.select(F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.explode(values).alias("hash")).distinct()
-    by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    own = rows.chosen(scanned, repository=repository, owner=owner, base_spans="base_spans", candidates="candidates")
+    held = own.select("repository", "owner", F.explode(_values()).alias("hash")).groupBy("repository", "owner", "hash").agg(F.count("*").alias("n"))
+    by_owner = held.groupBy("hash", "owner").agg(F.sum(F.when(F.col("repository").isNull(), F.col("n")).otherwise(1)).alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
+def is_example(owners: Column, repositories: Column) -> Column:
+    """Whether a value of so many owners and repositories is a widely copied example."""
+    return (owners >= EXAMPLE_OWNERS) | ((owners > 1) & (repositories >= EXAMPLE_REPOSITORIES))
+
+
 def with_verdicts(scanned: DataFrame, key: str, owner: str) -> DataFrame:
     """``scanned`` with spans (base spans and live-looking candidates) and n_examples (spans of copied values).
 
-    The copied values of each document, a few at most, are joined to it by key:
-    by broadcast if there are few documents of this kind, else by a shuffle.
-    A null key is a repository of its own, a null owner an owner of its own.
+    ``key`` names the repository.  Which values are copied is told to the rows by
+    the list of values that a row has, whatever its key: by broadcast if there are
+    few lists with a copied value, else by a shuffle whose large partitions can be
+    split.  Columns of ``scanned`` named spans or n_examples give way.
     """
     counted = ownership(scanned, key, owner)
-    copied = counted.where(F.col("n_owners") >= EXAMPLE_OWNERS).select("hash")
-    values = F.array_distinct(F.transform(F.concat("base_spans", "candidates"), lambda s: s["hash"]))
-    held = scanned.select(F.col(key).alias("_key"), F.explode(values).alias("hash")).distinct()
-    per_doc = cut_lineage(held.join(copied, "hash").groupBy("_key").agg(F.collect_set("hash").alias("_copied")))
-    if per_doc.count() <= BROADCAST_ROWS:
-        per_doc = F.broadcast(per_doc)
-    joined = scanned.join(per_doc, scanned[key].eqNullSafe(F.col("_key")), "left").drop("_key")
-    is_copied = lambda s: F.coalesce(F.array_contains("_copied", s["hash"]), F.lit(False))
+    copied = counted.where(is_example(F.col("n_owners"), F.col("n_repositories"))).select("hash")
+    own = rows.packed(scanned, base_spans="base_spans", candidates="candidates").withColumn("values", _values())
+    lists = own.where(F.size("values") > 0).select("values").distinct()
+    found = lists.select("values", F.explode("values").alias("hash")).join(copied, "hash")
+    per_list = cut_lineage(found.groupBy("values").agg(F.collect_set("hash").alias("copied")))
+    if per_list.count() <= BROADCAST_ROWS:
+        per_list = F.broadcast(per_list)
+    joined = own.join(per_list, "values", "left")
+    is_copied = lambda s: F.coalesce(F.array_contains("copied", s["hash"]), F.lit(False))
     live = F.filter("candidates", lambda s: ~is_copied(s))
     every = F.transform(F.array_sort(F.transform(F.concat("base_spans", live), _sortable)), lambda s: s["span"])
-    joined = joined.withColumn("spans", every)
-    return joined.withColumn("n_examples", F.size(F.filter("spans", is_copied)).cast("long")).drop("_copied")
+    told = joined.withColumn("spans", every)
+    return rows.unpacked(told.withColumn("n_examples", F.size(F.filter("spans", is_copied)).cast("long")), scanned, "spans", "n_examples")
 
 
 def shown(spans: str | Column) -> Column:
@@ -129,16 +150,17 @@ def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: st
     """``docs`` with every span of ``with_verdicts`` in ``text`` replaced by ``mark``; other rows are left as they are.
 
     Overlapping spans are replaced as one.  Column ``length``, if named, becomes
-    the number of characters of texts that have changed.  Spans of the corpus are found first,
-    without texts; the texts then meet the copied values of their own document.
-    Other columns may have any names; null and empty texts have no spans,
+    the number of characters of texts that have changed.  Texts are searched once:
+    rows are written with their spans to the shared folder, ownership is counted on
+    the spans there, and no text is shuffled while few lists of values are copied.
+    Columns may have any names and types; null and empty texts have no spans,
     repeated rows stay, and an empty table stays empty.
     """
-    rest_of = [c for c in docs.columns if c != text]
-    own = docs.select(F.struct(*rest_of).alias("row"), F.col(text).alias("text"), F.col(key).alias("key"), F.col(owner).alias("owner"))
-    found = with_verdicts(find_spans(own), "key", "owner")
+    spans = find_spans(rows.packed(docs, text=text, key=key, owner=owner))
+    scanned = saved(spans.select("row", "key", "owner", "base_spans", "candidates"), "spans")
+    found = with_verdicts(scanned, "key", "owner")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    whole = F.col("text")
+    whole = F.col(f"row.c{rows.place(docs, text)}")
 
     def cut(state: Column, s: Column) -> Column:
         gap = F.substring(whole, (state["at"] + 1).cast("int"), F.greatest(F.lit(0), (s["begin"] - state["at"]).cast("int")))
@@ -146,17 +168,13 @@ def redact(docs: DataFrame, key: str = "doc_id", owner: str = "source", text: st
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), joined.alias("out"))
 
     rest = lambda s: F.concat(s["out"], F.substring(whole, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, cut, rest)).otherwise(whole)
-    out = found.withColumn("clean", clean)
-
-    def column(name: str) -> Column:
-        if name == text:
-            return F.col("clean").alias(name)
-        if name == length:
-            return F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema[name].dataType)).otherwise(F.col("row")[name]).alias(name)
-        return F.col("row")[name].alias(name)
-
-    return out.select(*map(column, docs.columns))
+    changed = {text: F.when(F.size("spans") > 0, F.aggregate("spans", start, cut, rest)).otherwise(whole)}
+    out = found.withColumn("clean", changed[text])
+    changed[text] = F.col("clean")
+    if length is not None:
+        own = F.col(f"row.c{rows.place(docs, length)}")
+        changed[length] = F.when(F.size("spans") > 0, F.length("clean").cast(rows.kind(docs, length))).otherwise(own)
+    return rows.unpacked(out, docs, **changed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,17 +200,19 @@ def _oracle() -> str:
             f"unnest(regexp_extract_all(t, '{quoted}', {group})) AS v, unnest(string_split_regex(t, '{quoted}')[:-2]) AS gap, "
             f"generate_subscripts(regexp_extract_all(t, '{quoted}'), 1) AS n, {least} AS least FROM texts"
         )
+    mixed = " AND ".join(f"regexp_matches(v, '{x}')" for x in MIXED)
     return f"""
 WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 raw AS ({" UNION ALL ".join(parts)}),
 placed AS (SELECT *, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS fin FROM raw),
 spans AS (SELECT doc_id, source, kind, rank, v, CAST(fin - length(w) AS BIGINT) AS ini, CAST(fin AS BIGINT) AS fin FROM placed WHERE length(v) >= least),
 base AS (SELECT * FROM spans WHERE kind <> 'owned'),
-cand AS (SELECT * FROM spans c WHERE kind = 'owned' AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')
+cand AS (SELECT * FROM spans c WHERE kind = 'owned' AND {mixed} AND NOT regexp_matches(v, '{WORDY}')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.ini < c.fin AND c.ini < b.fin)),
 allspans AS (SELECT * FROM base UNION ALL SELECT * FROM cand),
-freq AS (SELECT v, count(DISTINCT source) AS owners FROM allspans GROUP BY v),
-every AS (SELECT allspans.*, owners >= {EXAMPLE_OWNERS} AS copied FROM allspans JOIN freq USING (v) WHERE kind <> 'owned' OR owners < {EXAMPLE_OWNERS}),
+freq AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM allspans GROUP BY v),
+told AS (SELECT v, owners >= {EXAMPLE_OWNERS} OR (owners > 1 AND repositories >= {EXAMPLE_REPOSITORIES}) AS copied FROM freq),
+every AS (SELECT allspans.*, copied FROM allspans JOIN told USING (v) WHERE kind <> 'owned' OR NOT copied),
 agg AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
   count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE copied) AS n_examples,
   coalesce(string_agg(kind || ':' || ini || ':' || fin, ',' ORDER BY ini, rank) FILTER (WHERE kind <> 'owned'), '') AS b,
