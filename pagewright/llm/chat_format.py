@@ -4,6 +4,9 @@ A conversation is stored as events.  The log is partitioned by conversation,
 sorted by sequence within each partition and folded in one pass: streamed deltas
 grow a message, edits replace it, regenerations start it anew, deletions take it
 away.  The final messages are rendered by a template that marks turns.
+
+A table of turns becomes such a log first: users send a draft and edit it, and an
+assistant's first answer is regenerated and streamed.
 """
 
 from __future__ import annotations
@@ -11,11 +14,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm import rows
 from pagewright.plans.session import table
 
 NAME = "op4_chat_format"
@@ -39,36 +45,43 @@ def unescape(text: str) -> str:
 
 
 def fold(events: Iterable[tuple]) -> list[tuple[str, str]]:
-    """Final (role, text) of one conversation from its events (kind, message, role, text) in order.
+    """Final (role, text) of one conversation from its events (seq, kind, message, role, text) in order.
 
     ``message`` starts a message (a null id: one of its own), ``delta`` appends
     to one, and starts it where it is unknown, ``edit`` replaces its text,
     ``regenerate`` empties it so that deltas can fill it again, and drops what
     came after it; ``delete`` takes it away.  Edits, regenerations and deletions
-    of unknown messages, and unknown kinds, change nothing.
+    of unknown messages, and unknown kinds, change nothing.  Messages that begin at
+    one seq come in the order of their final role and text.
     """
-    order: list = []
-    roles, texts = {}, {}
-    for number, (kind, message, role, text) in enumerate(events):
+    order: list[list | None] = []  # seq, role, parts of the text
+    at: dict = {}
+    for number, (seq, kind, message, role, text) in enumerate(events):
         if message is None:
             message = ("event", number)
-        if kind in ("message", "delta") and message not in texts:
-            order.append(message)
-            roles[message], texts[message] = role or "", [text or ""]
+        place = at.get(message)
+        if kind in ("message", "delta") and place is None:
+            at[message] = len(order)
+            order.append([seq, role or "", [text or ""], message])
+        elif place is None:
+            continue
         elif kind == "delta":
-            texts[message].append(text or "")
-        elif kind in ("edit", "message") and message in texts:
-            texts[message] = [text or ""]
-        elif kind == "regenerate" and message in texts:
-            at = order.index(message)
-            for later in order[at + 1 :]:
-                del texts[later]
-            del order[at + 1 :]
-            texts[message] = [text or ""]
-        elif kind == "delete" and message in texts:
-            order.remove(message)
-            del texts[message]
-    return [(roles[x], "".join(texts[x])) for x in order]
+            order[place][2].append(text or "")
+        elif kind in ("edit", "message"):
+            order[place][2] = [text or ""]
+        elif kind == "regenerate":
+            while len(order) > place + 1:
+                later = order.pop()
+                if later:
+                    del at[later[3]]
+            order[place][2] = [text or ""]
+        elif kind == "delete":
+            del at[message]
+            order[place] = None
+    out: list[tuple[str, str]] = []
+    for _, tied in groupby((x for x in order if x), key=itemgetter(0)):
+        out += sorted((role, "".join(parts)) for _, role, parts, _ in tied)
+    return out
 
 
 def render(messages: Iterable[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -90,54 +103,73 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_chats(events: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """Rows (conversation, formatted, loss_mask) from events (conversation, seq, kind, message, role, text).
+    """Rows (conversation, formatted, loss_mask) from events (conversation, seq, step, kind, message, role, text).
 
     loss_mask is an array of structs (begin, end), in code points.  Events of
-    equal seq come in the order of kind, message, role and text, so repeated
-    rows stay and have one order.  A null conversation is one of its own; null
+    equal seq come in the order of message and step (null and missing steps
+    first, then by kind, role and text), so repeated rows stay and have one order.
+    seq and the conversation may have any type with an order.  A null conversation is one of its own; null
     role and text are empty; an empty table gives no rows; other columns are not
-    read.  A task holds one conversation's messages at a time, however many it has.
+    read and may have any names.  A conversation is one row of the result: a task holds one conversation's messages
+    at a time, however many it has and however long they are.
     """
-    kind = events.schema[conversation].dataType.simpleString()
-    columns = ["seq", "kind", "message", "role", "text"]
-    chosen = events.select(F.col(conversation).alias("conv"), *columns)
-    parts = chosen.repartition("conv").sortWithinPartitions("conv", *columns)
+    extra = {"step": "step"} if "step" in events.columns else {}
+    own = rows.chosen(events, conv=conversation, **{c: c for c in ("seq", *extra, "kind", "message", "role", "text")})
+    parts = own.repartition("conv").sortWithinPartitions("conv", "seq", "message", *extra, "kind", "role", "text")
+    spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, done, size = object(), [], [], 0
 
         def close() -> int:
             formatted, mask = render(fold(held))
-            done.append({"conv": now, "formatted": formatted, "loss_mask": [{"begin": a, "end": b} for a, b in mask]})
+            done.append((now, formatted, [{"begin": a, "end": b} for a, b in mask]))
             return len(formatted)
 
-        out = pa.schema([("conv", schema_of.get("conv")), ("formatted", pa.string()), ("loss_mask", spans)])
+        def batch_of(kind: pa.DataType) -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (kind, pa.string(), spans), strict=True)], ["conv", "formatted", "loss_mask"])
+
         for batch in batches:
-            names = batch.schema.names
-            for row in zip(*(batch.column(names.index(c)).to_pylist() for c in ("conv", *columns)), strict=True):
-                if row[0] != now:
+            kind = batch.schema.field("conv").type
+            for conv, *event in zip(*(batch.column(c).to_pylist() for c in ("conv", "seq", "kind", "message", "role", "text")), strict=True):
+                if conv != now:
                     if held:
                         size += close()
-                    now, held = row[0], []
-                held.append(row[2:])
+                    now, held = conv, []
+                held.append(event)
                 if size > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(done, out)
+                    yield batch_of(kind)
                     done, size = [], 0
         if held:
             close()
         if done:
-            yield pa.RecordBatch.from_pylist(done, out)
+            yield batch_of(kind)
+
+    made = rows.schema(("conv", rows.kind(events, conversation)), ("formatted", "string"), ("loss_mask", "array<struct<begin:bigint,end:bigint>>"))
+    return parts.mapInArrow(run, made).withColumnRenamed("conv", conversation)
 
-    spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    schema_of = {"conv": {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]}
-    schema = f"conv {kind}, formatted string, loss_mask array<struct<begin:bigint,end:bigint>>"
-    return parts.mapInArrow(run, schema).withColumnRenamed("conv", conversation)
+
+#: What a draft says before it is edited or regenerated.
+DRAFT = "..."
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
-    """The event log of a table of turns: each row is a message of its own."""
-    none = F.lit(None).cast("string")
-    return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), none.alias("message"), "role", "text")
+    """An event log of a table of turns (conv_id, turn, role, text), from which folding restores the turns.
+
+    An assistant's message starts as a draft, is regenerated and streamed in two
+    deltas; any other starts as a draft that is edited.  Each row is a message of
+    its own, so repeated rows stay; texts are in the log once.
+    """
+    event = lambda step, kind, role, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none, text, role = F.lit(None).cast("string"), F.coalesce("text", F.lit("")), F.col("role")
+    half = F.length(text) / 2
+    part = lambda begin, size: F.substring(text, begin, size.cast("int"))
+    streamed = [event(0, "message", role, F.lit(DRAFT)), event(1, "regenerate", none, none), event(2, "delta", none, part(F.lit(1), F.floor(half))), event(3, "delta", none, part(F.floor(half).cast("int") + 1, F.ceil(half)))]
+    edited = [event(0, "message", role, F.lit(DRAFT)), event(1, "edit", none, text)]
+    log = F.when(role == "assistant", F.array(*streamed[::-1])).otherwise(F.array(*edited[::-1]))
+    own = rows.chosen(turns, conv_id="conv_id", seq="turn", role="role", text="text").withColumn("message", F.monotonically_increasing_id().cast("string"))
+    return own.select("conv_id", "seq", "message", F.explode(log).alias("e")).select("conv_id", "seq", "message", "e.*")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -145,19 +177,18 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for conv, text, mask in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found = []
+            for text, mask in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
                 turns = parse(text)
                 lossy = "".join(unescape(text[x["begin"] : x["end"]]) for x in mask)
                 whole = "".join(f"{role}\n{body}\n" for role, body in turns)
-                rows.append((conv, len(turns), _hex(whole), len(lossy), _hex(lossy), len(text)))
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=DIGESTS)
-
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return formatted.select("conv_id", "formatted", "loss_mask").mapInArrow(run, schema)
+                found.append((len(turns), _hex(whole), len(lossy), _hex(lossy), len(text)))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = zip(*found, strict=True) if found else [[]] * 5
+            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=DIGESTS)
+
+    made = rows.schema(("conv_id", rows.kind(formatted, "conv_id")), *zip(DIGESTS[1:], ("bigint", "string", "bigint", "string", "bigint"), strict=True))
+    return formatted.select("conv_id", "formatted", "loss_mask").mapInArrow(run, made)
 
 
 DIGESTS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
