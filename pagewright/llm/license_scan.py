@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm.rows import packed, unpacked
 from pagewright.plans.session import table
 
 NAME = "op6_license_scan"
@@ -48,6 +49,46 @@ SHORT_SENTENCES = (
 
 _MIT, _GPL = "this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "* is free software you can redistribute it and or modify it under the terms of the gnu general public license"
 _APACHE = "https www apache org licenses license 2 0"
+_LESSER, _AFFERO, _LIBRARY = (_GPL.replace("gnu general", f"gnu {x} general") for x in ("lesser", "affero", "library"))
+
+
+def _published(v: str) -> tuple[str, ...]:
+    """The usual ways to name version ``v`` of a licence of the foundation."""
+    return (
+        f"as published by the free software foundation either version {v} of the license or at your option any later version",
+        f"as published by the free software foundation either version {v} of the license or any later version",
+        f"as published by the free software foundation either version {v} of the license",
+        f"as published by the free software foundation version {v} of the license",
+        f"as published by the free software foundation version {v}",
+        f"version {v} as published by the free software foundation",
+        f"version {v}",
+    )
+
+
+#: The Creative Commons licences that are spelled by rule, their names in full, and their versions.
+CC_NAMES = {"by": "attribution", "by nc": "attribution noncommercial", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+CC_VERSIONS = {"2 0": "generic", "2 5": "generic", "3 0": "unported", "4 0": "international"}
+#: Those that the one-line notices know have short identifiers.
+_CC_SHORT = {"by nc 4 0": "d1", "by 4 0": "d2", "by sa 4 0": "d3"}
+
+
+def _cc_id(kind: str, version: str) -> str:
+    return _CC_SHORT.get(f"{kind} {version}", f"cc {kind} {version}")
+
+
+def _cc_sentences() -> tuple:
+    out = []
+    for kind, name in CC_NAMES.items():
+        for version, scope in CC_VERSIONS.items():
+            full = f"creative commons {name} {version}"
+            ways = [f"{x}licensed under {y}{z}" for x in ("this work is ", "") for y, z in ((f"cc {kind} {version}", ""), ("a ", f"{full} {scope} license"), ("the ", f"{full} {scope} license"), ("a ", f"{full} license"), ("the ", f"{full} license"))]
+            out += [(w, _cc_id(kind, version)) for w in (*ways, f"spdx license identifier cc {kind} {version}")]
+    return tuple(out)
+
+
+def _cc_rules() -> tuple:
+    return tuple((f"cc-{kind.replace(' ', '-')}-{version.replace(' ', '.')}", "notice", (_cc_id(kind, version),), "nc" not in kind and "nd" not in kind) for kind in CC_NAMES for version in CC_VERSIONS if f"{kind} {version}" not in _CC_SHORT)
+
 
 #: Full sentences of licences and their usual variants; a star is one to eight words.
 FULL_SENTENCES = (
@@ -61,34 +102,42 @@ FULL_SENTENCES = (
     *((f"you may obtain a copy of the license at {x}", "b3") for x in (_APACHE, _APACHE.replace("https", "http"))),
     ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "b4"),
     ("apache license version 2 0 january 2004", "b5"),
-    *((f"{_GPL} {x}", i) for v, i in (("3", "c3"), ("2", "c5")) for x in (
-        f"as published by the free software foundation either version {v} of the license or at your option any later version",
-        f"as published by the free software foundation either version {v} of the license or any later version",
-        f"as published by the free software foundation either version {v} of the license",
-        f"as published by the free software foundation version {v} of the license",
-        f"as published by the free software foundation version {v}",
-        f"version {v} as published by the free software foundation",
-        f"version {v}",
-    )),
+    *((f"{_GPL} {x}", i) for v, i in (("3", "c3"), ("2", "c5")) for x in _published(v)),
+    *((f"{text} {x}", i) for text, v, i in ((_LESSER, "2 1", "l1"), (_LESSER, "3", "l3"), (_LIBRARY, "2", "l2"), (_AFFERO, "3", "n1")) for x in _published(v)),
+    ("gnu lesser general public license version 2 1 february 1999", "l4"),
+    ("gnu lesser general public license version 3 29 june 2007", "l5"),
+    ("gnu affero general public license version 3 19 november 2007", "n2"),
     (f"{_GPL} as published by the free software foundation", "c6"),
     ("* is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "c4"),
     ("* is distributed in the hope that it will be useful but without any warranty", "c4"),
     ("gnu general public license version 3 29 june 2007", "c7"),
     ("gnu general public license version 2 june 1991", "c8"),
-    *((f"this work is licensed under {x} creative commons attribution {y}4 0 international license", i) for x in ("a", "the") for y, i in (("", "d2"), ("noncommercial ", "d1"), ("sharealike ", "d3"))),
+    ("this source code form is subject to the terms of the mozilla public license v", "m1"),
+    *((f"if a copy of the mpl was not distributed with this file you can obtain one at {x} mozilla org mpl 2 0", "m2") for x in ("https", "http")),
+    ("mozilla public license version 2 0", "m3"),
+    *((f"permission to use copy modify {x} distribute this software {y}for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "g1") for x in ("and or", "and") for y in ("", "and its documentation ")),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "g3"),
+    *((f"the software is provided as is and {x} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "g2") for x in ("the author", "isc", "the copyright holder")),
+    ("this is free and unencumbered software released into the public domain", "h1"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "h2"),
+    ("cc0 1 0 universal", "d0"),
+    ("creative commons cc0 1 0 universal", "d0"),
+    ("licensed under cc0 1 0", "d0"),
+    ("this work is licensed under cc0 1 0", "d0"),
     ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer without modification", "f2"),
     ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "f3"),
     ("neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission", "f4"),
     ("the name of * may not be used to endorse or promote products derived from this software without specific prior written permission", "f4"),
     ("all advertising materials mentioning features or use of this software must display the following acknowledgement", "f5"),
     *((f"spdx license identifier {x}", i) for x, i in (
-        ("mit", "a4"), ("apache 2 0", "b1"), ("bsd 2 clause", "f6"), ("bsd 3 clause", "f7"), ("cc by nc 4 0", "d1"), ("cc by 4 0", "d2"), ("cc by sa 4 0", "d3"),
-        ("gpl 3 0", "c1"), ("gpl 3 0 only", "c1"), ("gpl 3 0 or later", "c1"), ("gpl 2 0", "c2"), ("gpl 2 0 only", "c2"), ("gpl 2 0 or later", "c2"),
+        ("mit", "a4"), ("apache 2 0", "b1"), ("bsd 2 clause", "f6"), ("bsd 3 clause", "f7"),
+        *((f"{x}{y}", i) for x, i in (("gpl 3 0", "c1"), ("gpl 2 0", "c2"), ("lgpl 2 1", "l6"), ("lgpl 3 0", "l7"), ("agpl 3 0", "n3")) for y in ("", " only", " or later")),
+        ("mpl 2 0", "m3"), ("isc", "g4"), ("0bsd", "g5"), ("unlicense", "h3"), ("cc0 1 0", "d0"),
     )),
 )
 
 #: Known sentences of licences, normalised, with their identifiers.
-SENTENCES = SHORT_SENTENCES + FULL_SENTENCES
+SENTENCES = tuple(dict((*_cc_sentences(), *FULL_SENTENCES, *SHORT_SENTENCES)).items())
 
 #: Rules over notices and beginnings, as the SQL has them.
 SHORT_RULES = (
@@ -114,12 +163,33 @@ RULES = (
     ("bsd-3-clause", "full", ("f1", "f2", "f3", "f4"), True),
     ("gpl-2.0", "full", ("c5", "c4"), False),
     ("gpl", "full", ("c6", "c4"), False),
+    ("lgpl-2.1", "full", ("l1", "c4"), False),
+    ("lgpl-3.0", "full", ("l3", "c4"), False),
+    ("lgpl-2.0", "full", ("l2", "c4"), False),
+    ("agpl-3.0", "full", ("n1", "c4"), False),
+    ("mpl-2.0", "full", ("m1", "m2"), True),
+    ("isc", "full", ("g1", "g2"), True),
+    ("0bsd", "full", ("g3", "g2"), True),
+    ("unlicense", "full", ("h1", "h2"), True),
     *SHORT_RULES,
     ("apache-2.0", "text", ("b5",), True),
     ("gpl-3.0", "text", ("c7",), False),
     ("gpl-2.0", "text", ("c8",), False),
     ("bsd-2-clause", "notice", ("f6",), True),
     ("bsd-3-clause", "notice", ("f7",), True),
+    ("lgpl-2.1", "text", ("l4",), False),
+    ("lgpl-3.0", "text", ("l5",), False),
+    ("agpl-3.0", "text", ("n2",), False),
+    ("lgpl-2.1", "notice", ("l6",), False),
+    ("lgpl-3.0", "notice", ("l7",), False),
+    ("agpl-3.0", "notice", ("n3",), False),
+    ("mpl-2.0", "notice", ("m3",), True),
+    ("isc", "notice", ("g4",), True),
+    ("0bsd", "notice", ("g5",), True),
+    ("unlicense", "part", ("h1",), True),
+    ("unlicense", "notice", ("h3",), True),
+    ("cc0-1.0", "notice", ("d0",), True),
+    *_cc_rules(),
 )
 
 #: The identifier of a reservation of rights, which a full licence text right after it takes back.
@@ -172,17 +242,25 @@ def identifiers(text: Column, known: tuple = SENTENCES) -> Column:
     return F.transform(found, identifier)
 
 
-def _apply(state: Column, number: int, rule: tuple) -> Column:
-    """``state`` (left, found) after one rule: ``left`` is a string of identifiers in brackets, a bar for what was used."""
-    wanted = "".join(f"({x})" for x in rule[2])
-    left = F.replace(state["left"], F.lit(wanted), F.lit("|"))
-    times = (F.length(state["left"]) - F.length(left)) / (len(wanted) - 1)
-    hit = F.array(F.struct(F.lit(number).alias("rule"), times.cast("int").alias("times")))
-    found = F.concat(state["found"], F.when(F.contains(state["left"], F.lit(wanted)), hit).otherwise(F.array().cast(hit_type)))
-    return F.struct(left.alias("left"), found.alias("found"))
+HITS = "array<struct<rule:int,times:int>>"
+
+
+def _matched(sequence: Column, rules: tuple) -> Column:
+    """Numbers of the rules that match, in their order, and how often.
+
+    ``sequence`` is a string of identifiers in brackets; what a rule has used becomes a bar.
+    """
+    table_of = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit("".join(f"({x})" for x in ids)).alias("wanted")) for n, (_, _, ids, _) in enumerate(rules)])
+    start = F.struct(sequence.alias("left"), F.array().cast(HITS).alias("found"))
 
+    def step(state: Column, rule: Column) -> Column:
+        left = F.replace(state["left"], rule["wanted"], F.lit("|"))
+        times = (F.length(state["left"]) - F.length(left)) / (F.length(rule["wanted"]) - 1)
+        hit = F.array(F.struct(rule["rule"].alias("rule"), times.cast("int").alias("times")))
+        taken = F.struct(left.alias("left"), F.concat(state["found"], hit).alias("found"))
+        return F.when(F.contains(state["left"], rule["wanted"]), taken).otherwise(state)
 
-hit_type = "array<struct<rule:int,times:int>>"
+    return F.aggregate(table_of, start, step, lambda s: s["found"])
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", known: tuple = SENTENCES, rules: tuple = RULES) -> DataFrame:
@@ -190,30 +268,26 @@ def scan_licenses(docs: DataFrame, text: str = "text", known: tuple = SENTENCES,
 
     ``known`` and ``rules`` are tables like SENTENCES and RULES.  matches is an
     array of structs (license, form, times) in the order of the rules; a
-    reservation of rights right before a full text counts as part of it.  permissive is null where no rule matches, and else whether all
-    matched licences permit reuse.  Null and empty texts match nothing; a row's
-    result depends on its own text alone, so repeated rows agree and an empty
-    table stays empty.
+    reservation of rights right before a full text counts as part of it.
+    permissive is null where no rule matches, and else whether all matched
+    licences permit reuse.  Null and empty texts match nothing; a text of any
+    length is searched whole; a row's result depends on its own text alone, so
+    repeated rows agree and an empty table stays empty.  Columns of ``docs`` that
+    bear the three names give way; others may have any names and types.
     """
-    ids = docs.withColumn("license_ids", identifiers(F.col(text), known))
+    ids = packed(docs, text=text).withColumn("license_ids", identifiers(F.col("text"), known))
     full = "|".join("".join(rf"\({x}\)" for x in r[2]) for r in rules if r[1] == "full")
     sequence = F.array_join(F.transform("license_ids", lambda i: F.concat(F.lit("("), i, F.lit(")"))), "")
-    start = F.struct((F.regexp_replace(sequence, rf"\({RESERVED}\)(?={full})", "") if full else sequence).alias("left"), F.array().cast(hit_type).alias("found"))
-    some = ids.withColumn("_rules", F.when(F.size("license_ids") > 0, F.transform(F.array(start), lambda s: _all_rules(s, rules))[0]["found"]))
+    sequence = F.regexp_replace(sequence, rf"\({RESERVED}\)(?={full})", "") if full else sequence
+    none = F.array().cast(HITS)
+    some = ids.withColumn("hits", F.when(F.size("license_ids") > 0, _matched(sequence, rules)).otherwise(none) if rules else none)
     names = F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("form"), F.lit(p).alias("permits")) for a, b, _, p in rules])
-    hits = F.coalesce("_rules", F.array().cast(hit_type))
-    matches = F.transform(hits, lambda h: F.struct(names[h["rule"]]["license"].alias("license"), names[h["rule"]]["form"].alias("form"), h["times"].alias("times")))
-    permits = F.when(F.size(hits) > 0, F.forall(hits, lambda h: names[h["rule"]]["permits"]))
-    return some.withColumn("matches", matches).withColumn("permissive", permits).drop("_rules")
-
-
-def _all_rules(state: Column, rules: tuple) -> Column:
-    """Every rule in turn; each step is bound in a lambda, so that it is computed once."""
-
-    def bound(number: int, rule: tuple):
-        return lambda s: _apply(s, number, rule)
-
-    return reduce(lambda s, x: F.transform(F.array(s), bound(*x))[0], enumerate(rules), state)
+    if not rules:
+        names = F.array().cast("array<struct<license:string,form:string,permits:boolean>>")
+    matches = F.transform("hits", lambda h: F.struct(names[h["rule"]]["license"].alias("license"), names[h["rule"]]["form"].alias("form"), h["times"].alias("times")))
+    permits = F.when(F.size("hits") > 0, F.forall("hits", lambda h: names[h["rule"]]["permits"]))
+    told = some.withColumn("matches", matches).withColumn("permissive", permits)
+    return unpacked(told, docs, "license_ids", "matches", "permissive")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
