@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm import rows
 from pagewright.plans.session import scratch_path, table
 
 NAME = "op5_warc"
@@ -39,22 +40,25 @@ def base32(digest: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
 
 
-def with_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """``pages`` with payload_bytes, payload_digest and refers_to.
+def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
+    """Rows (row, key, url, payload, payload_bytes, payload_digest, refers_to, refers_to_url); row holds all columns of ``pages``.
 
     Of rows with equal payloads of ``least_bytes`` bytes at least, that with the
-    largest key is kept as it is (refers_to null) and others refer to it.  A null
-    payload is an empty one.  Rows that repeat the largest key are all kept as
-    they are; a null key refers to the largest, unless all are null.  The largest
-    keys are aggregated before the shuffle, and the join on the digest can be split.
+    largest key is kept as it is (refers_to null) and others refer to it and its
+    url (of several urls of that key, the largest).  A null payload is an empty
+    one.  Rows that repeat the largest key are all kept as they are; a null key
+    refers to the largest, unless all are null.  The largest keys are aggregated
+    before the shuffle, and the join on the digest can be split.
     """
-    full = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    hashed = pages.withColumn("_sha1", F.sha1(full))
-    first = hashed.groupBy("_sha1").agg(F.max(key).alias("_first"), F.count("*").alias("_copies"))
-    first = first.where("_copies > 1").select("_sha1", "_first")
-    joined = hashed.join(first, "_sha1", "left").withColumns({"payload_bytes": F.octet_length(full).cast("long"), "payload_digest": base32(F.col("_sha1"))})
-    other = F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first")) & (F.col("payload_bytes") >= least_bytes)
-    return joined.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_first", "_sha1")
+    own = rows.packed(pages, key=key, url=url, payload=payload)
+    full = F.coalesce(F.col("payload"), F.lit("")).cast("binary")
+    hashed = own.withColumn("sha1", F.sha1(full))
+    first = hashed.groupBy("sha1").agg(F.max(F.struct("key", "url")).alias("first"), F.count("*").alias("copies"))
+    first = first.where("copies > 1").select("sha1", "first")
+    joined = hashed.join(first, "sha1", "left").withColumns({"payload_bytes": F.octet_length(full).cast("long"), "payload_digest": base32(F.col("sha1"))})
+    other = F.col("first.key").isNotNull() & ~F.col("key").eqNullSafe(F.col("first.key")) & (F.col("payload_bytes") >= least_bytes)
+    told = joined.withColumns({"refers_to": F.when(other, F.col("first.key")), "refers_to_url": F.when(other, F.col("first.url"))})
+    return told.drop("first", "sha1")
 
 
 def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -70,10 +74,16 @@ def _safe(value: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", captured: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes one capture per row of ``pages``, as compressed archives below ``path``."""
-    rows = with_revisits(pages, key, payload).withColumn("_id", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.monotonically_increasing_id())))
-    part = lambda name: F.concat(F.lit("<urn:capture:"), F.col("_id"), F.lit(f":{name}>"))
-    target, digest = _safe(F.col(url)), F.concat(F.lit("sha1:"), F.col("payload_digest"))
+    """Writes one capture per row of ``pages``, as compressed archives below ``path``.
+
+    A revisit names what it repeats by target URI and date.  Repeated rows are
+    captures of their own; null urls are empty; an empty table gives archives
+    without records; other columns are not read and may have any names and types.
+    """
+    made = with_revisits(rows.chosen(pages, key=key, url=url, payload=payload), "key", "url", "payload")
+    made = made.withColumn("id", F.md5(F.concat_ws("|", F.col("key").cast("string"), F.monotonically_increasing_id())))
+    part = lambda name: F.concat(F.lit("<urn:capture:"), F.col("id"), F.lit(f":{name}>"))
+    target, digest = _safe(F.col("url")), F.concat(F.lit("sha1:"), F.col("payload_digest"))
     revisit = F.col("refers_to").isNotNull()
     base = [("WARC-Target-URI", target), ("WARC-Date", F.lit(captured))]
     ask = _record(
@@ -88,13 +98,15 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             *base,
             ("WARC-Payload-Digest", digest),
             ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+            ("WARC-Refers-To-Target-URI", F.when(revisit, _safe(F.col("refers_to_url")))),
+            ("WARC-Refers-To-Date", F.when(revisit, captured)),
             ("Content-Type", F.lit("application/http;msgtype=response")),
         ],
-        F.when(revisit, head).otherwise(F.concat(head, F.coalesce(F.col(payload), F.lit("")))),
+        F.when(revisit, head).otherwise(F.concat(head, F.coalesce(F.col("payload"), F.lit("")))),
     )
     fields = F.concat_ws(
         _EOL,
-        F.concat(F.lit("pageId: "), F.col(key).cast("string")),
+        F.concat(F.lit("pageId: "), F.col("key").cast("string")),
         F.concat(F.lit("payloadBytes: "), F.col("payload_bytes").cast("string")),
         F.concat(F.lit("refersTo: "), F.col("refers_to").cast("string")),
         F.lit(""),
@@ -105,37 +117,73 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     )
     end = _EOL + _EOL
     text = F.concat(ask, F.lit(end), answer, F.lit(end), about)
-    out = rows.select(text.alias("value")).write.option("lineSep", end).option("compression", "gzip")
+    out = made.select(text.alias("value")).write.option("lineSep", end).option("compression", "gzip")
     out.option("maxRecordsPerFile", FILE_CAPTURES).text(path)
 
 
-RECORD = "type string, record_id string, concurrent_to string, target_uri string, date string, payload_digest string, fields map<string,string>, payload binary, payload_bytes bigint"
-
-
-def _unpacked(content: bytes) -> bytes:
-    """``content``, or what its gzip members hold."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(out) or content
+RECORD = "type string, record_id string, concurrent_to string, target_uri string, date string, payload_digest string, refers_to_uri string, fields map<string,string>, payload binary, payload_bytes bigint"
+#: Packed bytes of an archive that are unpacked at a time.
+CHUNK = 1 << 16
+
+
+def _unpacked(content: bytes) -> Iterator[bytes]:
+    """What the gzip members of ``content`` hold, in pieces, or ``content`` itself if it is not packed."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    member = zlib.decompressobj(31)
+    for at in range(0, len(content), CHUNK):
+        left = content[at : at + CHUNK]
+        while left:
+            yield member.decompress(left)
+            left = member.unused_data
+            if member.eof:
+                member = zlib.decompressobj(31)
+
+
+class _Pieces:
+    """Pieces of bytes as one; what has been read is given up, so no more than a record is held."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held = pieces, bytearray()
+
+    def _more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is not None:
+            self.held += piece
+        return piece is not None
+
+    def upto(self, end: bytes) -> bytes | None:
+        """What comes before ``end``, which is read as well; None if there is no such end."""
+        seen = 0
+        while (at := self.held.find(end, seen)) < 0:
+            seen = max(0, len(self.held) - len(end))
+            if not self._more():
+                return None
+        return self.take(at + len(end))[:at]
+
+    def take(self, size: int) -> bytes | None:
+        """The next ``size`` bytes, or None if there are fewer."""
+        while len(self.held) < size:
+            if not self._more():
+                return None
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        return out
 
 
 def parse_records(content: bytes, with_payload: bool) -> Iterator[dict]:
     """The records of one archive, cut at Content-Length; a truncated last record is left out."""
-    data, at = _unpacked(content), 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode(errors="replace").split(_EOL)
+    data = _Pieces(_unpacked(content))
+    while (front := data.upto(b"\r\n\r\n")) is not None:
+        lines = front.decode(errors="replace").split(_EOL)
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = end + 4
-        at = start + int(head.get("content-length") or 0)
-        if at > len(data):
+        block = data.take(int(head.get("content-length") or 0))
+        if block is None:
             return
-        block = data[start:at]
-        at += 4
+        data.take(4)
         kind = head.get("warc-type")
-        row = {"type": kind, "record_id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date")}
+        row = {"type": kind, "record_id": head.get("warc-record-id"), "concurrent_to": head.get("warc-concurrent-to"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to_uri": head.get("warc-refers-to-target-uri")}
         if kind in ("response", "revisit"):
             payload = block.partition(b"\r\n\r\n")[2]
             made = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -149,23 +197,24 @@ def parse_records(content: bytes, with_payload: bool) -> Iterator[dict]:
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Rows of RECORD from the archives below ``path``; the digest of a response is that of the bytes read.
 
-    Without ``with_payload`` payloads stay in the task that has read them.
+    Without ``with_payload`` payloads stay in the task that has read them.  A task
+    holds an archive as it is packed, and of its contents one record and one batch.
     """
-    schema = pa.schema([(c, pa.string()) for c in ("type", "record_id", "concurrent_to", "target_uri", "date", "payload_digest")])
+    schema = pa.schema([(c, pa.string()) for c in ("type", "record_id", "concurrent_to", "target_uri", "date", "payload_digest", "refers_to_uri")])
     schema = schema.append(pa.field("fields", pa.map_(pa.string(), pa.string()))).append(pa.field("payload", pa.binary())).append(pa.field("payload_bytes", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content").to_pylist():
-                rows, size = [], 0
+                held, size = [], 0
                 for row in parse_records(content, with_payload):
-                    rows.append(row)
+                    held.append(row)
                     size += len(row.get("payload") or b"") + 500
                     if size > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
 
@@ -175,9 +224,9 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records meet on WARC-Concurrent-To, or their own identifier without one; of
     several records of a kind in one capture the smallest stays.  A part that is
-    missing is null.
+    missing is null; without records there are no captures.
     """
-    body = F.struct("record_id", "type", "target_uri", "date", "payload_digest", "payload_bytes", "payload")
+    body = F.struct("record_id", "type", "target_uri", "date", "refers_to_uri", "payload_digest", "payload_bytes", "payload")
     by = records.withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
     short = F.struct("record_id", "target_uri", "date")
     return by.groupBy("capture_id").agg(
@@ -193,7 +242,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(pages, path)
     captures = assemble(read_records(spark, path, with_payload=False))
     field = lambda name: F.map_from_entries("metadata.fields")[name]
-    kind = pages.schema["page_id"].dataType
+    kind = rows.kind(pages, "page_id")
     return captures.select(
         field("pageId").cast(kind).alias("page_id"),
         F.when(F.col("response.type") == "response", F.col("response.payload_bytes")).otherwise(field("payloadBytes").cast("long")).alias("payload_bytes"),
