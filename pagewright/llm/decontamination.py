@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm import rows
 from pagewright.llm.arrow import byte_texts, pieces
 from pagewright.llm.fm_index import FMIndex
-from pagewright.plans.session import table
+from pagewright.plans.session import saved, table
 
 NAME = "op3_decontamination"
 
@@ -26,6 +27,8 @@ NAME = "op3_decontamination"
 WINDOW_WORDS, ONE_IN = 13, 20
 #: Bytes of text in one shard, and of benchmark text that is sent to tasks at once.
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+#: Blocks that are searched in one pass over the documents; then what has been found is written, and the blocks are given up.
+PASS_BLOCKS = 8
 
 #: What a byte counts as: lower-case letters, digits and all bytes of other characters stay, A-Z become lower case, the rest parts words.
 _WORD = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() and b < 0x80 else 32 for b in range(256))
@@ -106,9 +109,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark in blocks of bounded size, one partition at a time; one empty block without items."""
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    own = rows.chosen(benchmark, i=item, t=text)
     block, held, any_ = [], 0, False
-    for row in rows.toLocalIterator():
+    for row in own.select(F.coalesce(F.col("i").cast("string"), F.lit("")).alias("i"), F.coalesce("t", F.lit("")).alias("t")).toLocalIterator():
         block.append((row["i"], row["t"].encode()))
         held += len(block[-1][1])
         if held >= BLOCK_BYTES:
@@ -125,23 +128,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
     """Columns ``keep`` of ``docs`` with n_words, spans (of words, ends exclusive) and items.
 
     Documents are searched where they are, in blocks of benchmark items one after
-    another; nothing is shuffled, and repeated rows are searched each.  Null texts
-    have no words; an item without words has no window; a null item_id counts as
-    the empty string; equal ids are one item.  Empty tables give no rows, or rows
-    without hits.
+    another; nothing is shuffled, and repeated rows are searched each.  After
+    PASS_BLOCKS blocks documents and what was found so far are written to the shared
+    folder, so plans and what tasks hold stay bounded however large the benchmark
+    is.  Null texts have no words; a text may be of any length; an item without
+    words has no window; a null item_id counts as the empty string; equal ids are
+    one item.  Empty tables give no rows, or rows without hits.  Other columns are
+    not read and may have any names and types.
     """
     sc = docs.sparkSession.sparkContext
-    inner = [f"c{i}" for i in range(len(keep))]
-    state = docs.select(F.col(text).alias("text"), *[F.col(k).alias(c) for k, c in zip(keep, inner, strict=True)], F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    kinds = [T.StructField(c, docs.schema[k].dataType) for k, c in zip(keep, inner, strict=True)]
-    blocks = _blocks(benchmark, item, item_text)
+    inner = {f"c{i}": k for i, k in enumerate(keep)}
+    kinds = [T.StructField(c, rows.kind(docs, k)) for c, k in inner.items()]
+    state = rows.chosen(docs, **inner, text=text).select("*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    blocks, sent = _blocks(benchmark, item, item_text), []
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
-        carried = kinds if following is None else [T.StructField("text", T.StringType()), *kinds]
-        state = _searched(state, sc.broadcast(Windows(block)), carried)
+        carried = kinds if following is None else [*kinds, T.StructField("text", T.StringType())]
+        sent.append(sc.broadcast(Windows(block)))
+        state = _searched(state, sent[-1], carried)
+        if following is not None and len(sent) == PASS_BLOCKS:
+            state = saved(state, "searched")
+            for windows in sent:
+                windows.destroy()
+            sent = []
         block = following
-    return state.select(*[F.col(c).alias(k) for k, c in zip(keep, inner, strict=True)], "n_words", "spans", "items")
+    return state.select(*inner, "n_words", "spans", "items").toDF(*keep, "n_words", "spans", "items")
 
 
 def _searched(state: DataFrame, windows, kinds: list[T.StructField]) -> DataFrame:
@@ -172,9 +184,14 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, as they are; its columns may have any names."""
-    rows = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
-    return judged(find_contamination(rows, benchmark, ["row"])).where("not contaminated").select("row.*")
+    """The rows of ``docs`` that are not contaminated, as they are.
+
+    Null, empty and blank texts stay; repeated rows stay or go together; an empty
+    table stays empty, and without benchmark items all rows stay.  Columns may have
+    any names and types.
+    """
+    found = find_contamination(rows.packed(docs, text=text), benchmark, ["row"])
+    return rows.unpacked(judged(found).where("not contaminated"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
