@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm import rows
 from pagewright.llm.arrow import pieces
 from pagewright.plans.session import table
 
@@ -33,8 +34,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PLAIN_CUT = re.compile(r" ?[^\W\d_]+|'(?:[sdmt]|ll|ve|re)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if "\x1c" <= c <= "\x1f" or unicodedata.category(c) in ("No", "Nl"))
 NEVER = np.iinfo(np.int32).max
-#: Pre-tokens whose counts a worker remembers, at most.
-REMEMBERED = 500_000
+#: Pre-tokens whose counts a worker remembers, at most, and how long these may be.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 64
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -150,7 +151,11 @@ class Merges:
         new = list(set().union(*lists).difference(self.known))
         if new:
             self.known.update(zip(new, self.count([x.encode() for x in new]).tolist(), strict=True))
-        return [n + sum(map(self.known.__getitem__, x)) for n, x in zip(total, lists, strict=True)]
+        out = [n + sum(map(self.known.__getitem__, x)) for n, x in zip(total, lists, strict=True)]
+        for x in new:
+            if len(x) > REMEMBERED_CHARS:
+                del self.known[x]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -162,8 +167,9 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     """Rows (key, n_bytes, n_tokens) for each row of ``docs``, in any order.
 
     ``vocabulary`` is the path of a byte-level BPE file that every executor has.
-    A null or empty text has no tokens; repeated rows are counted each; other
-    columns of ``docs`` are not read; an empty table gives no rows.
+    A null or empty text has no tokens; a text may be of any length; repeated rows
+    are counted each; an empty table gives no rows.  Other columns of ``docs`` are
+    not read and may have any names and types.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +180,8 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
                 size = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
                 yield pa.record_batch([batch.column("key"), size, pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, f"key {kind}, n_bytes bigint, n_tokens bigint").withColumnRenamed("key", key)
+    made = rows.schema(("key", rows.kind(docs, key)), ("n_bytes", "bigint"), ("n_tokens", "bigint"))
+    return rows.chosen(docs, key=key, text=text).mapInArrow(run, made).withColumnRenamed("key", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
