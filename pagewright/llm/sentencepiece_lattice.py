@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.llm import rows
 from pagewright.llm.arrow import pieces
 from pagewright.llm.tables import IntTable
 from pagewright.plans.session import table
@@ -373,7 +374,9 @@ SLICE_BYTES = 1 << 20
 
 def _mapped(docs: DataFrame, keep: list[str], seed: str, text: str, build, fields: list[tuple[str, str]], path: str, k: int) -> DataFrame:
     """Columns ``keep`` and those that ``build`` makes of texts and their samples."""
-    inner = [f"c{i}" for i in range(len(keep))]
+    if k < 1:
+        raise ValueError("one segmentation at least")
+    inner = {f"c{i}": c for i, c in enumerate(keep)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
@@ -383,10 +386,9 @@ def _mapped(docs: DataFrame, keep: list[str], seed: str, text: str, build, field
                 made = build(texts, segment(texts, batch.column("seed").to_pylist(), model, k), model)
                 yield pa.record_batch([*(batch.column(c) for c in inner), *made], [*inner, *(n for n, _ in fields)])
 
-    chosen = docs.select(F.col(text).alias("text"), F.xxhash64(seed).alias("seed"), *[F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)])
-    kinds = [(i, docs.schema[c].dataType.simpleString()) for c, i in zip(keep, inner, strict=True)]
-    out = chosen.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in [*kinds, *fields]))
-    return out.select(*[F.col(i).alias(c) for c, i in zip(keep, inner, strict=True)], *(n for n, _ in fields))
+    own = rows.chosen(docs, **inner, text=text, seed=seed).withColumn("seed", F.xxhash64("seed"))
+    out = own.mapInArrow(run, rows.schema(*((i, rows.kind(docs, c)) for i, c in inner.items()), *fields))
+    return out.toDF(*keep, *(n for n, _ in fields))
 
 
 def _lists(values: pa.Array, sizes: list[int]) -> pa.Array:
@@ -410,26 +412,32 @@ def _sample_column(texts: list[str], found: Iterator[list[tuple]], model: Vocabu
 def sample_segmentations(docs: DataFrame, model_path: str, keep: list[str], key: str = "doc_id", text: str = "text", k: int = SAMPLES) -> DataFrame:
     """Columns ``keep`` of ``docs`` with samples: up to ``k`` distinct segmentations as (ids, log_prob, inclusion).
 
-    ``model_path`` is a file every executor has.  Fewer than ``k`` are given where
-    a text has no more; a null or empty text has one, without pieces.  Rows with
-    equal key and text have equal samples; an empty table gives no rows.
+    ``model_path`` is a file every executor has; ``k`` is one at least.  Fewer than ``k`` are given where
+    a text has no more; a null or empty text has one, without pieces; a text may be
+    of any length.  Rows with equal key and text have equal samples; an empty table
+    gives no rows.  Other columns are not read and may have any names and types.
     """
-
     fields = [("samples", "array<struct<ids:array<int>,log_prob:double,inclusion:double>>")]
     return _mapped(docs, keep, key, text, _sample_column, fields, model_path, k)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str, into: str) -> DataFrame:
-    """``encoded`` with column ``into``: the text of the array of ids in column ``ids`` (null: null)."""
+    """``encoded`` with column ``into``: the text of the array of ids in column ``ids``.
+
+    A null array gives null, an empty one an empty text; repeated rows agree and an
+    empty table stays empty.  A column named ``into`` gives way; others may have
+    any names and types.
+    """
+    own = rows.packed(encoded, ids=ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(model_path)
         for batch in batches:
-            texts = [None if x is None else model.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
+            texts = [None if x is None else model.decode(x) for x in batch.column("ids").to_pylist()]
+            yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kinds}, `{into}` string")
+    made = own.mapInArrow(run, rows.schema(("row", own.schema["row"].dataType), ("text", "string")))
+    return rows.unpacked(made.withColumnRenamed("text", into), encoded, into)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
