@@ -14,17 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm import rows
 from pagewright.llm.arrow import byte_texts, pieces
-from pagewright.plans.session import table
+from pagewright.plans.session import cut_lineage, table
 
 NAME = "op2_quality_classifier"
 ORACLE_SQL = None
 
-#: Labelled rows that a model is fitted to, at most: those with the smallest hash of their id.
-MOST_TRAINING_ROWS = 8_000
+#: Labelled rows that a model is fitted to, at most: those with the smallest hash of their id, as long as their
+#: indicators have so many bytes at most (of a row some four for each distinct n-gram, and a megabyte at most).
+MOST_TRAINING_ROWS, MOST_TRAINING_BYTES = 8_000, 512 << 20
 #: Indicators are hashed to so many bits; the first few places stand for shares of repeated n-grams.
 BITS = 18
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
@@ -151,16 +153,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str = "do
     Labels that are null, of null keys or of keys whose crc32 is a multiple of
     five are left out.  Of labels and documents that repeat a key the smallest counts.
     """
-    usable = labels.where(F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0))
-    one = usable.groupBy(key).agg(F.min(label).alias("good"))
-    chosen = one.orderBy(F.xxhash64(key), key).limit(MOST_TRAINING_ROWS)  # the bound of the broadcast below
-    found = docs.select(key, text).join(F.broadcast(chosen), key)
-    return found.groupBy(F.col(key).alias("key")).agg(F.min(F.coalesce(text, F.lit(""))).alias("text"), F.min("good").alias("good"))
+    named = rows.chosen(labels, key=key, good=label)
+    usable = named.where(F.col("good").isNotNull() & (F.crc32(F.col("key").cast("string").cast("binary")) % 5 != 0))
+    one = usable.groupBy("key").agg(F.min("good").alias("good"))
+    chosen = one.orderBy(F.xxhash64("key"), "key").limit(MOST_TRAINING_ROWS)  # the bound of the broadcast below
+    found = rows.chosen(docs, key=key, text=text).join(F.broadcast(chosen), "key")
+    return found.groupBy("key").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("good").alias("good"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> Model:
     """A model of ``label`` 1 against 0.  Indicators are made where the texts are; one task fits them."""
-    rows = training_rows(docs, labels, label, key, text)
+    texts = training_rows(docs, labels, label, key, text)
 
     def indicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Indicators()
@@ -177,8 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         numbers = [model.bias, model.slope, model.offset]
         return pa.table({"scale": [packed[0]], "weights": [packed[1]], "numbers": pa.array([numbers], pa.list_(pa.float64()))})
 
-    hashed = rows.select(F.xxhash64("key").alias("h"), "text", F.col("good").cast("int").alias("good"))
-    made = hashed.mapInArrow(indicate, "h bigint, found binary, good int").withColumn("one", F.lit(1))
+    hashed = texts.select(F.xxhash64("key").alias("h"), "text", F.col("good").cast("int").alias("good"))
+    made = cut_lineage(hashed.mapInArrow(indicate, "h bigint, found binary, good int"))
+    upto = F.sum(F.octet_length("found")).over(Window.orderBy("h"))  # over as many rows as are labelled at most
+    last = made.select("h", upto.alias("upto")).where(F.col("upto") <= MOST_TRAINING_BYTES).agg(F.max("h")).first()[0]
+    made = made.where(F.col("h") <= F.lit(last)).withColumn("one", F.lit(1))
     schema = "scale binary, weights binary, numbers array<double>"
     fitted = made.groupBy("one").applyInArrow(lambda t: learn(t.drop_columns(["one"])), schema).collect()
     if not fitted:
@@ -189,11 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` with score, for every row; null and empty texts have no indicators.
 
-    A row's score depends on its text alone, so repeated rows agree; an empty
-    table gives no rows.
+    A row's score depends on its whole text alone, so repeated rows agree; an empty
+    table gives no rows.  Other columns are not read and may have any names and types.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
-    inner = [f"c{i}" for i in range(len(keep))]
+    inner = {f"c{i}": k for i, k in enumerate(keep)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Indicators()
@@ -202,10 +208,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 scores = [shared.value.score(make.of(x)) for x in byte_texts(batch.column("text"))]
                 yield pa.record_batch([*(batch.column(c) for c in inner), pa.array(scores, pa.float64())], [*inner, "score"])
 
-    kinds = "".join(f"{c} {docs.schema[k].dataType.simpleString()}, " for k, c in zip(keep, inner, strict=True))
-    chosen = docs.select(F.col(text).alias("text"), *[F.col(k).alias(c) for k, c in zip(keep, inner, strict=True)])
-    scored = chosen.mapInArrow(run, f"{kinds}score double")
-    return scored.select(*[F.col(c).alias(k) for k, c in zip(keep, inner, strict=True)], "score")
+    made = rows.schema(*((c, rows.kind(docs, k)) for c, k in inner.items()), ("score", "double"))
+    return rows.chosen(docs, **inner, text=text).mapInArrow(run, made).toDF(*keep, "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
