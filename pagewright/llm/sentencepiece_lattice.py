@@ -409,16 +409,31 @@ def _sample_column(texts: list[str], found: Iterator[list[tuple]], model: Vocabu
     return [_lists(one, counts)]
 
 
-def sample_segmentations(docs: DataFrame, model_path: str, keep: list[str], key: str = "doc_id", text: str = "text", k: int = SAMPLES) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model_path: str, keep: list[str], key: str = "doc_id", text: str = "text", k: int = SAMPLES, check: bool = False) -> DataFrame:
     """Columns ``keep`` of ``docs`` with samples: up to ``k`` distinct segmentations as (ids, log_prob, inclusion).
 
-    ``model_path`` is a file every executor has; ``k`` is one at least.  Fewer than ``k`` are given where
-    a text has no more; a null or empty text has one, without pieces; a text may be
-    of any length.  Rows with equal key and text have equal samples; an empty table
-    gives no rows.  Other columns are not read and may have any names and types.
+    ``model_path`` is a file every executor has; ``k`` is one at least.  Fewer than
+    ``k`` are given where a text has no more; a null or empty text has one, without
+    pieces; a text may be of any length.  With ``check`` a column decoded follows:
+    whether every sample decodes to the text (the mark of a space counts as a
+    space).  Rows with equal key and text have equal samples; an empty table gives
+    no rows.  Other columns are not read and may have any names and types.
     """
     fields = [("samples", "array<struct<ids:array<int>,log_prob:double,inclusion:double>>")]
-    return _mapped(docs, keep, key, text, _sample_column, fields, model_path, k)
+    if not check:
+        return _mapped(docs, keep, key, text, _sample_column, fields, model_path, k)
+
+    def build(texts, found, model):
+        held = list(found)
+        back = [decodes(text, row, model) for text, row in zip(texts, held, strict=True)]
+        return [*_sample_column(texts, iter(held), model), pa.array(back, pa.bool_())]
+
+    return _mapped(docs, keep, key, text, build, [*fields, ("decoded", "boolean")], model_path, k)
+
+
+def decodes(text: str, samples: list[tuple], model: Vocabulary) -> bool:
+    """Whether all samples decode to ``text``."""
+    return all(model.decode(ids) == text.replace(SPACE, " ") for ids, _, _ in samples)
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str, into: str) -> DataFrame:
@@ -447,9 +462,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = []
         for text, found in zip(texts, samples, strict=True):
             digest = hashlib.sha256(b"".join(len(ids).to_bytes(8, "little") + ids.astype("<i4").tobytes() for ids, _, _ in found)).hexdigest()
-            back = all(model.decode(ids) == text.replace(SPACE, " ") for ids, _, _ in found)
             distinct = len({ids.tobytes() for ids, _, _ in found})
-            rows.append((len(found[0][0]), distinct, found[0][1], found[0][2], min(q for _, _, q in found), digest, back))
+            rows.append((len(found[0][0]), distinct, found[0][1], found[0][2], min(q for _, _, q in found), digest, decodes(text, found, model)))
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
         return [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
 
