@@ -15,6 +15,10 @@ def place(df: DataFrame, name: str) -> int:
     return [c.lower() for c in names].index(name.lower())
 
 
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def kind(df: DataFrame, name: str) -> T.DataType:
     """The type of column ``name``."""
     return df.schema.fields[place(df, name)].dataType
@@ -43,7 +47,7 @@ def unpacked(found: DataFrame, df: DataFrame, *made: str, **changed: Column) ->
     new = {m.lower() for m in made}
     own = [(i, c) for i, c in enumerate(df.columns) if c.lower() not in new]
     at = {place(df, c): value for c, value in changed.items()}
-    return found.select(*[at.get(i, F.col(f"row.c{i}")).alias(f"c{i}") for i, _ in own], *made).toDF(*[c for _, c in own], *made)
+    return found.select(*[at.get(i, F.col(f"row.c{i}")).alias(f"c{i}") for i, _ in own], *map(_named, made)).toDF(*[c for _, c in own], *made)
 
 
 def schema(*fields: tuple[str, T.DataType | str]) -> T.StructType:
