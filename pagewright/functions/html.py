@@ -17,13 +17,36 @@ MOST_HEADINGS, MOST_LINKS, MOST_IMAGES = 200, 500, 300
 MOST_SCRIPTS, MOST_CLASSES, MOST_NETWORK_URLS = 200, 2000, 300
 SNIPPET_CHARS, BODY_CHARS, HEADING_CHARS = 8192, 2048, 256
 TRACKER_HOSTS = ("google-analytics.com", "googletagmanager.com", "static.hotjar.com", "connect.facebook.net", "cdn.segment.com", "cdn.mxpnl.com", "plausible.io", "posthog.com")
-CAPTCHA = r"(?i)g-recaptcha|data-sitekey|cf-challenge-running|challenge-form|<iframe[^>]*src=\"[^\"]*(recaptcha|hcaptcha|turnstile)|class=\"[^\"]*turnstile"
+CAPTCHA = r"""(?i)g-recaptcha|data-sitekey|cf-challenge-running|challenge-form|<iframe[^>]*?\ssrc\s*=\s*["']?[^"'>]*(recaptcha|hcaptcha|turnstile)|class\s*=\s*["']?[^"'>]*turnstile"""
+#: The value of an attribute in its three forms: in double quotes, in single quotes, bare.
+VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+TAG = r"<[a-zA-Z][^>]*>"
 
 
 def _all(html: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
 
 
+def unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag (a pattern for its name), the first of several; empty where there is none."""
+    return unquoted(F.regexp_extract(tag, rf"(?i)(?<![\w-]){name}\s*=\s*({VALUE})", 1))
+
+
+def _values(html: Column, tag: str, name: str) -> Column:
+    """Values that are not empty of attribute ``name`` in the tags ``tag``, the first in each tag."""
+    found = F.transform(_all(html, rf"(?i)<{tag}\b[^>]*?(?<![\w-]){name}\s*=\s*({VALUE})"), unquoted)
+    return F.filter(found, lambda v: v != "")
+
+
+def _in_tags(html: Column, name: str) -> Column:
+    """All values of attributes ``name`` (a pattern) of all tags."""
+    return F.flatten(F.transform(_all(html, TAG, 0), lambda t: F.transform(_all(t, rf"(?i)(?<![\w-])(?:{name})\s*=\s*({VALUE})"), unquoted)))
+
+
 def inner_text(markup: Column) -> Column:
     """Text without tags, white space collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]*>", ""), r"\s+", " "))
@@ -42,25 +65,25 @@ def headings(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    return F.slice(_all(html, r'(?i)<a\b[^>]*href="([^"]+)"'), 1, MOST_LINKS)
+    return F.slice(_values(html, "a", "href"), 1, MOST_LINKS)
 
 
 def images(html: Column) -> Column:
     """Array of (src, alt), one per src, the first."""
     tags = F.slice(_all(html, r"(?i)<img\b[^>]*>", 0), 1, MOST_IMAGES)
-    found = F.transform(tags, lambda t: record(src=F.regexp_extract(t, r'(?i)src="([^"]*)"', 1), alt=F.regexp_extract(t, r'(?i)alt="([^"]*)"', 1)))
+    found = F.transform(tags, lambda t: record(src=attribute(t, "src"), alt=attribute(t, "alt")))
     seen = lambda a, x: F.when((x["src"] == "") | F.exists(a, lambda y: y["src"] == x["src"]), a).otherwise(F.concat(a, F.array(x)))
     return F.aggregate(found, F.array().cast("array<struct<src:string,alt:string>>"), seen)
 
 
 def script_sources(html: Column) -> Column:
-    return F.slice(_all(html, r'(?i)<script\b[^>]*src="([^"]+)"'), 1, MOST_SCRIPTS)
+    return F.slice(_values(html, "script", "src"), 1, MOST_SCRIPTS)
 
 
 def meta_tags(html: Column) -> Column:
     """Map of lower-case name, property or http-equiv to content; the first of a name counts."""
     tags = _all(html, r"(?i)<meta\b[^>]*>", 0)
-    pair = lambda t: record(k=F.lower(F.regexp_extract(t, r'(?i)(?:name|property|http-equiv)="([^"]*)"', 1)), v=F.substring(F.regexp_extract(t, r'(?i)content="([^"]*)"', 1), 1, 512))
+    pair = lambda t: record(k=F.lower(attribute(t, "(?:name|property|http-equiv)")), v=F.substring(attribute(t, "content"), 1, 512))
     first = lambda a, x: F.when((x["k"] == "") | F.exists(a, lambda y: y["k"] == x["k"]), a).otherwise(F.concat(a, F.array(x)))
     return F.map_from_entries(F.slice(F.aggregate(F.transform(tags, pair), F.array().cast("array<struct<k:string,v:string>>"), first), 1, 64))
 
@@ -73,12 +96,12 @@ def snippet(html: Column) -> Column:
 
 
 def css_classes(html: Column) -> Column:
-    tokens = F.flatten(F.transform(_all(html, r'class="([^"]*)"'), lambda c: F.split(c, r"\s+")))
+    tokens = F.flatten(F.transform(_in_tags(html, "class"), lambda c: F.split(c, r"\s+")))
     return F.slice(F.array_distinct(F.filter(tokens, lambda t: t != "")), 1, MOST_CLASSES)
 
 
 def network_urls(html: Column) -> Column:
-    found = F.transform(_all(html, r'(?:href|src|action)="([^"]+)"'), lambda u: F.trim(u))
+    found = F.transform(_in_tags(html, "href|src|action"), lambda u: F.trim(u))
     kept = F.filter(found, lambda u: (u != "") & ~F.startswith(u, F.lit("data:")) & ~F.startswith(u, F.lit("javascript:")))
     return F.slice(F.array_distinct(kept), 1, MOST_NETWORK_URLS)
 
@@ -96,7 +119,7 @@ def breakpoints(css: Column) -> Column:
 
 
 def has_password(html: Column) -> Column:
-    return html.rlike(r'(?i)<input\b[^>]*type="password"')
+    return html.rlike(r"""(?i)<input\b[^>]*?(?<![\w-])type\s*=\s*["']?password(?=["'\s/>])""")
 
 
 def has_captcha(html: Column) -> Column:
@@ -107,7 +130,7 @@ def without_trackers(html: Column) -> Column:
     """The page without its base element and the scripts of known trackers."""
     hosts = "|".join(h.replace(".", r"\.") for h in TRACKER_HOSTS)
     plain = F.regexp_replace(html, r"(?i)<base\b[^>]*>", "")
-    return F.regexp_replace(plain, rf'(?is)<script\b[^>]*src="[^"]*(?:{hosts})[^"]*"[^>]*>.*?</script>', "")
+    return F.regexp_replace(plain, rf"""(?is)<script\b[^>]*?(?<![\w-])src\s*=\s*["']?[^"'>\s]*(?:{hosts})[^>]*>.*?</script>""", "")
 
 
 def capped(html: Column, most_bytes: int) -> Column:

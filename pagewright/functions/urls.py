@@ -258,6 +258,18 @@ def classify_ipv6(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: None if t is None else ipv6_reason(t))
 
 
+def classify_ip_literal(host: Column) -> Column:
+    """Struct (is_ip, reason) of a host, in brackets or not: whether it is an address, and why that is blocked (null if it is allowed)."""
+    bare = F.regexp_replace(F.trim(host), r"^\[|\]$", "")
+    v4 = parse_ipv4(bare)
+    v6 = F.when(F.contains(bare, F.lit(":")), classify_ipv6(bare))
+
+    def judge(x: Column) -> Column:
+        return record(is_ip=x["v4"].isNotNull() | x["v6"].isNotNull(), reason=F.when(x["v4"].isNotNull(), classify_ipv4(x["v4"])).otherwise(F.nullif(x["v6"], F.lit(""))))
+
+    return let(record(v4=v4, v6=v6), judge)
+
+
 def screen_url(url: Column, trusted_origins: tuple[str, ...] = ()) -> Column:
     """Why a URL is denied by its shape, null if it passes: the first check that fails names the reason."""
 
@@ -292,9 +304,20 @@ def looks_like_login(url: Column) -> Column:
     return out
 
 
+def cookie_domain(domain: Column) -> Column:
+    """The domain of a cookie without its leading dot, in lower case."""
+    return F.lower(F.regexp_replace(domain, r"^\.", ""))
+
+
 def cookie_in_scope(domain: Column, host: Column) -> Column:
-    d = F.ltrim(F.lower(domain), F.lit("."))
-    return (d == host) | F.endswith(host, F.concat(F.lit("."), d))
+    """Whether a cookie of this domain goes to ``host``."""
+    d, h = cookie_domain(domain), F.lower(host)
+    return (d == h) | F.endswith(h, F.concat(F.lit("."), d))
+
+
+def origin_in_scope(origin: Column, host: Column) -> Column:
+    """Whether an origin's host is exactly ``host``; what is no URL is out of scope."""
+    return F.coalesce(url_parts(origin)["host"] == F.lower(host), F.lit(False))
 
 
 def join_url(base: Column, path: Column) -> Column:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagewright.plans.session import cut_lineage
 
+#: Keys let in at once up to which they are broadcast (some 100 bytes each).
+BROADCAST_PAGES = 100_000
+
 
 def enqueue(offered: DataFrame, seen: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
     """Rows (seq, key, depth, in_scope) of one level with the status each gets.
@@ -23,7 +26,8 @@ def enqueue(offered: DataFrame, seen: DataFrame, max_depth: int, max_pages: int)
     # the first offer of each key that may be let in; only the first max_pages of these keys matter, so the global order is of them alone
     firsts = rows.where(fresh).groupBy("key").agg(F.min("seq").alias("seq"))
     ranked = firsts.orderBy("seq").limit(max_pages).withColumn("_place", F.row_number().over(Window.orderBy("seq")))
-    placed = rows.join(F.broadcast(ranked.select("key", F.col("seq").alias("_seq"), "_place")), "key", "left")
+    places = ranked.select("key", F.col("seq").alias("_seq"), "_place")
+    placed = rows.join(F.broadcast(places) if max_pages <= BROADCAST_PAGES else places, "key", "left")
     room = F.lit(max_pages) - F.col("_size")
     let_in = (F.col("_place") <= room) & (F.col("seq") == F.col("_seq"))
     filled = ranked.join(F.broadcast(size)).where(F.col("_place") == F.lit(max_pages) - F.col("_size")).agg(F.min("seq").alias("_filled"))

@@ -1,15 +1,17 @@
 """Technology detection: evidence against weighted signals, confidence and version per rule.
 
-Evidence is exploded to rows, one per item of a vector, and meets the signals of
-its vector by an equality join; the signal table is small and broadcast behind a
-check of its size.  Two aggregations follow: the first item per page and signal,
-then the first page per signal, then the rule.
+Evidence is exploded to rows, one per item of a vector.  Signals are a bounded
+relation: each becomes an expression over the items of its vector, whose pattern
+is compiled once, and only hits are exploded further.  A relation beyond that
+bound meets the evidence by a join on the vector.  Two aggregations follow: the
+first item per page and signal, then the first page per signal, then the rule.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions import html as H
 from pagewright.functions.columns import record
@@ -17,8 +19,8 @@ from pagewright.functions.columns import record
 #: Fixed values.
 DETECTED, PROBABLE = 0.75, 0.5
 MOST_PAGES, MOST_SIGNALS, EVIDENCE_CHARS = 100, 20, 256
-#: Signals up to which the relation is broadcast (some 200 bytes each).
-BROADCAST_SIGNALS = 50_000
+#: Signals up to which each is an expression of its own, and up to which the relation is broadcast (some 200 bytes each).
+LITERAL_SIGNALS, BROADCAST_SIGNALS = 1_000, 50_000
 VERSION = r"^\d+(?:\.\d+){0,3}(?:[-+][0-9A-Za-z.-]+)?$"
 
 
@@ -83,16 +85,32 @@ def status(score: Column) -> Column:
     return F.when(score >= DETECTED, "detected").when(score >= PROBABLE, "probable").otherwise("unknown")
 
 
+def hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` of evidence with the columns of each signal that they match."""
+    count = rules.count()
+    if count > LITERAL_SIGNALS:
+        signals = F.broadcast(rules) if count <= BROADCAST_SIGNALS else rules
+        return rows.join(signals, "vector").where(matches(F.col("mode"), F.col("pattern"), F.col("value")))
+    known = [x.asDict() for x in rules.collect()]
+    by_vector: dict[str, list[Column]] = {}
+    for number, signal in enumerate(known):
+        test = matches(F.lit(signal["mode"]), F.lit(signal["pattern"]), F.col("value"))
+        by_vector.setdefault(signal["vector"], []).append(F.when(test, number))
+    found = F.array().cast("array<int>")
+    for vector, tests in by_vector.items():
+        found = F.when(F.col("vector") == vector, F.array_compact(F.array(*tests))).otherwise(found)
+    numbered = rules.sparkSession.createDataFrame([(i, *x.values()) for i, x in enumerate(known)], T.StructType([T.StructField("_signal", T.IntegerType()), *rules.schema.fields]))
+    return rows.select("*", F.explode(found).alias("_signal")).join(F.broadcast(numbered.drop("vector")), "_signal").drop("_signal")
+
+
 def detect(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per scan and rule that is reported.
 
     Of a signal the first page, and on it the first item, gives evidence and
     version.  A rule keeps its first 20 signals and 100 pages in order.
     """
-    if rules.count() <= BROADCAST_SIGNALS:
-        rules = F.broadcast(rules)
     key = ["scan_id", "rule_id", "signal_seq"]
-    hit = rows.join(rules, "vector").where(matches(F.col("mode"), F.col("pattern"), F.col("value")))
+    hit = hits(rows, rules)
     first = hit.groupBy("scan_id", "rule_id", "name", "category", "signal_seq", "vector", "weight", "version_regex", "version_kind", "page_seq", "page_url").agg(F.min_by("value", "pos").alias("value"))
     own = F.struct("page_seq", "value")
     signal = first.groupBy(*key, "name", "category", "vector", "weight", "version_regex", "version_kind").agg(F.min(own).alias("f"))

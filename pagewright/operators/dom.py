@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,22 +60,35 @@ def page_nodes(html: str | None) -> list[tuple]:
     return out
 
 
+#: Nodes in one batch of rows, about.
+BATCH_NODES = 20_000
+
+
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per node of each page, with its page's key."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+
+    def made(batch: pa.RecordBatch, owners: list[int], held: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)]
+        return pa.record_batch([batch.column("key").take(pa.array(owners, pa.int64())), *columns], ["key", *names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, text in zip(batch["key"], batch["html"], strict=True):
-                rows = pd.DataFrame(page_nodes(text), columns=names)
-                if len(rows):
-                    rows["parent_id"] = rows["parent_id"].astype("Int32")
-                    rows.insert(0, "key", page)
-                    yield rows
+            owners, held = [], []
+            for i, text in enumerate(batch.column("html").to_pylist()):
+                rows = page_nodes(text)
+                held += rows
+                owners += [i] * len(rows)
+                if len(held) >= BATCH_NODES:
+                    yield made(batch, owners, held)
+                    owners, held = [], []
+            if held:
+                yield made(batch, owners, held)
 
     kind = pages.schema[key].dataType.simpleString()
     chosen = pages.select(F.col(key).alias("key"), F.col(html).alias("html"))
-    return chosen.mapInPandas(run, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
+    return chosen.mapInArrow(run, f"key {kind}, {SCHEMA}").withColumnRenamed("key", key)
 
 
 def component_kind(tag: Column, role: Column) -> Column:

@@ -96,16 +96,23 @@ def page_navigation(html: str | None) -> list[tuple]:
     return out
 
 
+#: Rows in one batch, about.
+BATCH_ROWS = 10_000
+
+
 def _rows(pages: DataFrame, make, schema: str, key: str, html: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for page, text in zip(batch["key"], batch["html"], strict=True):
-                rows = pd.DataFrame(make(text), columns=names)
-                if len(rows):
-                    rows.insert(0, "key", page)
-                    yield rows
+                rows += [(page, *r) for r in make(text)]
+                if len(rows) >= BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=["key", *names])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", *names])
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, f"key {kind}, {schema}").withColumnRenamed("key", key)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,26 +59,50 @@ def single_position_patterns(paths: DataFrame, site: str, path: str) -> DataFram
 def greedy_patterns(paths: DataFrame, site: str, path: str) -> DataFrame:
     """The patterns of a site taken greedily: by depth, position and key; a group that touches a used path is left out.
 
-    Groups that share a pattern's key are found by the aggregation above; only the
-    choice among them is sequential, one site at a time.
+    The choice is made in rounds for all sites at once.  A group is taken when no
+    smaller group that is still open touches any of its paths; groups that share a
+    path with it are out.  Each round is written to the shared folder, and no site
+    or group is gathered in one task.
     """
     groups = single_position_patterns(paths, site, path)
     distinct = paths.select(site, path).distinct().withColumn("s", segments(F.col(path)))
     each = distinct.select(site, path, "s", F.size("s").alias("depth"), F.posexplode("s").alias("position", "value"))
     rest = F.array_join(F.concat(F.slice("s", 1, F.col("position")), F.array(F.lit("*")), F.slice("s", F.col("position") + 2, F.col("depth"))), "/")
-    members = each.withColumn("rest", rest).join(groups, [site, "depth", "position", "rest"])
-    kind = paths.schema[site].dataType.simpleString()
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (_, _, _), group in rows.groupby(["depth", "position", "rest"], sort=True):
-            own = set(group[path])
-            if used.isdisjoint(own):
-                used |= own
-                out.append((rows[site].iloc[0], group["pattern"].iloc[0], len(own)))
-        return pd.DataFrame(out, columns=[site, "pattern", "n_paths"])
-
-    return members.select(site, path, "depth", "position", "rest", "pattern").groupBy(site).applyInPandas(choose, f"{site} {kind}, pattern string, n_paths bigint")
+    keys = [site, "depth", "position", "rest"]
+    known = each.withColumn("rest", rest).join(groups.select(*keys), keys)
+    open_ = cut_lineage(known.select(site, path, F.struct("depth", "position", "rest").alias("group")))
+    taken = []
+    while not open_.isEmpty():
+        least = open_.groupBy(site, path).agg(F.min("group").alias("least"))
+        judged = open_.join(least, [site, path]).groupBy(site, "group").agg(F.bool_and(F.col("group") == F.col("least")).alias("first"))
+        taken.append(cut_lineage(judged.where("first").select(site, "group")))
+        used = open_.join(taken[-1], [site, "group"], "left_semi").select(site, path).distinct()
+        out = open_.join(used, [site, path], "left_semi").select(site, "group").distinct()
+        open_ = cut_lineage(open_.join(out, [site, "group"], "left_anti"))
+    if not taken:
+        return groups.select(site, "pattern", "n_paths").limit(0)
+    every = reduce(DataFrame.unionByName, taken).select(site, "group.*")
+    return groups.join(every, keys, "left_semi").select(site, "pattern", "n_paths")
+
+
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with a running number per group, from 1, however many rows a group has.
+
+    Rows are cut into ranges; each range is numbered on its own and starts where
+    those before it end, so a group with most of the rows is many tasks' work.
+    """
+    ranged = cut_lineage(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range", *by).agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", *by, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order)))
+    placed = own.withColumnsRenamed({c: f"_b{i}" for i, c in enumerate(by)})
+    on = placed["_range"] == offsets["_range"]
+    for i, c in enumerate(by):
+        on = on & F.col(f"_b{i}").eqNullSafe(offsets[c])
+    joined = placed.join(offsets, on)
+    names = {c: f"_b{i}" for i, c in enumerate(by)}
+    return joined.select(*[F.col(names[c]).alias(c) if c in names else F.col(c) for c in rows.columns], (F.col("_own") + F.col("_before")).alias(name))
 
 
 def parents_by_depth(rows: DataFrame, by: Sequence[str], seq: str, depth: str, most_depth: int = 10) -> DataFrame:

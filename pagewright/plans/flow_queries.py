@@ -10,6 +10,7 @@ from pagewright.operators import crawl as C
 from pagewright.operators import dom, images
 from pagewright.plans.registry import register
 from pagewright.plans.session import scratch_path, table
+from pagewright.sources import files as S
 from pagewright.streaming import events as E
 
 
@@ -142,7 +143,74 @@ def frontier_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statuses.groupBy("status").agg(F.sum("copies").alias("n"))
 
 
-@register("crawl_pages")
+def _crawl_sql(levels: int, most: int) -> str:
+    """A breadth-first crawl of so many levels: each level lets in the first offers of new keys, as many as there is room."""
+    parts = ["l AS (SELECT l_suppkey % 40 AS source, l_partkey % 400 AS target, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_partkey % 7 > 0)", "s0 AS (SELECT 0::BIGINT AS key, 0 AS depth)"]
+    for d in range(1, levels + 1):
+        parts.append(f"o{d} AS (SELECT target AS key, min({{'a': l.source, 'b': l.seq}}) AS first FROM l JOIN s{d - 1} ON depth = {d - 1} AND s{d - 1}.key = l.source WHERE target NOT IN (SELECT key FROM s{d - 1}) GROUP BY 1)")
+        parts.append(f"s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT key, {d} FROM (SELECT key, row_number() OVER (ORDER BY first) AS place FROM o{d}) WHERE place <= {most} - (SELECT count(*) FROM s{d - 1}))")
+    return f"WITH {', '.join(parts)} SELECT * FROM s{levels}"
+
+
+@register("crawl_pages", _crawl_sql(3, 60))
 def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl of three levels; the tests hold it against a sequential one."""
+    """A crawl of three levels; the tests also hold it against a sequential one."""
     return C.crawl(_part_links(spark, sf_dir), spark.range(1).select(F.col("id").alias("key")), 3, 60)
+
+
+@register(
+    "layout_shifts",
+    """WITH px AS (SELECT vec_id, unnest(range(0, 64)) AS i, embedding FROM embeddings), p AS (SELECT vec_id AS k, i % 8 AS x, i // 8 AS y, CAST(floor(abs(embedding[i + 1]) * 400) AS INT) AS v FROM px),
+d AS (SELECT a.k, a.x, a.y, abs(a.v - b.v) > 60 AS bad FROM p a JOIN p b ON b.k = a.k + 1 AND a.x = b.x AND a.y = b.y AND a.k % 2 = 0),
+s AS (SELECT k, count(*) AS total, count(*) FILTER (WHERE bad) AS mismatched, min(x) FILTER (WHERE bad) AS a, max(x) FILTER (WHERE bad) AS b, min(y) FILTER (WHERE bad) AS c, max(y) FILTER (WHERE bad) AS e FROM d GROUP BY k)
+SELECT k, mismatched, coalesce(((b - a + 1) * 2 >= 8 OR (e - c + 1) * 2 >= 8) AND mismatched * 50 >= total, false) AS shifted FROM s""",
+)
+def layout_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors as images, and whether their differences look like a shift of the layout."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    px = rows.select((F.col("vec_id") - F.col("vec_id") % 2).alias("k"), (F.col("vec_id") % 2).alias("side"), (F.col("i") % 8).cast("long").alias("x"), F.floor(F.col("i") / 8).alias("y"), F.floor(F.abs("e") * 400).cast("int").alias("v"))
+    pairs = px.where("side = 0").join(px.where("side = 1").select("k").distinct(), "k", "left_semi")
+    found = images.pixel_diff(pairs, px.where("side = 1"), "k", ["v"], 60)
+    shifted = images.is_layout_shift(F.lit(8), F.lit(8), F.col("total"), F.col("mismatched"), F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y"))
+    return found.select("k", "mismatched", F.coalesce(shifted, F.lit(False)).alias("shifted"))
+
+
+@register(
+    "replaced_table",
+    "SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_nationkey <> 3",
+)
+def replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written, then replaced by what is read from it."""
+    path = scratch_path(spark, "table")
+    S.replace_table(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), path)
+    S.replace_table(S.read_table(spark, path).where("c_nationkey <> 3").withColumn("c_acctbal", F.col("c_acctbal") + 1), path)
+    return S.read_table(spark, path).select("c_custkey", "c_acctbal")
+
+
+@register(
+    "document_code_checks",
+    r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '(?im)^(Here|Sure|Certainly|Of course)\b') THEN 'CONVERSATIONAL_FILLER' END, CASE WHEN contains(t, '```') THEN 'MARKDOWN_FENCE' END, CASE WHEN regexp_matches(t, ':\s*any\b') THEN 'ANY_TYPE' END, CASE WHEN regexp_matches(t, '[A-Za-z0-9_)\]]\s*!\s*[.,;)]') THEN 'NON_NULL_ASSERTION' END], lambda x: x IS NOT NULL), ',') AS found,
+(SELECT coalesce(max(d), 0) FROM (SELECT sum(CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (ORDER BY i) AS d FROM (SELECT unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i))) AS depth FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+)
+def document_code_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some of the checks of generated code over the texts of documents, and how deep their braces go."""
+    text, kept = F.coalesce("text", F.lit("")), ("CONVERSATIONAL_FILLER", "MARKDOWN_FENCE", "ANY_TYPE", "NON_NULL_ASSERTION")
+    found = F.filter(E.code_violations(text), lambda x: x.isin(*kept))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("found"), E.brace_depth(text).alias("depth"))
+
+
+_MODULES = ("import { A as C, D } from \"a\";\r\nimport B from 'b';\n\n\nconst Card = () => { return C(D, {}); };  \n\n\n\n// end\n", "function Card() { return 1; }")
+
+
+@register(
+    "component_code",
+    "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'UNUSED_IMPORT' ELSE '' END AS problems, CASE WHEN p_partkey % 2 = 0 THEN 'import B from ''b'';' || chr(10) || 'import { A as C, D } from \"a\";' || chr(10) || chr(10) || 'const Card = () => { return C(D, {}); };' || chr(10) || chr(10) || '// end ' || p_brand || chr(10) ELSE 'function Card() { return 1; }' || p_brand || chr(10) END AS tidy FROM part",
+)
+def component_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of components with the brand of each part: what is wrong with it, and how it looks when it is tidied."""
+    even = F.col("p_partkey") % 2 == 0
+    code = F.when(even, F.concat(F.lit(_MODULES[0].rstrip()), F.lit(" "), "p_brand", F.lit("\n\n"))).otherwise(F.concat(F.lit(_MODULES[1]), "p_brand"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", code.alias("code"))
+    named = ("UNUSED_IMPORT", "MISSING_COMPONENT_DECLARATION", "EXCESSIVE_NESTING", "UNBALANCED_DELIMITERS")
+    problems = F.filter(E.code_violations(F.col("code"), F.lit("Card")), lambda x: x.isin(*named))
+    return rows.select("p_partkey", F.array_join(problems, ",").alias("problems"), E.tidy_code(F.col("code")).alias("tidy"))

@@ -73,8 +73,8 @@ def case_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("running_ids", "SELECT event_id, 'evt_' || event_type || '_' || row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS id FROM events")
 def running_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", F.concat_ws("_", F.lit("evt"), "event_type", n.cast("string")).alias("id"))
+    rows = S.numbered(table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_type"], ["event_id"], "n")
+    return rows.select("event_id", F.concat_ws("_", F.lit("evt"), "event_type", F.col("n").cast("string")).alias("id"))
 
 
 @register("last_logs", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5")

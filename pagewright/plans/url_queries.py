@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import labels as L
 from pagewright.functions import urls as U
 from pagewright.plans.registry import register
 from pagewright.plans.session import table
@@ -136,7 +137,50 @@ def ipv4_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("c_custkey", "address", U.classify_ipv4(F.col("address")).alias("reason"))
 
 
-@register("ipv6_classify")
+_GROUP = "((event_id * 2654435761) // 65536) % 65536"
+_V6 = f"""WITH a AS (SELECT event_id, event_id % 9 AS k, {_GROUP} AS g, (event_id * 40503) % 4294967296 AS v FROM events),
+b AS (SELECT event_id, k, g, v, k > 1 AND k < 8 AS six, CASE WHEN k = 8 THEN (g % 256) * 16777216 + v % 16777216 ELSE v END AS four FROM a),
+c AS (SELECT *, CASE WHEN four IN (2852039166, 1684301000) THEN 'metadata_service' WHEN four >> 24 = 0 THEN 'unspecified' WHEN four >> 24 = 127 THEN 'loopback' WHEN four >> 24 = 10 THEN 'private'
+ WHEN four >> 20 = 2753 THEN 'private' WHEN four >> 16 = 49320 THEN 'private' WHEN four >> 16 = 43518 THEN 'link_local' WHEN four >> 22 = 401 THEN 'private'
+ WHEN four >> 8 IN (12582912, 12582914) THEN 'reserved' WHEN four >> 17 = 25353 THEN 'reserved' WHEN four >> 8 IN (12989284, 13303921) THEN 'reserved'
+ WHEN four = 4294967295 THEN 'broadcast' WHEN four >> 28 = 14 THEN 'multicast' WHEN four >> 28 = 15 THEN 'reserved' END AS four_reason FROM b)
+SELECT event_id, k > 0 AS is_ip, CASE WHEN k = 0 THEN NULL WHEN k IN (1, 8) THEN four_reason
+ WHEN k = 2 THEN 'loopback' WHEN k = 3 THEN 'unspecified' WHEN k = 4 THEN 'metadata_service'
+ WHEN g >= 64512 AND g < 65024 THEN 'unique_local' WHEN g >= 65152 AND g < 65216 THEN 'link_local' WHEN g >= 65280 THEN 'multicast' WHEN k = 5 AND g < 64512 THEN 'reserved' END AS reason FROM c"""
+
+
+@register("ip_literals", _V6)
+def ip_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts made of numbers: names, addresses of both kinds in brackets and bare, mapped ones, with zones, in all ranges."""
+    g = F.expr(_GROUP.replace("//", "div"))
+    v = F.expr("(event_id * 40503) % 4294967296")
+    octet = lambda x, s: F.shiftright(x, s).bitwiseAND(F.lit(255)).cast("string")
+    dotted = lambda x: F.concat_ws(".", *[octet(x, s) for s in (24, 16, 8, 0)])
+    mapped = (g % 256) * 16777216 + v % 16777216
+    k = F.col("event_id") % 9
+    hexed = F.lower(F.hex(F.when((g == 0) | (g == 8193), F.lit(1)).otherwise(g)))
+    any_ = F.concat(hexed, F.lit(":0:"), F.lower(F.hex(v % 65536)), F.lit("::1"))
+    host = (
+        F.when(k == 0, F.concat(F.lit("h"), F.col("event_id").cast("string"), F.lit(".example")))
+        .when(k == 1, dotted(v))
+        .when(k == 2, "[::1]")
+        .when(k == 3, "::")
+        .when(k == 4, "[fd00:ec2::254]")
+        .when(k == 5, F.concat(F.when(g >= 64512, hexed).otherwise("2001"), F.when(g >= 64512, F.lit("::")).otherwise(F.lit(":db8::")), F.lower(F.hex(v % 65536))))
+        .when(k == 6, F.concat(F.lit("["), any_, F.lit("]")))
+        .when(k == 7, F.concat(any_, F.lit("%eth0")))
+        .otherwise(F.concat(F.lit("[::ffff:"), dotted(mapped), F.lit("]")))
+    )
+    made = table(spark, sf_dir, "events").select("event_id", host.alias("host"))
+    return made.select("event_id", U.classify_ip_literal(F.col("host")).alias("c")).select("event_id", "c.is_ip", "c.reason")
+
+
+_V6_SUPPLIERS = """SELECT s_suppkey, address, CASE WHEN starts_with(address, 'zz') THEN NULL WHEN starts_with(address, 'fc00') THEN 'unique_local' WHEN starts_with(address, 'fe80') THEN 'link_local' WHEN starts_with(address, 'ff02') THEN 'multicast'
+ WHEN starts_with(address, '2001:db8') THEN 'reserved' WHEN starts_with(address, '::ffff:10.') AND regexp_matches(address, '[0-9]$') THEN 'private' WHEN starts_with(address, '::ffff') THEN NULL ELSE '' END AS reason
+FROM (SELECT s_suppkey, ['fc00::', 'fe80::', 'ff02::', '2001:db8::', '2606:4700::', '::ffff:10.0.0.', 'zz::'][s_suppkey % 7 + 1] || lower(to_hex(s_suppkey % 10 + 2)) AS address FROM supplier)"""
+
+
+@register("ipv6_classify", _V6_SUPPLIERS)
 def ipv6_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses made of keys under several prefixes; the tests know the classes."""
     prefix = F.element_at(F.array(*map(F.lit, ("fc00::", "fe80::", "ff02::", "2001:db8::", "2606:4700::", "::ffff:10.0.0.", "zz::"))), (F.col("s_suppkey") % 7 + 1).cast("int"))
@@ -144,6 +188,34 @@ def ipv6_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("address")).withColumn("reason", U.classify_ipv6("address"))
 
 
+@register(
+    "cookie_scopes",
+    """WITH h AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), d AS (SELECT page_id, host, CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN regexp_replace(host, '^[^.]*\.', '') WHEN 2 THEN 'sub.' || host ELSE substr(host, 2) END AS domain FROM h)
+SELECT page_id, domain, host = domain OR ends_with(host, '.' || domain) AS cookie, page_id % 4 = 0 AS origin, (page_id % 4 = 1) AS never FROM d""",
+)
+def cookie_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cookies of each page's host, its parent, a subdomain and another name; and origins of these hosts."""
+    k, host = F.col("page_id") % 4, U.url_parts(F.col("url"))["host"]
+    domain = F.when(k == 0, host).when(k == 1, F.regexp_replace(host, r"^[^.]*\.", "")).when(k == 2, F.concat(F.lit("sub."), host)).otherwise(F.substring(host, 2, 1_000))
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), domain.alias("domain"), F.when(k == 1, "link_local").when(k == 2, "private").alias("why"))
+    cookie = U.cookie_in_scope(F.concat(F.lit("."), F.upper("domain")), F.upper("host"))
+    return rows.select("page_id", "domain", cookie.alias("cookie"), U.origin_in_scope(F.concat(F.lit("https://"), "domain", F.lit(":8443/x")), F.col("host")).alias("origin"), U.is_never_trustable(F.col("why")).alias("never"))
+
+
+@register(
+    "service_addresses",
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'required' WHEN 2 THEN 'whitespace' WHEN 3 THEN 'not_absolute' WHEN 4 THEN 'scheme' WHEN 5 THEN 'credentials' END AS error,
+CASE WHEN doc_id % 6 = 0 THEN 'https://' || coalesce(source, '') || '.example/v' || doc_id END AS base FROM documents""",
+)
+def service_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of services made of each document's source, good and bad."""
+    k, name = F.col("doc_id") % 6, F.concat(F.coalesce("source", F.lit("")), F.lit(".example/v"), F.col("doc_id").cast("string"))
+    url = F.when(k == 0, F.concat(F.lit(" https://"), name, F.lit("// "))).when(k == 1, "  ").when(k == 2, F.concat(F.lit("https://a b"), name)).when(k == 3, name).when(k == 4, F.concat(F.lit("ftp://"), name)).otherwise(F.concat(F.lit("https://u:p@"), name))
+    rows = table(spark, sf_dir, "documents").select("doc_id", url.alias("url"))
+    error = L.base_url_error(F.col("url"))
+    return rows.select("doc_id", error.alias("error"), F.when(error.isNull(), L.normal_base_url(F.col("url"))).alias("base"))
+
+
 @register(
     "target_validation",
     """WITH x AS (SELECT doc_id % 7 AS k, doc_id FROM documents) SELECT doc_id,

@@ -1,8 +1,9 @@
 """Event streams: decoding, validation, folding per key, windows.
 
 Late rows beyond the watermark are dropped by Spark; the watermark is ours, as
-are windows.  The fold keeps one small state per key and gives it up when the key
-reaches a terminal state.
+are windows.  The fold keeps one small state per key and gives it up when nothing
+has come for the key for some time, soon after a terminal status, so the states
+that are held are those of keys that are alive.
 """
 
 from __future__ import annotations
@@ -58,12 +59,25 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 FOLDED = "user_id bigint, scanned bigint, failed bigint, last_event bigint, status string"
+#: What the last event of a key makes of it, and the states after which nothing more is awaited.
+STATUS, TERMINAL = {"signup": "pending", "purchase": "completed"}, ("completed",)
+#: How long the state of a key is kept after its last event: of one that is done, and of any other.
+DONE_KEPT, IDLE_KEPT = 10 * 60_000, 24 * 3_600_000
 
 
-def fold_scans(events: DataFrame) -> DataFrame:
-    """The state of each scan after each batch: counts, the last event and a status."""
+def fold_scans(events: DataFrame, done_kept: int = DONE_KEPT, idle_kept: int = IDLE_KEPT) -> DataFrame:
+    """The state of each scan after each batch: counts, the last event and a status.
+
+    A state is removed when no event has come for its key for ``done_kept``
+    milliseconds after a terminal status, or ``idle_kept`` otherwise.  Counts of a
+    key whose events go on after that are those since; ``fold_scans_batch`` has the
+    counts over all rows.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         scanned, failed, last, status = state.get if state.exists else (0, 0, -1, "pending")
         for rows in batches:
             scanned += int((rows["event_type"] == "view").sum())
@@ -71,12 +85,13 @@ def fold_scans(events: DataFrame) -> DataFrame:
             newest = rows.loc[rows["event_id"].idxmax()]
             if int(newest["event_id"]) > last:
                 last = int(newest["event_id"])
-                status = {"signup": "pending", "purchase": "completed"}.get(newest["event_type"], "in_progress")
+                status = STATUS.get(newest["event_type"], "in_progress")
         state.update((scanned, failed, last, status))
+        state.setTimeoutDuration(done_kept if status in TERMINAL else idle_kept)
         yield pd.DataFrame([(key[0], scanned, failed, last, status)], columns=["user_id", "scanned", "failed", "last_event", "status"])
 
     kept = "scanned bigint, failed bigint, last_event bigint, status string"
-    return events.groupBy("user_id").applyInPandasWithState(step, FOLDED, kept, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, FOLDED, kept, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def fold_scans_batch(events: DataFrame) -> DataFrame:
@@ -140,7 +155,66 @@ FORBIDDEN = (
 )
 
 
-def code_violations(code: Column) -> Column:
-    """Names of what generated code must not hold, in order."""
-    hits = [F.when(code.rlike(pattern), name) for name, pattern in FORBIDDEN]
-    return F.filter(F.array(*hits, F.when(~balanced(code), "UNBALANCED_DELIMITERS")), lambda x: x.isNotNull())
+#: The deepest nesting of braces that generated code may have.
+MOST_DEPTH = 40
+
+
+def brace_depth(code: Column) -> Column:
+    """The largest number of braces that are open at one place."""
+    marks = F.filter(F.split(code, ""), lambda c: c.isin("{", "}"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def count(s: Column, c: Column) -> Column:
+        now = s["now"] + F.when(c == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(marks, start, count, lambda s: s["most"])
+
+
+def declares(code: Column, name: Column) -> Column:
+    """Whether the code declares ``name`` as a function or as a constant."""
+    word = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    function = F.concat(F.lit(r"\bfunction\s+"), word, F.lit(r"\s*\("))
+    constant = F.concat(F.lit(r"\b(?:const|let)\s+"), word, F.lit(r"\s*[=:]"))
+    return F.regexp_like(code, function) | F.regexp_like(code, constant)
+
+
+_IMPORT = r"""import\s+(?:type\s+)?([^'";]+?)\s+from\s+['"][^'"]+['"];?"""
+
+
+def unused_imports(code: Column) -> Column:
+    """Names that an import brings in and that the rest of the code does not mention."""
+    whole, clauses = (F.regexp_extract_all(code, F.lit(_IMPORT), F.lit(i)) for i in (0, 1))
+    local = lambda part: F.regexp_replace(F.trim(part), r"^(?:type\s+)?(?:.*\s+as\s+)?", "")
+    names = lambda clause: F.filter(F.transform(F.split(F.regexp_replace(clause, r"[{}]", ","), ","), local), lambda n: n.rlike(r"^[\w$]+$"))
+    mentioned = lambda statement, n: F.regexp_like(F.replace(code, statement, F.lit("")), F.concat(F.lit(r"\b\Q"), n, F.lit(r"\E\b")))
+    each = F.zip_with(whole, clauses, lambda w, c: F.filter(names(c), lambda n: ~mentioned(w, n)))
+    return F.flatten(each)
+
+
+def tidy_code(code: Column) -> Column:
+    """The code with its leading imports sorted, single blank lines and one line end at its end."""
+    lines = F.transform(F.split(F.replace(F.regexp_replace(code, "\r\n?", "\n"), F.lit("\t"), F.lit("  ")), "\n"), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    start = F.struct(F.array().cast("array<string>").alias("imports"), F.array().cast("array<string>").alias("rest"), F.lit(False).alias("past"), F.lit(True).alias("blank"))
+
+    def take(s: Column, x: Column) -> Column:
+        is_import = ~s["past"] & x.rlike(r"^\s*import\b")
+        empty = x == ""
+        skipped = empty & s["blank"]
+        rest = F.when(is_import | skipped, s["rest"]).otherwise(F.concat(s["rest"], F.array(x)))
+        imports = F.when(is_import, F.concat(s["imports"], F.array(x))).otherwise(s["imports"])
+        blank = F.when(is_import, s["blank"]).otherwise(empty)
+        return F.struct(imports.alias("imports"), rest.alias("rest"), (s["past"] | (~is_import & ~empty)).alias("past"), blank.alias("blank"))
+
+    head = lambda s: F.when(F.size(s["imports"]) > 0, F.concat(F.array_join(F.array_sort(s["imports"]), "\n"), F.lit("\n\n"))).otherwise("")
+    whole = F.aggregate(lines, start, take, lambda s: F.concat(head(s), F.array_join(s["rest"], "\n")))
+    return F.concat(F.regexp_replace(whole, r"\s+$", ""), F.lit("\n"))
+
+
+def code_violations(code: Column, name: Column | None = None) -> Column:
+    """Names of what generated code must not hold, in order; with ``name``, whether it declares that component."""
+    hits = [F.when(code.rlike(pattern), label) for label, pattern in FORBIDDEN]
+    hits.append(F.when(~balanced(code), "UNBALANCED_DELIMITERS"))
+    if name is not None:
+        hits += [F.when(brace_depth(code) > MOST_DEPTH, "EXCESSIVE_NESTING"), F.when(~declares(code, name), "MISSING_COMPONENT_DECLARATION"), F.when(F.size(unused_imports(code)) > 0, "UNUSED_IMPORT")]
+    return F.filter(F.array(*hits), lambda x: x.isNotNull())
