@@ -26,7 +26,7 @@ NAME = "op3_decontamination"
 #: Words of a window, and the share of hit words (one in so many) that marks a document.
 WINDOW_WORDS, ONE_IN = 13, 20
 #: Bytes of text in one shard, and of benchmark text that is sent to tasks at once.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 4 << 20
 #: Blocks that are searched in one pass over the documents; then what has been found is written, and the blocks are given up.
 PASS_BLOCKS = 8
 

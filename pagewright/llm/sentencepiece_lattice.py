@@ -369,7 +369,7 @@ def segment(texts: list[str], seeds: list[int], model: Vocabulary, k: int) -> It
 
 
 #: Bytes of text whose lattices a task holds at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _mapped(docs: DataFrame, keep: list[str], seed: str, text: str, build, fields: list[tuple[str, str]], path: str, k: int) -> DataFrame:
