@@ -105,7 +105,7 @@ m AS (SELECT scan_id, page_id, url, 'inline-tracker' AS id, 0.6 AS w, 0 AS seq,
 sig AS (SELECT scan_id, id, seq, vector, w, min(page_id) AS f FROM m GROUP BY ALL),
 pg AS (SELECT scan_id, id, count(DISTINCT page_id) AS n_pages, arg_min(url, page_id) AS first_page FROM m GROUP BY ALL)
 SELECT sig.scan_id, sig.id AS technology_id, round(1 - product(1 - w), 6) AS confidence, CASE WHEN 1 - product(1 - w) >= 0.75 THEN 'detected' ELSE 'probable' END AS confidence_status,
-string_agg(vector, ',' ORDER BY f, seq) AS vectors, any_value(n_pages) AS n_pages, any_value(first_page) AS first_page FROM sig JOIN pg ON pg.scan_id = sig.scan_id AND pg.id = sig.id GROUP BY sig.scan_id, sig.id""",
+string_agg(vector, ',' ORDER BY f, seq) AS vectors, least(any_value(n_pages), 100) AS n_pages, any_value(first_page) AS first_page FROM sig JOIN pg ON pg.scan_id = sig.scan_id AND pg.id = sig.id GROUP BY sig.scan_id, sig.id""",
 )
 def detect_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection per host with a rule set for this corpus."""
