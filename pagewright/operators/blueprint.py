@@ -7,6 +7,7 @@ ranking that Spark limits before the shuffle, after equal values are one.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -251,41 +252,39 @@ def assembled(sites: DataFrame, sections: dict[str, DataFrame], by: str = "site"
 COLLECTIONS = ("nodes", "links", "images", "headings", "nav", "forms", "font_faces")
 
 
-def bounded_evidence(texts: Iterator[pd.Series], most_bytes: int) -> Iterator[pd.Series]:
-    """Evidence documents (JSON) of ``most_bytes`` at most, as far as lists can be cut; see ``bound_evidence``."""
-    import json
-
+def bounded(text: str | None, most_bytes: int) -> str | None:
+    """An evidence document (JSON) of ``most_bytes`` at most, as far as its lists can be cut."""
+    if text is None:
+        return None
     size = lambda d: len(json.dumps(d, ensure_ascii=False, separators=(",", ":")).encode())
+    found = json.loads(text)
+    if size(found) > most_bytes:
+        found["truncated"] = True
+        while size(found) > most_bytes:
+            longest = max(COLLECTIONS, key=lambda c: len(found.get(c) or ()))
+            n = len(found.get(longest) or ())
+            if not n:
+                break
+            found[longest] = found[longest][: n - max(1, -(-n // 5))]
+        present = {n.get("id") for n in found.get("nodes") or ()}
+        for n in found.get("nodes") or ():
+            n["child_ids"] = [c for c in n.get("child_ids") or () if c in present]
+    return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
+
+
+def bound_evidence(rows: DataFrame, column: str, most_bytes: int) -> DataFrame:
+    """``rows`` with the documents of ``column`` cut to size.
+
+    As long as a document is too long, its longest collection loses its last fifth;
+    then children that are gone are taken out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch[column] = [bounded(x, most_bytes) for x in batch[column]]
+            yield batch
 
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        found = json.loads(text)
-        if size(found) > most_bytes:
-            found["truncated"] = True
-            while size(found) > most_bytes:
-                longest = max(COLLECTIONS, key=lambda c: len(found.get(c) or ()))
-                n = len(found.get(longest) or ())
-                if not n:
-                    break
-                found[longest] = found[longest][: n - max(1, -(-n // 5))]
-            present = {n.get("id") for n in found.get("nodes") or ()}
-            for n in found.get("nodes") or ():
-                n["child_ids"] = [c for c in n.get("child_ids") or () if c in present]
-        return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
-
-    for batch in texts:
-        yield batch.map(one)
-
-
-def bound_evidence(evidence: Column, most_bytes: int) -> Column:
-    """``evidence`` cut to size: as long as it is too long, the longest collection loses its last fifth; then children that are gone are taken out."""
-
-    @F.pandas_udf("string")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from bounded_evidence(texts, most_bytes)
-
-    return cut.asNondeterministic()(evidence)  # so that it is not repeated for every use of its result
+    return rows.mapInPandas(run, rows.schema)
 
 
 def artefact_names(scan: Column, page: Column, profile: Column, version: Column) -> Column:

@@ -245,7 +245,7 @@ def bounded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of every page, cut to 1,500 bytes; the tests hold the cut against a plain one."""
     html = F.col("html")
     evidence = F.to_json(F.struct("page_id", H.links(html).alias("links"), H.images(html).alias("images"), H.headings(html).alias("headings")))
-    made = table(spark, sf_dir, "pages").select("page_id", B.bound_evidence(evidence, 1_500).alias("evidence"))
+    made = B.bound_evidence(table(spark, sf_dir, "pages").select("page_id", evidence.alias("evidence")), "evidence", 1_500)
     return made.select("page_id", F.octet_length("evidence").alias("n_bytes"), F.contains("evidence", F.lit('"truncated":true')).alias("truncated"), F.md5("evidence").alias("digest"))
 
 

@@ -61,17 +61,17 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 FOLDED = "user_id bigint, scanned bigint, failed bigint, last_event bigint, status string"
 #: What the last event of a key makes of it, and the states after which nothing more is awaited.
 STATUS, TERMINAL = {"signup": "pending", "purchase": "completed"}, ("completed",)
-#: How long the state of a key is kept after its last event: of one that is done, and of any other.
+#: How long the state of a key is kept after its last event, in milliseconds of event time: of one that is done, and of any other.
 DONE_KEPT, IDLE_KEPT = 10 * 60_000, 24 * 3_600_000
 
 
-def fold_scans(events: DataFrame, done_kept: int = DONE_KEPT, idle_kept: int = IDLE_KEPT) -> DataFrame:
+def fold_scans(events: DataFrame, done_kept: int = DONE_KEPT, idle_kept: int = IDLE_KEPT, lateness: str | None = LATENESS) -> DataFrame:
     """The state of each scan after each batch: counts, the last event and a status.
 
-    A state is removed when no event has come for its key for ``done_kept``
-    milliseconds after a terminal status, or ``idle_kept`` otherwise.  Counts of a
-    key whose events go on after that are those since; ``fold_scans_batch`` has the
-    counts over all rows.
+    A state is removed when the watermark (``lateness``; None if ``events`` has one)
+    is ``done_kept`` beyond the last event of a key that is done, or ``idle_kept``
+    beyond that of any other.  Counts of a key whose events go on after that are
+    those since; ``fold_scans_batch`` has the counts over all rows.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -79,19 +79,22 @@ def fold_scans(events: DataFrame, done_kept: int = DONE_KEPT, idle_kept: int = I
             state.remove()
             return
         scanned, failed, last, status = state.get if state.exists else (0, 0, -1, "pending")
+        newest_ms = state.getCurrentWatermarkMs()
         for rows in batches:
             scanned += int((rows["event_type"] == "view").sum())
             failed += int((rows["event_type"] == "error").sum())
+            newest_ms = max(newest_ms, int(rows["_ms"].max()))
             newest = rows.loc[rows["event_id"].idxmax()]
             if int(newest["event_id"]) > last:
                 last = int(newest["event_id"])
                 status = STATUS.get(newest["event_type"], "in_progress")
         state.update((scanned, failed, last, status))
-        state.setTimeoutDuration(done_kept if status in TERMINAL else idle_kept)
+        state.setTimeoutTimestamp(newest_ms + (done_kept if status in TERMINAL else idle_kept))
         yield pd.DataFrame([(key[0], scanned, failed, last, status)], columns=["user_id", "scanned", "failed", "last_event", "status"])
 
     kept = "scanned bigint, failed bigint, last_event bigint, status string"
-    return events.groupBy("user_id").applyInPandasWithState(step, FOLDED, kept, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = (events if lateness is None else events.withWatermark("ts", lateness)).withColumn("_ms", F.unix_millis("ts"))
+    return marked.groupBy("user_id").applyInPandasWithState(step, FOLDED, kept, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_scans_batch(events: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 import json
 import random
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,7 +120,7 @@ def test_bounded_evidence(spark):
     made = {"nodes": [{"id": f"n{i}", "child_ids": [f"n{i + 1}", "gone"]} for i in range(40)], "links": ["/é"] * 30, "title": "t"}
     text = json.dumps(made, ensure_ascii=False, separators=(",", ":"))
     rows = spark.createDataFrame([(text,), (None,), ('{"title":"' + "x" * 900 + '"}',)], "e string")
-    cut, none, long = (r["b"] for r in rows.select(B.bound_evidence(F.col("e"), 600).alias("b")).collect())
+    cut, none, long = (r["b"] for r in B.bound_evidence(rows.coalesce(1), "e", 600).select(F.col("e").alias("b")).collect())
     found = json.loads(cut)
     assert none is None and json.loads(long)["truncated"] and len(json.loads(long)["title"]) == 900
     want = json.loads(text)
@@ -166,13 +165,14 @@ def test_stream_gives_up_states(spark):
     """A key that is done, and is quiet for a while, starts anew when it comes again."""
     path = scratch_path(spark, "done-stream")
     kind = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-    batches = [[(1, 1, "view"), (2, 1, "purchase"), (3, 2, "view")], [(4, 3, "view")], [(5, 1, "view"), (6, 2, "view")]]
+    batches = [[(1, 1, "view", 0), (2, 1, "purchase", 0), (3, 2, "view", 0)], [(4, 3, "view", 60)], [(5, 1, "view", 120), (6, 2, "view", 120)]]
     for rows in batches:
-        spark.createDataFrame([(i, u, t) for i, u, t in rows], "event_id bigint, user_id bigint, event_type string").select("event_id", F.current_timestamp().alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("").alias("props")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        made = spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, minute int")
+        ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("minute") * 60)
+        made.select("event_id", ts.alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value"), F.lit("").alias("props")).coalesce(1).write.mode("append").parquet(f"{path}/in")
         source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        query = events.fold_scans(source, done_kept=1, idle_kept=3_600_000).writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")).trigger(availableNow=True).start()
-        query.awaitTermination()
-        time.sleep(0.05)
+        query = events.fold_scans(source, done_kept=1).writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
     last = {r["user_id"]: r["s"] for r in spark.read.parquet(f"{path}/out").groupBy("user_id").agg(F.max_by("scanned", "batch").alias("s")).collect()}
     assert last == {1: 1, 2: 2, 3: 1}  # the first view of key 1 went with its state; key 2 was never done
 
