@@ -190,7 +190,7 @@ def ipv6_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "cookie_scopes",
-    """WITH h AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), d AS (SELECT page_id, host, CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN regexp_replace(host, '^[^.]*\.', '') WHEN 2 THEN 'sub.' || host ELSE substr(host, 2) END AS domain FROM h)
+    r"""WITH h AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), d AS (SELECT page_id, host, CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN regexp_replace(host, '^[^.]*\.', '') WHEN 2 THEN 'sub.' || host ELSE substr(host, 2) END AS domain FROM h)
 SELECT page_id, domain, host = domain OR ends_with(host, '.' || domain) AS cookie, page_id % 4 = 0 AS origin, (page_id % 4 = 1) AS never FROM d""",
 )
 def cookie_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
