@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm import rows
-from pagewright.plans.session import cut_lineage, saved, table
+from pagewright.plans.session import cut_lineage, table
 
 NAME = "op1_quality_rules"
 
@@ -179,15 +179,16 @@ def verdicts(featured: DataFrame, bounds: DataFrame, lang: str = "lang", source:
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that are kept, as they are; columns may have any names and types.
 
-    Texts are read once: rows are written with their features to the shared folder,
-    sketches are made of the features there, and no text is shuffled.  Null
-    languages and sources are groups of their own, null and empty texts are
-    rejected, repeated rows get one verdict, texts may be of any length, and an
-    empty table stays empty.
+    Texts are read twice, once for the sketches and once for the verdicts, so that
+    no text is shuffled or written on the way.  Null languages and sources are
+    groups of their own, null and empty texts are rejected, repeated rows get one
+    verdict, texts may be of any length, and an empty table stays empty.
     """
-    featured = saved(with_features(rows.packed(docs, text=text, lang=lang, source=source)).select("row", "lang", "source", "base_failed", "metrics"), "features")
-    judged = verdicts(featured, thresholds(sketches(featured)))
-    return rows.unpacked(judged.where("kept").select("row"), docs)
+    own = rows.packed(docs, text=text, lang=lang, source=source)
+    bounds = thresholds(sketches(with_features(own.select("text", "lang", "source"))))
+    judged = verdicts(with_features(own), bounds)
+    # a generator, not a filter: a filter would be pushed down and repeat every expression it rests on
+    return rows.unpacked(judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
