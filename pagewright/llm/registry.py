@@ -18,6 +18,7 @@ MODULES = (
     "sentencepiece_lattice",
     "secret_scan",
     "simhash_dedup",
+    "importance_resampling",
 )
 
 
