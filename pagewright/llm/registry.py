@@ -19,6 +19,7 @@ MODULES = (
     "secret_scan",
     "simhash_dedup",
     "importance_resampling",
+    "hard_negatives",
 )
 
 
