@@ -147,8 +147,8 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, text, good) of the labelled documents that a model may be fitted to, a bounded number.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = MOST_TRAINING_ROWS) -> DataFrame:
+    """Rows (key, text, good) of the labelled documents that a model may be fitted to, ``most`` of them.
 
     Labels that are null, of null keys or of keys whose crc32 is a multiple of
     five are left out.  Of labels and documents that repeat a key the smallest counts.
@@ -156,7 +156,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, key: str = "do
     named = rows.chosen(labels, key=key, good=label)
     usable = named.where(F.col("good").isNotNull() & (F.crc32(F.col("key").cast("string").cast("binary")) % 5 != 0))
     one = usable.groupBy("key").agg(F.min("good").alias("good"))
-    chosen = one.orderBy(F.xxhash64("key"), "key").limit(MOST_TRAINING_ROWS)  # the bound of the broadcast below
+    chosen = one.orderBy(F.xxhash64("key"), "key").limit(most)  # the bound of the broadcast below
     found = rows.chosen(docs, key=key, text=text).join(F.broadcast(chosen), "key")
     return found.groupBy("key").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("good").alias("good"))
 

@@ -20,6 +20,7 @@ MODULES = (
     "simhash_dedup",
     "importance_resampling",
     "hard_negatives",
+    "toxicity",
 )
 
 
