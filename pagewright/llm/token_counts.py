@@ -11,13 +11,11 @@ from __future__ import annotations
 import json
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +26,38 @@ from pagewright.plans.session import table
 NAME = "op7_token_counts"
 ORACLE_SQL = None
 
-#: Fixed value: how texts are cut into pre-tokens before merging.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same cut in the faster standard module, for texts without the characters on which its classes differ.
+#: Fixed value: how texts are cut into pre-tokens before merging, in the standard module.
 PLAIN_CUT = re.compile(r" ?[^\W\d_]+|'(?:[sdmt]|ll|ve|re)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-NOT_PLAIN = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if "\x1c" <= c <= "\x1f" or unicodedata.category(c) in ("No", "Nl"))
+#: A character for each class that the cut tells apart, and how the standard module finds the class.
+CLASSES = {"a": r"[^\W\d_]", "1": r"\d", "!": r"[^\s\w]|_", "\t": r"\s"}
 NEVER = np.iinfo(np.int32).max
 #: Pre-tokens whose counts a worker remembers, at most, and how long these may be.
 REMEMBERED, REMEMBERED_CHARS = 500_000, 64
 
 
+@lru_cache(maxsize=2)
+def stand_ins(path: str) -> dict[int, str]:
+    """Characters that the library puts into another class than the standard module does, each with one of the library's class.
+
+    The library's own pre-tokeniser is asked for every code point whether it leaves
+    it together with a letter, a digit or a sign, so both have one table of classes.
+    """
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    code_points = [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]
+    own = {ord(x): sign for sign, pattern in CLASSES.items() for x in re.findall(pattern, "".join(map(chr, code_points)))}
+    found = {}
+    for at in range(0, len(code_points), 20_000):
+        some = code_points[at : at + 20_000]
+        starts = {begin for _, (begin, _) in cut("".join(f"a{chr(c)}1{chr(c)}!{chr(c)}" for c in some))}
+        for i, c in enumerate(some):
+            sign = next((x for x, place in (("a", 1), ("1", 3), ("!", 5)) if 6 * i + place not in starts), "\t")
+            if sign != own[c]:
+                found[c] = sign
+    return found
+
+
 def _byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte: itself, or else the next one from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -48,7 +68,8 @@ def _byte_symbols() -> dict[int, str]:
 class Merges:
     """Merge ranks of a vocabulary file, and the counts they give."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, others: dict[int, str]):
+        self.others, self.odd = others, frozenset(map(chr, others))
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         vocabulary, merges = data["model"]["vocab"], data["model"]["merges"]
@@ -60,8 +81,7 @@ class Merges:
         keys = np.array([vocabulary[a] * self.width + vocabulary[b] for a, b in pairs], np.int64)
         self.result = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
         self._fill(keys)
-        self.cut = regex.compile(PRE_TOKEN)
-        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
         self.known: dict[str, int] = {}
 
     def _fill(self, keys: np.ndarray) -> None:
@@ -138,11 +158,15 @@ class Merges:
             ranks[np.cumsum(lengths) - 1] = NEVER
         return ranks
 
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text with characters that have a stand-in; these are of one character as well, so places agree."""
+        return [text[m.start() : m.end()] for m in PLAIN_CUT.finditer(text.translate(self.others))]
+
     def count_texts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; an added special token's string is one token."""
         total, lists = [], []
         for text in texts:
-            cut = (PLAIN_CUT if NOT_PLAIN.isdisjoint(text) else self.cut).findall
+            cut = PLAIN_CUT.findall if self.odd.isdisjoint(text) else self.cut
             parts = self.special.split(text) if self.special else [text]
             total.append(len(parts) - 1)
             lists.append(cut(parts[0]) if len(parts) == 1 else [x for p in parts for x in cut(p)])
@@ -158,9 +182,14 @@ class Merges:
         return out
 
 
-@lru_cache(maxsize=2)
-def _merges(path: str) -> Merges:
-    return Merges(path)
+_MERGES: dict[str, Merges] = {}
+
+
+def _merges(path: str, others: dict[int, str]) -> Merges:
+    """The merges of a file, kept by the worker."""
+    if path not in _MERGES:
+        _MERGES[path] = Merges(path, others)
+    return _MERGES[path]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,9 +200,10 @@ def token_counts(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     are counted each; an empty table gives no rows.  Other columns of ``docs`` are
     not read and may have any names and types.
     """
+    others = stand_ins(vocabulary)  # found once, here: some thousand characters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _merges(vocabulary)
+        merges = _merges(vocabulary, others)
         for whole in batches:
             for batch in pieces(whole, "text", 4 << 20):
                 counts = merges.count_texts([x or "" for x in batch.column("text").to_pylist()])

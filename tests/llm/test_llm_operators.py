@@ -491,13 +491,31 @@ def test_token_counts_equal_library(docs):
     library = Tokenizer.from_file(path)
     rng = random.Random(4)
     extra = ["".join(rng.choice("ab_1½\x1c\x85\xa0 é '.\n<|>t's") for _ in range(120)) for _ in range(200)] + ["a" * 3000, "<|endoftext|>" * 3, "x<|endoftext|>y", "١٢ Ⅷ é"]
-    merges = token_counts.Merges(path)
+    merges = token_counts.Merges(path, token_counts.stand_ins(path))
     assert merges.count_texts(extra) == [len(e.ids) for e in library.encode_batch(extra, add_special_tokens=False)]
     got = token_counts.token_counts(docs, path).collect()
     want = Counter((r[0], len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in odd_documents())
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_token_counts_of_every_character():
+    """Every code point beside contractions, spaces, digits and letters, and random texts of late blocks."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, merges = Tokenizer.from_file(path), token_counts.Merges(path, token_counts.stand_ins(path))
+    all_chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"{c}'s {c}1 a{c}'ll! {c}{c} _{c}\n{c}" for c in all_chars]
+    late = [chr(c) for a, b in ((0xA7CB, 0xA7DD), (0x10D40, 0x10D90), (0x16D40, 0x16D80), (0x2080, 0x2095), (0x1C80, 0x1C8B)) for c in range(a, b)] + list("'sdt' 1_\n") * 6
+    rng = random.Random(8)
+    texts += ["".join(rng.choices(late, k=rng.randint(1, 30))) for _ in range(3000)]
+    for i in range(0, len(texts), 50_000):
+        some = texts[i : i + 50_000]
+        want = [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+        got = merges.count_texts(some)
+        assert got == want, [(t, g, w) for t, g, w in zip(some, got, want, strict=True) if g != w][:5]
+
+
 # --- segmentations
 
 
