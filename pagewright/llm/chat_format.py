@@ -5,8 +5,10 @@ sorted by sequence within each partition and folded in one pass: streamed deltas
 grow a message, edits replace it, regenerations start it anew, deletions take it
 away.  The final messages are rendered by a template that marks turns.
 
-A table of turns becomes such a log first: users send a draft and edit it, and an
-assistant's first answer is regenerated and streamed.
+A table of turns becomes such a log first, with one running sequence for each
+conversation: users send a draft and edit it after the next turn has begun, an
+assistant's answer is regenerated, which drops what was begun after it, and streamed,
+and notes that lie between turns are deleted late.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions.columns import record
 from pagewright.llm import rows
 from pagewright.plans.session import table
 
@@ -32,7 +35,8 @@ _CONTROL = re.compile(r"(?<=<)(?=/?s>)|(?<=\[)(?=/?INST\])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"<s>(.*?)\[INST\](.*?)\[/INST\]</s>", re.DOTALL)
 
-EVENTS = ("message", "delta", "edit", "regenerate", "delete")
+#: Kinds of events, in the order in which those of one seq apply.
+EVENTS = ("message", "edit", "regenerate", "delta", "delete")
 
 
 def escape(text: str) -> str:
@@ -50,9 +54,11 @@ def fold(events: Iterable[tuple]) -> list[tuple[str, str]]:
     ``message`` starts a message (a null id: one of its own), ``delta`` appends
     to one, and starts it where it is unknown, ``edit`` replaces its text,
     ``regenerate`` empties it so that deltas can fill it again, and drops what
-    came after it; ``delete`` takes it away.  Edits, regenerations and deletions
-    of unknown messages, and unknown kinds, change nothing.  Messages that begin at
-    one seq come in the order of their final role and text.
+    began at a later seq; ``delete`` takes it away.  A start of a message that is
+    known already replaces its text and, if it names one, its role.  Edits,
+    regenerations and deletions of unknown messages, and unknown kinds, change
+    nothing.  Messages that begin at one seq come in the order of their final role
+    and text.
     """
     order: list[list | None] = []  # seq, role, parts of the text
     at: dict = {}
@@ -69,8 +75,10 @@ def fold(events: Iterable[tuple]) -> list[tuple[str, str]]:
             order[place][2].append(text or "")
         elif kind in ("edit", "message"):
             order[place][2] = [text or ""]
+            if kind == "message" and role:
+                order[place][1] = role
         elif kind == "regenerate":
-            while len(order) > place + 1:
+            while len(order) > place + 1 and (order[-1] is None or order[-1][0] != order[place][0]):
                 later = order.pop()
                 if later:
                     del at[later[3]]
@@ -103,19 +111,18 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_chats(events: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """Rows (conversation, formatted, loss_mask) from events (conversation, seq, step, kind, message, role, text).
+    """Rows (conversation, formatted, loss_mask) from events (conversation, seq, kind, message, role, text).
 
     loss_mask is an array of structs (begin, end), in code points.  Events of
-    equal seq come in the order of message and step (null and missing steps
-    first, then by kind, role and text), so repeated rows stay and have one order.
+    equal seq apply in the order start, edit, regeneration, delta, deletion, then by
+    message, role and text, so repeated rows stay and have one order.
     seq and the conversation may have any type with an order.  A null conversation is one of its own; null
     role and text are empty; an empty table gives no rows; other columns are not
     read and may have any names.  A conversation is one row of the result: a task holds one conversation's messages
     at a time, however many it has and however long they are.
     """
-    extra = {"step": "step"} if "step" in events.columns else {}
-    own = rows.chosen(events, conv=conversation, **{c: c for c in ("seq", *extra, "kind", "message", "role", "text")})
-    parts = own.repartition("conv").sortWithinPartitions("conv", "seq", "message", *extra, "kind", "role", "text")
+    own = rows.chosen(events, conv=conversation, **{c: c for c in ("seq", "kind", "message", "role", "text")})
+    parts = own.repartition("conv").sortWithinPartitions("conv", "seq", F.array_position(F.lit(list(EVENTS)), F.col("kind")), "message", "kind", "role", "text")
     spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +140,7 @@ def format_chats(events: DataFrame, conversation: str = "conv_id") -> DataFrame:
         for batch in batches:
             kind = batch.schema.field("conv").type
             for conv, *event in zip(*(batch.column(c).to_pylist() for c in ("conv", "seq", "kind", "message", "role", "text")), strict=True):
-                if conv != now:
+                if conv != now and (conv == conv or now == now):  # not a number is one conversation as well
                     if held:
                         size += close()
                     now, held = conv, []
@@ -150,26 +157,35 @@ def format_chats(events: DataFrame, conversation: str = "conv_id") -> DataFrame:
     return parts.mapInArrow(run, made).withColumnRenamed("conv", conversation)
 
 
-#: What a draft says before it is edited or regenerated.
-DRAFT = "..."
+#: What a draft says before it is edited or regenerated, and places of a log for each turn.
+DRAFT, PLACES = "...", 10
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
     """An event log of a table of turns (conv_id, turn, role, text), from which folding restores the turns.
 
-    An assistant's message starts as a draft, is regenerated and streamed in two
-    deltas; any other starts as a draft that is edited.  Each row is a message of
-    its own, so repeated rows stay; texts are in the log once.
+    Turns are whole numbers, below 10**17; a null one is before all others.  Each
+    takes ten places of its conversation's sequence.  An assistant's message starts
+    as a draft, is followed by another that its regeneration drops, and is streamed
+    in two deltas; any other starts as a draft that is edited once the next turn has
+    begun.  After each turn a note begins that is deleted during the next one.  Each
+    row is a message of its own, so repeated rows stay; texts are in the log once.
     """
-    event = lambda step, kind, role, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
     none, text, role = F.lit(None).cast("string"), F.coalesce("text", F.lit("")), F.col("role")
-    half = F.length(text) / 2
-    part = lambda begin, size: F.substring(text, begin, size.cast("int"))
-    streamed = [event(0, "message", role, F.lit(DRAFT)), event(1, "regenerate", none, none), event(2, "delta", none, part(F.lit(1), F.floor(half))), event(3, "delta", none, part(F.floor(half).cast("int") + 1, F.ceil(half)))]
-    edited = [event(0, "message", role, F.lit(DRAFT)), event(1, "edit", none, text)]
-    log = F.when(role == "assistant", F.array(*streamed[::-1])).otherwise(F.array(*edited[::-1]))
+    said, noted = F.lit(DRAFT), F.lit("system")
+
+    def event(place: int, kind: str, who: Column, what: Column, message: str = "") -> Column:
+        return record(seq=F.col("seq") + place, kind=F.lit(kind), message=F.concat("message", F.lit(message)), role=who, text=what)
+
+    half = F.floor(F.length(text) / 2).cast("int")
+    parts = [F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))]
+    note = [event(6, "message", noted, said, "note"), event(PLACES + 7, "delete", none, none, "note")]
+    streamed = [event(0, "message", role, said), event(1, "message", role, said, "other"), event(2, "regenerate", none, none), *(event(3 + i, "delta", none, p) for i, p in enumerate(parts))]
+    edited = [event(0, "message", role, said), event(PLACES + 5, "edit", none, text)]
+    log = F.when(role == "assistant", F.array(*streamed, *note)).otherwise(F.array(*edited, *note))
     own = rows.chosen(turns, conv_id="conv_id", seq="turn", role="role", text="text").withColumn("message", F.monotonically_increasing_id().cast("string"))
-    return own.select("conv_id", "seq", "message", F.explode(log).alias("e")).select("conv_id", "seq", "message", "e.*")
+    placed = own.withColumn("seq", F.coalesce(F.col("seq").cast("bigint"), F.lit(-(10**17))) * PLACES)
+    return placed.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

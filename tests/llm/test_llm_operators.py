@@ -279,14 +279,39 @@ def test_turns_come_back_from_their_log(spark, monkeypatch):
     rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "a longer answer"), (1, 1, "assistant", "another"), (1, 1, "assistant", "another"), (1, 2, "tool", None), (1, 3, None, "x"), (1, None, "user", "first"), (2, 0, "assistant", None), (2, 1, "assistant", "é"), (None, 5, "assistant", "🎉🎉🎉")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     log = chat_format.turn_events(turns)
-    assert {r["kind"] for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    assert {r["kind"] for r in log.collect()} == set(chat_format.EVENTS)
+    spans = log.where("conv_id = 1").groupBy("message").agg(F.min("seq").alias("first"), F.max("seq").alias("last")).collect()
+    assert any(a["first"] < b["first"] < a["last"] < b["last"] for a in spans for b in spans)  # turns interleave
     want = {}
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[0] or 0, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
         want.setdefault(conv, []).append((role or "", text or ""))
     back = lambda events: {r["conv_id"]: chat_format.parse(r["formatted"]) for r in chat_format.format_chats(events).collect()}
     assert back(log.orderBy(F.rand(3))) == want
-    for kind in ("delta", "edit", "regenerate"):
+    for kind in ("delta", "edit", "regenerate", "delete"):
         assert back(log.where(F.col("kind") != kind)) != want
+    assert back(log.withColumn("seq", F.lit(1))) != want
+
+
+def test_events_of_one_seq_have_an_order(spark):
+    """Start, edit, regeneration, delta, deletion; a later start names the role; not a number is one conversation."""
+    log = [
+        (1.0, 0, "delta", "m", None, "!"),
+        (1.0, 0, "message", "m", "user", "q1"),
+        (2.0, 1, "delta", "a", None, "lost"),
+        (2.0, 2, "message", "a", "assistant", "kept"),
+        (2.0, 3, "message", "a", None, "last"),
+        (3.0, 5, "delete", "d", None, None),
+        (3.0, 5, "message", "d", "user", "gone"),
+        (3.0, 5, "delta", "e", "user", "b"),
+        (3.0, 5, "regenerate", "e", None, "x"),
+        (3.0, 5, "edit", "e", None, "y"),
+        (3.0, 5, "message", "e", "user", "a"),
+        (float("nan"), 0, "message", "n", "user", "one"),
+        (float("nan"), 1, "message", "o", "user", "two"),
+    ]
+    events = spark.createDataFrame(log, "conv_id double, seq bigint, kind string, message string, role string, text string").repartition(5)
+    got = {str(r["conv_id"]): chat_format.parse(r["formatted"]) for r in chat_format.format_chats(events).collect()}
+    assert got == {"1.0": [("user", "q1!")], "2.0": [("assistant", "last")], "3.0": [("user", "xb")], "nan": [("user", "one"), ("user", "two")]}
 
 
 def test_fold_is_linear_in_messages():
