@@ -5,9 +5,10 @@ metric is a histogram whose bins widen with the value (six leading bits are
 kept, so a quantile is right within 1/32 of its value).  Sketches merge by adding
 counts, so those of a language or the whole corpus are sums of those of its
 sources.  A threshold lies beyond an outer quantile by a multiple of that quantile's
-distance from the median.  Quantiles of a source are blended with those of its
-language, and these with those of the corpus, by the numbers of documents seen, so
-small sources lean on larger ones without a switch.  Thresholds are joined to the
+distance from the median and of the mean excess over it, which is there where most
+documents have a zero.  Quantiles and excess of a source are blended with those of
+its language, and these with those of the corpus, by the numbers of documents seen,
+so small sources lean on larger ones without a switch.  Thresholds are joined to the
 documents and filter them.
 """
 
@@ -27,10 +28,10 @@ NAME = "op1_quality_rules"
 SPACE, NOT_SYMBOL = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 WINDOW_WORDS, LEAST_WORDS, MOST_REPEATED_PERCENT = 5, 10, 20
 
-#: Metric: what is granted beyond the adaptive distance, and whether small values are bad as well.  Shares are in
+#: Metric: the least distance from the outer quantile, and whether small values are bad as well.  Shares are in
 #: thousandths (in a text of four lines one repeated line is 250), word lengths in hundredths of a character.
 METRICS = {"symbols": (10, False), "capitals": (10, False), "marks": (10, False), "dup_lines": (250, False), "repeats": (100, False), "word_length": (10, True)}
-#: The outer quantile in percent (on the lower side its mirror), and how many distances from the median lie beyond it.
+#: The outer quantile in percent (on the lower side its mirror), and how many distances from the median and mean excesses lie beyond it.
 OUTER, FENCE = 90, 3
 #: A wider sketch counts as this many documents when it is blended with a narrower one.
 PRIOR_DOCS = 200
@@ -120,7 +121,8 @@ def sketches(featured: DataFrame, lang: str = "lang", source: str = "source") ->
     return flat.withColumn("lost", lost).groupBy("lang", "source", F.col("x.metric").alias("metric"), kept.alias("bin")).agg(F.count("*").alias("n"))
 
 
-QUANTILES = ("low", "middle", "high")
+#: Outer and middle quantiles, and FENCE times the mean excess over the upper and below the lower one.
+QUANTILES = ("low", "middle", "high", "under", "over")
 
 
 def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -128,9 +130,11 @@ def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
     merged = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     seen = Window.partitionBy(*by, "metric")
     ranked = merged.withColumn("upto", F.sum("n").over(seen.orderBy("bin"))).withColumn("all", F.sum("n").over(seen))
-    at = lambda percent: F.min(F.when(F.lit(100) * F.col("upto") >= F.lit(percent) * F.col("all"), F.col("bin")))
-    every = [at(p).alias(q) for q, p in zip(QUANTILES, (100 - OUTER, 50, OUTER), strict=True)]
-    return ranked.groupBy(*by, "metric").agg(F.max("all").alias("docs"), *every)
+    at = {q: F.min(F.when(F.lit(100) * F.col("upto") >= F.lit(p) * F.col("all"), F.col("bin"))).over(seen) for q, p in zip(QUANTILES, (100 - OUTER, 50, OUTER), strict=False)}
+    placed = ranked.withColumns(at)
+    excess = lambda x: F.call_function("div", F.sum(FENCE * F.col("n") * F.greatest(x, F.lit(0))), F.max("all"))
+    own = [F.max(q).alias(q) for q in at]
+    return placed.groupBy(*by, "metric").agg(F.max("all").alias("docs"), *own, excess(F.col("low") - F.col("bin")).alias("under"), excess(F.col("bin") - F.col("high")).alias("over"))
 
 
 def _blended(narrow: DataFrame, wide: DataFrame, on: Column) -> DataFrame:
@@ -147,8 +151,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     own, language, every = _quantiles(sketch, ["lang", "source"]), _quantiles(sketch, ["lang"]), _quantiles(sketch, [])
     blended = _blended(own, _blended(language, every, F.lit(True)), F.col("lang").eqNullSafe(F.col("_lang")))
     slack = reduce(lambda c, m: F.when(F.col("metric") == m, METRICS[m][0]).otherwise(c), METRICS, F.lit(None).cast("int"))
-    low = F.col("low") - F.lit(FENCE) * (F.col("middle") - F.col("low")) - slack
-    high = F.col("high") + F.lit(FENCE) * (F.col("high") - F.col("middle")) + slack
+    low = F.col("low") - F.greatest(F.lit(FENCE) * (F.col("middle") - F.col("low")) + F.col("under"), slack)
+    high = F.col("high") + F.greatest(F.lit(FENCE) * (F.col("high") - F.col("middle")) + F.col("over"), slack)
     each = [F.max(F.when(F.col("metric") == m, F.struct(low.alias("low"), high.alias("high")))).alias(m) for m in METRICS]
     return blended.groupBy("lang", "source").agg(*each).select("lang", "source", F.struct(*METRICS).alias("bounds"))
 
@@ -205,17 +209,20 @@ def _oracle() -> str:
 
     def level(name: str, by: str) -> str:
         keys = f"{by}, " if by else ""
-        quantiles = ", ".join(f"min(bin) FILTER (WHERE 100 * upto >= {p} * total) AS {q}" for q, p in zip(QUANTILES, (100 - OUTER, 50, OUTER), strict=True))
+        part = f"PARTITION BY {keys}metric"
+        quantiles = ", ".join(f"min(bin) FILTER (WHERE 100 * upto >= {p} * total) OVER ({part}) AS {q}" for q, p in zip(QUANTILES, (100 - OUTER, 50, OUTER), strict=False))
         return f"""{name}_m AS (SELECT {keys}metric, bin, sum(n) AS n FROM sketch GROUP BY ALL),
-{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys}metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}metric) AS total FROM {name}_m),
-{name} AS (SELECT {keys}metric, max(total) AS docs, {quantiles} FROM {name}_r GROUP BY ALL)"""
+{name}_r AS (SELECT *, sum(n) OVER ({part} ORDER BY bin) AS upto, sum(n) OVER ({part}) AS total FROM {name}_m),
+{name}_q AS (SELECT *, {quantiles} FROM {name}_r),
+{name} AS (SELECT {keys}metric, max(total) AS docs, max(low) AS low, max(middle) AS middle, max(high) AS high,
+  sum({FENCE} * n * greatest(low - bin, 0)) // max(total) AS under, sum({FENCE} * n * greatest(bin - high, 0)) // max(total) AS over FROM {name}_q GROUP BY ALL)"""
 
     def blend(narrow: str, wide: str) -> str:
         return ", ".join(f"({narrow}.docs * {narrow}.{q} + {PRIOR_DOCS} * {wide}.{q}) // ({narrow}.docs + {PRIOR_DOCS}) AS {q}" for q in QUANTILES)
 
     metrics = ", ".join(f"('{m}', {m})" for m in METRICS)
     failed = ", ".join(f"max(metric) FILTER (WHERE metric = '{m}' AND bad)" for m in METRICS)
-    both = " OR ".join(f"(l.metric = '{m}' AND value < low - {FENCE} * (middle - low) - slack)" for m, x in METRICS.items() if x[1])
+    both = " OR ".join(f"(l.metric = '{m}' AND value < low - greatest({FENCE} * (middle - low) + under, slack))" for m, x in METRICS.items() if x[1])
     return rf"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 cut AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM texts),
@@ -236,7 +243,7 @@ sketch AS (SELECT lang, source, metric, (value >> {bins}) << {bins} AS bin, coun
 lngb AS (SELECT lng.lang, lng.metric, {blend("lng", "tot")} FROM lng JOIN tot USING (metric)),
 fenced AS (SELECT own.lang, own.source, own.metric, {blend("own", "lngb")}, CASE own.metric {slack} END AS slack
   FROM own JOIN lngb ON own.lang IS NOT DISTINCT FROM lngb.lang AND own.metric = lngb.metric),
-judged AS (SELECT l.doc_id, l.metric, (value > high + {FENCE} * (high - middle) + slack OR {both}) AS bad FROM long l JOIN fenced f
+judged AS (SELECT l.doc_id, l.metric, (value > high + greatest({FENCE} * (high - middle) + over, slack) OR {both}) AS bad FROM long l JOIN fenced f
   ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND l.metric = f.metric),
 out AS (SELECT doc_id, concat_ws(',', {failed}) AS failed FROM judged GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND failed = '') AS kept, failed
