@@ -9,6 +9,8 @@ and overlapping ones merged into spans to remove.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -128,32 +130,53 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], t
     """Columns ``keep`` of ``docs`` with n_words, spans (of words, ends exclusive) and items.
 
     Documents are searched where they are, in blocks of benchmark items one after
-    another; nothing is shuffled, and repeated rows are searched each.  After
-    PASS_BLOCKS blocks documents and what was found so far are written to the shared
-    folder, so plans and what tasks hold stay bounded however large the benchmark
-    is.  Null texts have no words; a text may be of any length; an item without
-    words has no window; a null item_id counts as the empty string; equal ids are
-    one item.  Empty tables give no rows, or rows without hits.  Other columns are
-    not read and may have any names and types.
+    another, PASS_BLOCKS of them in a pass; repeated rows are searched each.  One
+    pass shuffles and writes nothing.  If there are more, documents are written once
+    with a number, and each pass leaves the numbers, spans and items of what it has
+    found, so disk does not grow with the benchmark but by hits, and what tasks hold
+    stays bounded.  Null texts have no words; a text may be of any length; an item
+    without words has no window; a null item_id counts as the empty string; equal ids
+    are one item.  Empty tables give no rows, or rows without hits.  Other columns
+    are not read and may have any names and types.
     """
-    sc = docs.sparkSession.sparkContext
     inner = {f"c{i}": k for i, k in enumerate(keep)}
-    kinds = [T.StructField(c, rows.kind(docs, k)) for c, k in inner.items()]
-    state = rows.chosen(docs, **inner, text=text).select("*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    blocks, sent = _blocks(benchmark, item, item_text), []
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        carried = kinds if following is None else [*kinds, T.StructField("text", T.StringType())]
-        sent.append(sc.broadcast(Windows(block)))
-        state = _searched(state, sent[-1], carried)
-        if following is not None and len(sent) == PASS_BLOCKS:
-            state = saved(state, "searched")
-            for windows in sent:
-                windows.destroy()
-            sent = []
-        block = following
-    return state.select(*inner, "n_words", "spans", "items").toDF(*keep, "n_words", "spans", "items")
+    made = ["n_words", "spans", "items"]
+    passes = _passes(benchmark, item, item_text)
+    own, first, second = rows.chosen(docs, **inner, text=text), next(passes), next(passes, None)
+    if second is None:
+        return _pass(own, first, list(inner)).select(*inner, *made).toDF(*keep, *made)
+    whole = saved(own.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    texts = whole.select("number", "text")
+    found = [saved(_pass(texts, first, ["number"]), "hits")]
+    for blocks in chain((second,), passes):
+        found.append(saved(_pass(texts, blocks, ["number"]).where(F.size("items") > 0), "hits"))
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items")]  # one of each pass at most
+    once = reduce(DataFrame.unionByName, found).groupBy("number").agg(F.max("n_words").alias("n_words"), *lists)
+    once = once.mapInArrow(_merge, f"number bigint, n_words bigint, spans {SPANS}, items array<string>")
+    return whole.drop("text").join(once, "number").select(*inner, *made).toDF(*keep, *made)
+
+
+def _passes(benchmark: DataFrame, item: str, text: str) -> Iterator[list[list[tuple[str, bytes]]]]:
+    """The blocks of the benchmark, as many together as one pass takes."""
+    blocks = _blocks(benchmark, item, text)
+    while held := list(islice(blocks, PASS_BLOCKS)):
+        yield held
+
+
+def _pass(texts: DataFrame, blocks: list[list[tuple[str, bytes]]], carried: list[str]) -> DataFrame:
+    """``texts`` searched for all of ``blocks``; columns ``carried``, n_words, spans and items."""
+    kinds = [texts.schema[c] for c in carried]
+    state = texts.select("*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    for i, block in enumerate(blocks):
+        windows = texts.sparkSession.sparkContext.broadcast(Windows(block))  # of BLOCK_BYTES of text
+        state = _searched(state, windows, kinds if i == len(blocks) - 1 else [*kinds, T.StructField("text", T.StringType())])
+    return state
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [[{"begin": a, "end": b} for a, b in merged([(x["begin"], x["end"]) for x in found])] for found in batch.column("spans").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("spans"), "spans", pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
 
 
 def _searched(state: DataFrame, windows, kinds: list[T.StructField]) -> DataFrame:
