@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from pagewright.plans.session import scratch_path, table
 
 NAME = "op5_warc"
 
-#: Captures in one archive file, at most; a file is read as a whole.
-FILE_CAPTURES = 1000
+#: Captures in one archive file, at most, and bytes of their payloads, unless one alone has more; a file is read as a whole.
+FILE_CAPTURES, FILE_BYTES = 1000, 256 << 20
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EOL = "\r\n"
 
@@ -76,10 +77,14 @@ def _safe(value: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", captured: str = "2024-01-01T00:00:00Z") -> None:
     """Writes one capture per row of ``pages``, as compressed archives below ``path``.
 
-    A revisit names what it repeats by target URI and date.  Repeated rows are
-    captures of their own; null urls are empty; an empty table gives archives
-    without records; other columns are not read and may have any names and types.
+    A revisit names what it repeats by target URI and date.  Captures with payloads
+    of which FILE_CAPTURES might pass FILE_BYTES are in files of fewer captures.
+    Repeated rows are captures of their own; null urls are empty; an empty table
+    gives archives without records; other columns are not read and may have any
+    names and types.
     """
+    large = FILE_BYTES // FILE_CAPTURES
+    most = rows.chosen(pages, payload=payload).agg(F.max(F.octet_length("payload"))).first()[0] or 0
     made = with_revisits(rows.chosen(pages, key=key, url=url, payload=payload), "key", "url", "payload")
     made = made.withColumn("id", F.md5(F.concat_ws("|", F.col("key").cast("string"), F.monotonically_increasing_id())))
     part = lambda name: F.concat(F.lit("<urn:capture:"), F.col("id"), F.lit(f":{name}>"))
@@ -117,8 +122,10 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     )
     end = _EOL + _EOL
     text = F.concat(ask, F.lit(end), answer, F.lit(end), about)
-    out = made.select(text.alias("value")).write.option("lineSep", end).option("compression", "gzip")
-    out.option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+    fits = F.col("payload_bytes") <= large
+    for chosen, captures in ((made.where(fits), FILE_CAPTURES), (made.where(~fits), FILE_BYTES // most)) if most > large else ((made, FILE_CAPTURES),):
+        out = chosen.select(text.alias("value")).write.mode("append").option("lineSep", end).option("compression", "gzip")
+        out.option("maxRecordsPerFile", max(1, captures)).text(path)
 
 
 RECORD = "type string, record_id string, concurrent_to string, target_uri string, date string, payload_digest string, refers_to_uri string, fields map<string,string>, payload binary, payload_bytes bigint"
@@ -127,7 +134,10 @@ CHUNK = 1 << 16
 
 
 def _unpacked(content: bytes) -> Iterator[bytes]:
-    """What the gzip members of ``content`` hold, in pieces, or ``content`` itself if it is not packed."""
+    """What the gzip members of ``content`` hold, in pieces, or ``content`` itself if it is not packed.
+
+    Where packed bytes are damaged the archive ends.
+    """
     if content[:2] != b"\x1f\x8b":
         yield content
         return
@@ -135,7 +145,11 @@ def _unpacked(content: bytes) -> Iterator[bytes]:
     for at in range(0, len(content), CHUNK):
         left = content[at : at + CHUNK]
         while left:
-            yield member.decompress(left)
+            try:
+                piece = member.decompress(left)
+            except zlib.error:
+                return
+            yield piece
             left = member.unused_data
             if member.eof:
                 member = zlib.decompressobj(31)
@@ -162,6 +176,15 @@ class _Pieces:
                 return None
         return self.take(at + len(end))[:at]
 
+    def seek(self, mark: bytes) -> bool:
+        """Gives up what comes before the next ``mark``; whether there is one."""
+        while (at := self.held.find(mark)) < 0:
+            del self.held[: max(0, len(self.held) - len(mark))]
+            if not self._more():
+                return False
+        del self.held[:at]
+        return True
+
     def take(self, size: int) -> bytes | None:
         """The next ``size`` bytes, or None if there are fewer."""
         while len(self.held) < size:
@@ -173,12 +196,19 @@ class _Pieces:
 
 
 def parse_records(content: bytes, with_payload: bool) -> Iterator[dict]:
-    """The records of one archive, cut at Content-Length; a truncated last record is left out."""
+    """The records of one archive, cut at Content-Length; a truncated last record is left out.
+
+    A record whose Content-Length is no whole number is left out, and what lies
+    between records: reading goes on at the next record's first line.
+    """
     data = _Pieces(_unpacked(content))
-    while (front := data.upto(b"\r\n\r\n")) is not None:
+    while data.seek(b"WARC/1.") and (front := data.upto(b"\r\n\r\n")) is not None:
         lines = front.decode(errors="replace").split(_EOL)
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        block = data.take(int(head.get("content-length") or 0))
+        size = head.get("content-length") or "0"
+        if not re.fullmatch("[0-9]{1,18}", size):
+            continue
+        block = data.take(int(size))
         if block is None:
             return
         data.take(4)
