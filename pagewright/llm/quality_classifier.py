@@ -26,7 +26,7 @@ ORACLE_SQL = None
 
 #: Labelled rows that a model is fitted to, at most: those with the smallest hash of their id, as long as their
 #: indicators have so many bytes at most (of a row some four for each distinct n-gram, and a megabyte at most).
-MOST_TRAINING_ROWS, MOST_TRAINING_BYTES = 8_000, 512 << 20
+MOST_TRAINING_ROWS, MOST_TRAINING_BYTES = 8_000, 96 << 20
 #: Indicators are hashed to so many bits; the first few places stand for shares of repeated n-grams.
 BITS = 18
 SHARES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
@@ -74,8 +74,8 @@ def log_count_ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
 
 def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, good: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of the hinge-loss model on rows of unit length; a constant 1 gives the bias."""
-    values = [scale[r] for r in rows]
-    values = [v / (np.sqrt((v * v).sum()) or 1.0) for v in values]
+    values = [scale[r].astype(np.float32) for r in rows]
+    values = [v / np.float32(math.sqrt(float(v @ v)) or 1.0) for v in values]
     sign = np.where(good, 1.0, -1.0)
     alpha, weights, bias = np.zeros(len(rows)), np.zeros(len(scale)), 0.0
     size = [float((v * v).sum()) + 1.0 for v in values]
