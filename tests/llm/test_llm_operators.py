@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pagewright.llm import chat_format, decontamination, fm_index, graph, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_lattice, simhash_dedup, token_counts, warc
+from pagewright.plans import session
 from pagewright.plans.session import scratch_path
 
 P = pytest.importorskip("public_tokenizers")
@@ -87,6 +88,20 @@ def test_quality_thresholds_adapt(spark):
     assert kept == {i for i, *_ in rows} - {5000}
 
 
+def test_quality_bounds_follow_the_tail_where_most_are_zero(spark):
+    """Quantiles, excess and bounds against plain ones; where all outer quantiles are zero the excess decides, not the floor."""
+    rows = [(i, " ".join(f"word{i}x{k}" + ("#" * 6 if i % 12 == 0 else "") for k in range(20)), "en", "s", 0) for i in range(240)]
+    sketch = quality_rules.sketches(quality_rules.with_features(spark.createDataFrame(rows, DOCS)))
+    values = sorted(1000 * plain_features(r[1])[2] // plain_features(r[1])[1] for r in rows)
+    cut = lambda v: v >> max(0, v.bit_length() - 6) << max(0, v.bit_length() - 6)
+    high = cut(values[math.ceil(0.9 * len(values)) - 1])
+    over = sum(3 * max(cut(v) - high, 0) for v in values) // len(values)
+    found = quality_rules._quantiles(sketch, ["lang", "source"]).where("metric = 'symbols'").first()
+    assert (found["docs"], found["low"], found["middle"], found["high"], found["over"]) == (240, 0, 0, high, over) and high == 0 < over
+    bound = quality_rules.thresholds(sketch).first()["bounds"]["symbols"]
+    assert bound["high"] == over > quality_rules.METRICS["symbols"][0] and bound["low"] == -quality_rules.METRICS["symbols"][0]
+
+
 def test_quality_bounds_differ_between_sources(spark):
     """Bounds follow upper quantiles of their own source, more so the more documents it has, and small sources lean on their language."""
     say = lambda i, caps: " ".join((f"Word{i}x{k}" if k < caps else f"word{i}x{k}") for k in range(20))
@@ -170,6 +185,14 @@ def test_training_rows_are_bounded_by_bytes(spark, monkeypatch):
     assert not np.any(model.weights) and model.score(np.zeros(0, np.int32)) == 0.5
 
 
+def test_repeated_labels_of_different_quality(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 0) for i in range(40)] + [(1, "another", "en", "s", 0)], DOCS)
+    labels = spark.createDataFrame([(i, q) for i in range(40) for q in (1, i % 2)] + [(None, 0), (3, None)], "doc_id bigint, quality int")
+    found = {r["key"]: (r["text"], r["good"]) for r in quality_classifier.training_rows(docs, labels, "quality").collect()}
+    assert all(good == i % 2 for i, (_, good) in found.items()) and len(found) > 20 and None not in found
+    assert found.get(1, ("another",))[0] == "another"  # of repeated rows the smallest counts
+
+
 def test_classifier_without_labels(spark, empty):
     model = quality_classifier.fit(empty, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert 0 <= model.score(np.zeros(0, np.int32)) <= 1
@@ -219,7 +242,7 @@ def test_decontamination_equals_brute_force(spark, docs, monkeypatch):
     items = [(1, texts[5]), (2, texts[9][100:300]), (3, "one"), (4, None), (5, ""), (6, "é日本語"), (7, "never to be found here"), (1, texts[20]), (None, texts[21])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = sorted((r[0] if r[0] is not None else -1, *plain_contamination(r[1], items)) for r in odd_documents())
-    for block, passes in ((decontamination.BLOCK_BYTES, 8), (60, 8), (60, 1)):  # in one block, in several, and in several passes
+    for block, passes in ((decontamination.BLOCK_BYTES, 8), (60, 8), (60, 2), (60, 1)):  # in one block, in several, and in several passes
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
         monkeypatch.setattr(decontamination, "PASS_BLOCKS", passes)
         found = decontamination.judged(decontamination.find_contamination(docs, bench, ["doc_id"])).collect()
@@ -227,6 +250,20 @@ def test_decontamination_equals_brute_force(spark, docs, monkeypatch):
         assert all(r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in found)
 
 
+def test_many_benchmark_blocks_leave_one_copy_of_the_texts(spark, monkeypatch):
+    """Beyond one pass documents are written once, and passes write what they have found."""
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(decontamination, "PASS_BLOCKS", 1)
+    written = []
+    monkeypatch.setattr(decontamination, "saved", lambda df, label: written.append((label, df.columns)) or session.saved(df, label))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} " * 8) for i in range(20)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, f"a{i} b{i} c{i} " * 6) for i in range(12)], "item_id bigint, text string")
+    found = decontamination.find_contamination(docs, bench, ["doc_id"]).collect()
+    assert [label for label, _ in written].count("numbered") == 1 and [label for label, _ in written].count("hits") == 12
+    assert all("text" not in columns for label, columns in written if label == "hits")
+    assert {r["doc_id"]: r["items"] for r in found} == {i: [str(i)] if i < 12 else [] for i in range(20)}
+
+
 def test_decontamination_drops_and_keeps_columns(spark, clashing, empty):
     bench = spark.createDataFrame([(1, "one")], "item_id bigint, text string")
     out = decontamination.drop_contaminated(clashing, bench)
@@ -323,6 +360,30 @@ def test_fold_is_linear_in_messages():
 # --- WARC
 
 
+def test_damaged_archives_give_their_other_records(spark, monkeypatch):
+    import gzip
+
+    record = lambda i, size: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: {size}\r\n\r\nA: b\r\n\r\nxyz\r\n\r\n".encode()
+    bad = [record(0, 11), record(1, "many"), record(2, -3), record(3, "1" * 30), b"junk \x00 between\r\n\r\n", record(4, 11)]
+    want = ["<r0>", "<r4>"]
+    whole = b"".join(bad)
+    for content in (whole, gzip.compress(whole), b"".join(map(gzip.compress, bad))):
+        assert [r["record_id"] for r in warc.parse_records(content, True)] == want
+    packed = gzip.compress(record(0, 11)) + gzip.compress(record(1, 11))[:-20] + b"\xff" * 40
+    assert [r["record_id"] for r in warc.parse_records(packed, True)][0] == "<r0>"
+    assert list(warc.parse_records(b"", True)) == [] == list(warc.parse_records(record(9, 10**12), True))
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
+    pages = spark.createDataFrame([(i, "u", "x" * (3_000 if i % 4 == 0 else 5) + str(i)) for i in range(40)], "page_id bigint, url string, html string").coalesce(1)
+    path = scratch_path(spark, "bounded-warc")
+    warc.write_archives(pages, path)
+    sizes = [sum(r.get("payload_bytes", 0) for r in warc.parse_records(f["content"], False)) for f in spark.read.format("binaryFile").load(path).collect()]
+    assert max(sizes) <= 10_000 and len(sizes) >= 4
+    assert {(r["response"]["payload_bytes"]) for r in warc.assemble(warc.read_records(spark, path)).collect()} == {6, 7, 3_001, 3_002}
+
+
 def test_warc_round_trip(spark):
     hostile = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nb"
     rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, "http://a/\r\n3", "é\n"), (4, None, None), (5, "http://a/5", ""), (6, "u", hostile), (7, "u", hostile), (7, "u", hostile), (None, "u", "same"), (8, "u", "x" * 300_000)]
