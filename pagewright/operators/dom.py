@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 MOST_NODES, MOST_DEPTH, OWN_TEXT_CHARS = 5000, 40, 200
 SKIPPED = frozenset(("script", "style", "head", "noscript", "template"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-SCHEMA = "node_id int, parent_id int, depth int, tag string, role string, classes array<string>, text string, href string"
+SCHEMA = "node_id int, parent_id int, depth int, tag string, role string, classes array<string>, text string, href string, path array<int>, attrs map<string,string>"
+#: Classes and characters of an attribute that are kept, and the attributes.
+MOST_CLASSES, ATTRIBUTE_CHARS = 40, 256
+ATTRIBUTES = ("id", "href", "src", "alt", "title", "type", "name", "placeholder", "role", "for", "action", "method", "rel", "target", "width", "height", "lang", "dir", "aria-label", "aria-labelledby", "aria-hidden", "aria-expanded", "aria-current", "aria-haspopup", "aria-modal")
 #: Component kinds by role, then by tag.
 BY_ROLE = {"navigation": "Navigation", "banner": "Header", "contentinfo": "Footer", "main": "Main", "dialog": "Modal", "button": "Button", "search": "Search", "form": "Form", "tablist": "Tabs"}
 BY_TAG = {"nav": "Navigation", "header": "Header", "footer": "Footer", "main": "Main", "form": "Form", "button": "Button", "table": "Table", "article": "Article", "section": "Section", "aside": "Sidebar", "dialog": "Modal"}
@@ -49,14 +52,16 @@ def page_nodes(html: str | None) -> list[tuple]:
     tree = _Tree()
     tree.feed(html or "")
     out: list[tuple] = []
-    queue = deque((c, None, 0) for c in tree.root[2])
+    queue = deque((c, ()) for c in tree.root[2])
     while queue and len(out) < MOST_NODES:
-        (tag, attrs, children, text), parent, depth = queue.popleft()
-        if tag in SKIPPED or depth > MOST_DEPTH:
+        (tag, attrs, children, text), path = queue.popleft()
+        if tag in SKIPPED or len(path) > MOST_DEPTH:
             continue
         number = len(out)
-        out.append((number, parent, depth, tag, attrs.get("role") or "", (attrs.get("class") or "").split(), " ".join("".join(text).split())[:OWN_TEXT_CHARS], attrs.get("href")))
-        queue.extend((c, number, depth + 1) for c in children)
+        classes = list(dict.fromkeys((attrs.get("class") or "").split()))[:MOST_CLASSES]
+        kept = [(name, attrs[name][:ATTRIBUTE_CHARS]) for name in ATTRIBUTES if attrs.get(name)]
+        out.append((number, path[-1] if path else None, len(path), tag, attrs.get("role") or "", classes, " ".join("".join(text).split())[:OWN_TEXT_CHARS], attrs.get("href"), list(path), kept))
+        queue.extend((c, (*path, number)) for c in children)
     return out
 
 
@@ -67,7 +72,7 @@ BATCH_NODES = 20_000
 def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per node of each page, with its page's key."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string())]
 
     def made(batch: pa.RecordBatch, owners: list[int], held: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)]
