@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.columns import record
 from pagewright.functions.labels import title_template
@@ -252,39 +253,57 @@ def assembled(sites: DataFrame, sections: dict[str, DataFrame], by: str = "site"
 COLLECTIONS = ("nodes", "links", "images", "headings", "nav", "forms", "font_faces")
 
 
-def bounded(text: str | None, most_bytes: int) -> str | None:
-    """An evidence document (JSON) of ``most_bytes`` at most, as far as its lists can be cut."""
+def bounded(text: str | None, most_bytes: int) -> tuple[str | None, str | None]:
+    """An evidence document (JSON) of ``most_bytes`` at most, as far as its lists can be cut, and what is wrong with it.
+
+    A text that is no JSON object stays as it is.  Each list is measured once; what
+    is cut is taken off the sum.
+    """
     if text is None:
-        return None
-    size = lambda d: len(json.dumps(d, ensure_ascii=False, separators=(",", ":")).encode())
-    found = json.loads(text)
-    if size(found) > most_bytes:
+        return None, None
+    plain = lambda d: json.dumps(d, ensure_ascii=False, separators=(",", ":"))
+    size = lambda d: len(plain(d).encode(errors="surrogatepass"))
+    try:
+        found = json.loads(text)
+    except (ValueError, RecursionError):
+        return text, "malformed"
+    if not isinstance(found, dict):
+        return text, "not an object"
+    whole = size(found)
+    if whole > most_bytes:
         found["truncated"] = True
-        while size(found) > most_bytes:
-            longest = max(COLLECTIONS, key=lambda c: len(found.get(c) or ()))
-            n = len(found.get(longest) or ())
-            if not n:
-                break
-            found[longest] = found[longest][: n - max(1, -(-n // 5))]
-        present = {n.get("id") for n in found.get("nodes") or ()}
-        for n in found.get("nodes") or ():
-            n["child_ids"] = [c for c in n.get("child_ids") or () if c in present]
-    return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
+        whole = size(found)
+        sizes = {c: [size(x) + 1 for x in found[c]] for c in COLLECTIONS if isinstance(found.get(c), list)}
+        left = {c: len(x) for c, x in sizes.items()}
+        while whole > most_bytes and any(left.values()):
+            longest = max(left, key=lambda c: left[c])  # of equals the first
+            keep = left[longest] - max(1, -(-left[longest] // 5))
+            whole -= sum(sizes[longest][keep : left[longest]]) - (keep == 0)  # the last item has no comma
+            left[longest] = keep
+        for c, n in left.items():
+            found[c] = found[c][:n]
+        nodes = [n for n in found.get("nodes") or () if isinstance(n, dict)] if isinstance(found.get("nodes"), list) else []
+        present = {str(n.get("id")) for n in nodes}
+        for n in nodes:
+            n["child_ids"] = [c for c in n.get("child_ids") or () if str(c) in present]
+    return plain(found), None if whole <= most_bytes else "too large"
 
 
 def bound_evidence(rows: DataFrame, column: str, most_bytes: int) -> DataFrame:
-    """``rows`` with the documents of ``column`` cut to size.
+    """``rows`` with the documents of ``column`` cut to size, and ``problem``: malformed, not an object, too large, or null.
 
     As long as a document is too long, its longest collection loses its last fifth;
-    then children that are gone are taken out.
+    then children that are gone are taken out.  Null documents stay null.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch[column] = [bounded(x, most_bytes) for x in batch[column]]
+            made = [bounded(x, most_bytes) for x in batch[column]]
+            batch[column], batch["problem"] = [m[0] for m in made], [m[1] for m in made]
             yield batch
 
-    return rows.mapInPandas(run, rows.schema)
+    rest = rows.drop("problem")
+    return rest.mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField("problem", T.StringType())]))
 
 
 def artefact_names(scan: Column, page: Column, profile: Column, version: Column) -> Column:

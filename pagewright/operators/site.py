@@ -106,13 +106,17 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str
 
 
 def parents_by_depth(rows: DataFrame, by: Sequence[str], seq: str, depth: str, most_depth: int = 10) -> DataFrame:
-    """``rows`` with ``parent_seq``: the last row before with a smaller depth; one running value per depth, no self-join."""
+    """``rows`` with ``parent_seq``: the last row before with a smaller depth; one running value per depth, no self-join.
+
+    A row of a depth beyond ``most_depth`` is an error, as its parent would be unknown.
+    """
     before = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     lasts = [F.max(F.when(F.col(depth) == d, F.col(seq))).over(before) for d in range(most_depth)]
     best = F.lit(None).cast(rows.schema[seq].dataType)
     for d, x in enumerate(lasts):
         best = F.when(F.col(depth) > d, F.greatest(best, x)).otherwise(best)
-    return rows.withColumn("parent_seq", best)
+    deep = F.raise_error(F.concat(F.lit(f"rows are deeper than {most_depth}: "), F.col(depth).cast("string"))).cast(rows.schema[seq].dataType)
+    return rows.withColumn("parent_seq", F.when(F.col(depth) > most_depth, deep).otherwise(best))
 
 
 def depth_from_roots(edges: DataFrame, parent: str, child: str, roots: DataFrame, key: str, most: int) -> DataFrame:

@@ -212,12 +212,29 @@ def site_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.image_assets(made).select("site", "place", "id", "source_url", "sha256")
 
 
-@register("site_icons")
+_ICON_SQL = " OR ".join(f"starts_with(class, '{c}')" for c in B.ICON_CLASSES)
+_SLUG = "left(regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64)"
+
+
+@register(
+    "site_icons",
+    rf"""WITH a AS (SELECT p_type AS site, 'https://cdn.example/' || p_partkey || '.svg' AS source_url, 'assets/' || p_type || '/' || p_name || '.svg' AS local_path, p_name AS stem FROM part WHERE p_size % 3 > 0 AND p_size % 2 = 0),
+d AS (SELECT site, 'img_' || {_SLUG.format("stem")} AS id, 'inline_svg' AS type, NULL AS glyph, row_number() OVER (PARTITION BY site ORDER BY source_url, local_path) AS place FROM a QUALIFY place <= {B.MOST_ICONS}),
+c AS (SELECT DISTINCT p_type AS site, CASE p_size % 4 WHEN 0 THEN '{B.ICON_CLASSES[0]}' || lower(p_brand) WHEN 1 THEN '{B.ICON_CLASSES[-1]}' || p_size ELSE lower(p_brand) END AS class FROM part),
+g AS (SELECT site, 'icon_' || {_SLUG.format("class")} AS id, 'font_icon' AS type, class AS glyph, {B.MOST_ICONS} + row_number() OVER (PARTITION BY site ORDER BY class) AS place FROM c WHERE {_ICON_SQL}  QUALIFY place <= {2 * B.MOST_ICONS}),
+o AS (SELECT site, id, arg_min({{'type': type, 'glyph': glyph}}, place) AS r, min(place) AS spot FROM (SELECT * FROM d UNION ALL SELECT * FROM g) GROUP BY site, id)
+SELECT site, id, r.type AS type, r.glyph AS glyph FROM o QUALIFY row_number() OVER (PARTITION BY site ORDER BY spot) <= {B.MOST_ICONS}""",
+)
 def site_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Icons among the classes of pages as they are; the tests know small cases."""
-    pages = site_pages(spark, sf_dir).select("site", F.explode(H.css_classes(F.col("html"))).alias("class"))
-    none = pages.select("site", F.lit("").alias("source_url"), F.lit("").alias("local_path"), F.lit("").alias("mime_type"), F.lit("image").alias("asset_type")).limit(0)
-    return B.icon_assets(none, pages)
+    """Parts as drawings and as classes of nodes; parts of one name share an id."""
+    part, size = table(spark, sf_dir, "part"), F.col("p_size")
+    url = F.concat(F.lit("https://cdn.example/"), F.col("p_partkey").cast("string"), F.lit(".svg"))
+    assets = part.select(
+        F.col("p_type").alias("site"), url.alias("source_url"), F.concat(F.lit("assets/"), "p_type", F.lit("/"), "p_name", F.lit(".svg")).alias("local_path"),
+        F.when(size % 2 == 0, "image/svg+xml").otherwise("image/png").alias("mime_type"), F.when(size % 3 > 0, "image").otherwise("font").alias("asset_type"),
+    )
+    named = F.when(size % 4 == 0, F.concat(F.lit(B.ICON_CLASSES[0]), F.lower("p_brand"))).when(size % 4 == 1, F.concat(F.lit(B.ICON_CLASSES[-1]), size.cast("string"))).otherwise(F.lower("p_brand"))
+    return B.icon_assets(assets, part.select(F.col("p_type").alias("site"), named.alias("class")))
 
 
 @register(

@@ -8,6 +8,7 @@ that are held are those of keys that are alive.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,16 +120,31 @@ def accumulate(deltas: DataFrame, key: str, seq: str, text: str) -> DataFrame:
     return deltas.groupBy(key).agg(F.array_join(F.transform(pieces, lambda p: p["t"]), "").alias("text"))
 
 
-def balanced(code: Column) -> Column:
-    """Whether brackets of all kinds close in order."""
-    marks = F.filter(F.split(code, ""), lambda c: c.isin("(", ")", "[", "]", "{", "}"))
-    pairs = F.create_map(*[F.lit(x) for x in (")", "(", "]", "[", "}", "{")])
+_CLOSED_BY = {")": "(", "]": "[", "}": "{"}
+_BRACKET = re.compile(r"[()\[\]{}]")
+
+
+def closes_in_order(code: str | None) -> bool | None:
+    """Whether brackets of all kinds close in order: one pass with the open ones on a stack."""
+    if code is None:
+        return None
+    open_: list[str] = []
+    for mark in _BRACKET.findall(code):
+        if mark not in _CLOSED_BY:
+            open_.append(mark)
+        elif not open_ or open_.pop() != _CLOSED_BY[mark]:
+            return False
+    return not open_
 
-    def push(s: Column, c: Column) -> Column:
-        closes = F.startswith(s, pairs[c]) & (s != "")
-        return F.when(s.isNull(), s).when(c.isin("(", "[", "{"), F.concat(c, s)).when(closes, F.substring(s, 2, 1_000_000))
 
-    return F.coalesce(F.aggregate(marks, F.lit(""), push), F.lit("?")) == ""
+def balanced(code: Column) -> Column:
+    """Whether brackets of all kinds close in order; null for null.
+
+    A stack has no form among the built-in functions that would not copy it at
+    every bracket, so texts go through Arrow in batches.
+    """
+    check = F.pandas_udf(lambda texts: texts.map(closes_in_order).astype("boolean"), "boolean")
+    return check(code)
 
 
 #: What generated code must not hold.
@@ -176,7 +192,7 @@ def brace_depth(code: Column) -> Column:
 
 def declares(code: Column, name: Column) -> Column:
     """Whether the code declares ``name`` as a function or as a constant."""
-    word = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    word = F.concat(F.lit(r"\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))  # an end of quotation inside a name is itself quoted
     function = F.concat(F.lit(r"\bfunction\s+"), word, F.lit(r"\s*\("))
     constant = F.concat(F.lit(r"\b(?:const|let)\s+"), word, F.lit(r"\s*[=:]"))
     return F.regexp_like(code, function) | F.regexp_like(code, constant)
@@ -217,7 +233,7 @@ def tidy_code(code: Column) -> Column:
 def code_violations(code: Column, name: Column | None = None) -> Column:
     """Names of what generated code must not hold, in order; with ``name``, whether it declares that component."""
     hits = [F.when(code.rlike(pattern), label) for label, pattern in FORBIDDEN]
-    hits.append(F.when(~balanced(code), "UNBALANCED_DELIMITERS"))
+    hits.append(F.when(~F.coalesce(balanced(code), F.lit(True)), "UNBALANCED_DELIMITERS"))
     if name is not None:
         hits += [F.when(brace_depth(code) > MOST_DEPTH, "EXCESSIVE_NESTING"), F.when(~declares(code, name), "MISSING_COMPONENT_DECLARATION"), F.when(F.size(unused_imports(code)) > 0, "UNUSED_IMPORT")]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())

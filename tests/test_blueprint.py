@@ -131,6 +131,19 @@ def test_bounded_evidence(spark):
     assert all(c in {n["id"] for n in found["nodes"]} for n in found["nodes"] for c in n["child_ids"]) and len(cut.encode()) <= 600
 
 
+def test_icons_of_one_name_are_one(spark):
+    assets = spark.createDataFrame([("s", f"http://x/{i}.svg", "a/Same name.svg", "image/svg+xml", "image") for i in range(3)], "site string, source_url string, local_path string, mime_type string, asset_type string")
+    classes = spark.createDataFrame([("s", "fa-x y"), ("s", "fa-x-y")], "site string, class string")
+    assert sorted((r["id"], r["glyph"]) for r in B.icon_assets(assets, classes).collect()) == [("icon_fa-x-y", "fa-x y"), ("img_same-name", None)]
+
+
+def test_evidence_that_is_no_object(spark):
+    texts = ["{", "[1, 2]", "7", None, '{"nodes": "text", "links": [1, 2, 3]}', '{"nodes": [5, {"id": 1, "child_ids": [1, 2]}], "pad": "' + "x" * 400 + '"}']
+    got = {r["k"]: (r["e"], r["problem"]) for r in B.bound_evidence(spark.createDataFrame(list(enumerate(texts)), "k int, e string"), "e", 50).collect()}
+    assert got[0] == ("{", "malformed") and got[1] == ("[1, 2]", "not an object") and got[2] == ("7", "not an object") and got[3] == (None, None)
+    assert got[4] == ('{"nodes":"text","links":[1,2,3]}', None) and got[5][1] == "too large" and json.loads(got[5][0])["nodes"] == []
+
+
 def test_status_labels(spark):
     rows = spark.createDataFrame([("completed",), ("odd",), (None,)], "status string")
     for kind in ("project", "scan", "page"):

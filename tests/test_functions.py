@@ -126,3 +126,21 @@ def test_detection(spark):
 @pytest.mark.parametrize(("failed", "captcha", "status", "wall", "session", "want"), [(True, True, 200, True, True, "unknown"), (False, True, 401, True, True, "blocked"), (False, False, 429, False, True, "blocked"), (False, False, 200, True, True, "auth_required"), (False, False, 200, False, True, "authenticated"), (False, False, 200, False, False, "public")])
 def test_page_auth(spark, failed, captcha, status, wall, session, want):
     assert spark.range(1).select(H.page_auth(F.lit(failed), F.lit(captcha), F.lit(status), F.lit(wall), F.lit(session))).first()[0] == want
+
+
+def test_code_checks_of_odd_texts(spark):
+    from pagewright.streaming import events
+
+    deep = "(" * 200_000 + ")" * 200_000
+    assert values(spark, [deep, deep + ")", "(" * 100_000, "([)]", None], events.balanced) == [True, False, False, False, None]
+    rows = spark.createDataFrame([(r"const a\E(b = 1", r"a\E(b"), ("function f (", "f"), ("let $x: T", "$x"), ("const ab = 1", "a"), (r"const \Qx = 1", r"\Qx")], "code string, name string")
+    assert [r[0] for r in rows.select(events.declares(F.col("code"), F.col("name"))).collect()] == [True, True, True, False, True]
+
+
+def test_parents_of_rows_that_are_too_deep(spark):
+    from pagewright.operators.site import parents_by_depth
+
+    rows = spark.createDataFrame([(1, i, i) for i in range(15)], "k int, seq int, depth int")
+    assert [r["parent_seq"] for r in parents_by_depth(rows, ["k"], "seq", "depth", 20).orderBy("seq").collect()] == [None, *range(14)]
+    with pytest.raises(Exception, match="deeper than 10"):
+        parents_by_depth(rows, ["k"], "seq", "depth", 10).collect()
