@@ -112,9 +112,8 @@ def parents_by_depth(rows: DataFrame, by: Sequence[str], seq: str, depth: str, m
     """
     before = Window.partitionBy(*by).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     lasts = [F.max(F.when(F.col(depth) == d, F.col(seq))).over(before) for d in range(most_depth)]
-    best = F.lit(None).cast(rows.schema[seq].dataType)
-    for d, x in enumerate(lasts):
-        best = F.when(F.col(depth) > d, F.greatest(best, x)).otherwise(best)
+    none = F.lit(None).cast(rows.schema[seq].dataType)
+    best = F.greatest(none, none, *[F.when(F.col(depth) > d, x) for d, x in enumerate(lasts)])
     deep = F.raise_error(F.concat(F.lit(f"rows are deeper than {most_depth}: "), F.col(depth).cast("string"))).cast(rows.schema[seq].dataType)
     return rows.withColumn("parent_seq", F.when(F.col(depth) > most_depth, deep).otherwise(best))
 

@@ -158,6 +158,50 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.crawl(_part_links(spark, sf_dir), spark.range(1).select(F.col("id").alias("key")), 3, 60)
 
 
+def _run_sql(levels: int, most: int, failures: int, retries: int) -> str:
+    """The same run level by level: attempts, running failures, the page at which it stops, offers of loaded pages before it."""
+    tried = f"""WITH l AS (SELECT l_suppkey % 40 AS source, l_partkey % 400 AS target, l_orderkey * 10 + l_linenumber AS seq, l_partkey % 7 > 0 AS in_scope FROM lineitem),
+a AS (SELECT p_partkey % 400 AS key, i AS attempt, CASE WHEN i < p_size % 5 THEN 'retryable' ELSE ['loaded', 'failed', 'auth_required', 'loaded', 'loaded', 'loaded', 'blocked'][p_size % 7 + 1] END AS outcome FROM part, unnest(range(0, p_size % 5 + 1)) u(i) WHERE p_partkey < 400 AND i <= {retries}),
+t AS (SELECT key, coalesce(arg_min(outcome, attempt) FILTER (WHERE outcome <> 'retryable'), CASE WHEN count(*) > {retries} THEN 'failed' ELSE 'loaded' END) AS status,
+  CASE WHEN min(attempt) FILTER (WHERE outcome <> 'retryable') IS NOT NULL THEN min(attempt) FILTER (WHERE outcome <> 'retryable') + 1 WHEN count(*) > {retries} THEN {retries + 1} ELSE count(*) + 1 END AS attempts FROM a GROUP BY key),
+w0 AS (SELECT key, 0 AS depth, row_number() OVER (ORDER BY key) AS place FROM (SELECT unnest(range(1, 4)) AS key))"""
+    parts, before = [tried], "SELECT 0 AS failed, false AS stopped"
+    for d in range(levels + 1):
+        parts.append(f"v{d} AS (SELECT w.key, depth, place, coalesce(status, 'loaded') AS st, coalesce(attempts, 1) AS n, b.failed + count(*) FILTER (WHERE coalesce(status, 'loaded') = 'failed') OVER (ORDER BY place) AS failed, b.stopped FROM w{d} w LEFT JOIN t ON t.key = w.key, ({before}) b)")
+        parts.append(f"e{d} AS (SELECT *, st = 'failed' AND failed >= {failures} AS ends, stopped OR coalesce(max(CASE WHEN st = 'failed' AND failed >= {failures} THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS behind FROM v{d})")
+        known = f"SELECT key, depth, place, CASE WHEN behind THEN 'queued' ELSE st END AS status, CASE WHEN behind THEN 0 ELSE n END AS attempts FROM e{d}"
+        parts.append(f"d{d} AS ({known})" if d == 0 else f"d{d} AS (SELECT * FROM d{d - 1} UNION ALL {known})")
+        before = f"SELECT coalesce(max(failed) FILTER (WHERE NOT behind), max(f0)) AS failed, coalesce(bool_or((ends AND NOT behind) OR stopped), bool_or(s0)) AS stopped FROM ({before.replace(' AS failed', ' AS f0').replace(' AS stopped', ' AS s0')}) x LEFT JOIN e{d} ON true" if d == 0 else f"SELECT coalesce(max(failed) FILTER (WHERE NOT behind), 0) AS failed, coalesce(bool_or((ends AND NOT behind) OR stopped), false) AS stopped FROM (SELECT * FROM e{d} UNION ALL SELECT * FROM e{d - 1})"
+        if d < levels:
+            parts.append(f"o{d + 1} AS (SELECT target AS key, min({{'a': place, 'b': seq}}) AS first FROM l JOIN e{d} ON e{d}.key = l.source WHERE st = 'loaded' AND NOT behind AND in_scope AND target NOT IN (SELECT key FROM d{d}) GROUP BY 1)")
+            parts.append(f"w{d + 1} AS (SELECT key, {d + 1} AS depth, (SELECT count(*) FROM d{d}) + row_number() OVER (ORDER BY first) AS place FROM o{d + 1} QUALIFY row_number() OVER (ORDER BY first) <= {most} - (SELECT count(*) FROM d{d}))")
+    return f"{', '.join(parts)} SELECT key, depth, place, status, attempts FROM d{levels}"
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages, some of which fail a few times before they load, fail for good, or ask for a login."""
+    size = F.col("p_size")
+    ends = F.element_at(F.array(*[F.lit(x) for x in ("loaded", "failed", "auth_required", "loaded", "loaded", "loaded", "blocked")]), (size % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").where("p_partkey < 400").select((F.col("p_partkey") % 400).alias("key"), size, ends.alias("ends"), F.explode(F.sequence(F.lit(0), (size % 5).cast("int"))).alias("attempt"))
+    return rows.select("key", "attempt", F.when(F.col("attempt") < size % 5, C.RETRYABLE).otherwise(F.col("ends")).alias("outcome"))
+
+
+def _run(spark: SparkSession, sf_dir: str, failures: int) -> DataFrame:
+    links = _part_links(spark, sf_dir)
+    return C.crawl_run(links, spark.range(1, 4).select(F.col("id").alias("key")), _attempts(spark, sf_dir), 3, 90, failures, 3)
+
+
+@register("crawl_run", _run_sql(3, 90, 12, 3))
+def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of three levels with retries that stops at its twelfth failure."""
+    return _run(spark, sf_dir, 12)
+
+
+@register("crawl_run_result", f"WITH p AS ({_run_sql(3, 90, 50, 3)}) SELECT CASE WHEN count(*) FILTER (WHERE status = 'failed') >= 50 THEN 'failed' ELSE 'completed' END AS status, count(*) AS discovered, count(*) FILTER (WHERE status <> 'queued') AS scanned, count(*) FILTER (WHERE status = 'loaded') AS loaded, count(*) FILTER (WHERE status = 'failed') AS failed, CAST(coalesce(sum(greatest(attempts - 1, 0)), 0) AS BIGINT) AS retries FROM p")
+def crawl_run_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.run_result(_run(spark, sf_dir, 50))
+
+
 @register(
     "layout_shifts",
     """WITH px AS (SELECT vec_id, unnest(range(0, 64)) AS i, embedding FROM embeddings), p AS (SELECT vec_id AS k, i % 8 AS x, i // 8 AS y, CAST(floor(abs(embedding[i + 1]) * 400) AS INT) AS v FROM px),

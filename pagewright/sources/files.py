@@ -7,8 +7,6 @@ Spark reaches, and outputs are committed as a whole.
 from __future__ import annotations
 
 import io
-import time
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import is_safe_project_path
-from pagewright.plans.session import remove_path
+from pagewright.sources.tables import Conflict, TableLog
 
 #: Fixed values.
 MOST_FILES, MOST_BYTES = 2000, 64 << 20
@@ -100,33 +98,32 @@ def read_archive(archive: DataFrame, key: str) -> DataFrame:
     return archive.select(F.col(key).alias("key"), "archive").mapInPandas(unpack, f"key {kind}, path string, size bigint, crc bigint").withColumnRenamed("key", key)
 
 
-#: The file that names the state of a table that readers see.
-CURRENT = "current"
+#: The name of a table that is the only one below its path.
+ONLY = "table"
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The state of a table that was last switched to."""
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/{CURRENT}-*').agg(F.max('value')).first()[0]}")
+    return TableLog(spark, path).read(ONLY)
 
 
-def replace_table(df: DataFrame, path: str) -> DataFrame:
+def replace_table(df: DataFrame, path: str, base: int | None = None) -> DataFrame:
     """Writes a table's next state beside the old one, then switches to it; the new state.
 
     ``df`` may read from the table itself.  Readers see the old state until the
-    switch, which is one small file that is committed as a whole; a job that fails
-    before that leaves the table as it was.  Old states stay until ``vacuum_table``.
+    switch; a job that fails before that leaves the table as it was.  With ``base``,
+    the version that ``df`` was made from, a switch that another writer has made
+    since is a Conflict; without it the state at the call counts.  Old states stay
+    until ``vacuum_table``.
     """
-    spark = df.sparkSession
-    name = f"state-{time.time_ns():020d}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{path}/{CURRENT}-{name}")
-    return spark.read.parquet(f"{path}/{name}")
+    log = TableLog(df.sparkSession, path)
+    with log.begin() as own:
+        if base is not None and log.states(base).get(ONLY) != own.seen.get(ONLY):
+            raise Conflict(f"the table changed after version {base}")
+        own.write(ONLY, df)
+    return log.read(ONLY, own.version)
 
 
 def vacuum_table(spark: SparkSession, path: str) -> list[str]:
     """Removes all states of a table but the one that readers see; their names."""
-    names = sorted(r["value"] for r in spark.read.text(f"{path}/{CURRENT}-*").collect())
-    for name in names[:-1]:
-        remove_path(spark, f"{path}/{CURRENT}-{name}")
-        remove_path(spark, f"{path}/{name}")
-    return names[:-1]
+    return TableLog(spark, path).vacuum()
