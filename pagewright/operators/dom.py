@@ -47,7 +47,7 @@ class _Tree(HTMLParser):
         self.open[-1][3].append(data)
 
 
-def page_nodes(html: str | None) -> list[tuple]:
+def page_nodes(html: str | None, text_chars: int = OWN_TEXT_CHARS) -> list[tuple]:
     """Rows of SCHEMA for one page."""
     tree = _Tree()
     tree.feed(html or "")
@@ -60,7 +60,7 @@ def page_nodes(html: str | None) -> list[tuple]:
         number = len(out)
         classes = list(dict.fromkeys((attrs.get("class") or "").split()))[:MOST_CLASSES]
         kept = [(name, attrs[name][:ATTRIBUTE_CHARS]) for name in ATTRIBUTES if attrs.get(name)]
-        out.append((number, path[-1] if path else None, len(path), tag, attrs.get("role") or "", classes, " ".join("".join(text).split())[:OWN_TEXT_CHARS], attrs.get("href"), list(path), kept))
+        out.append((number, path[-1] if path else None, len(path), tag, attrs.get("role") or "", classes, " ".join("".join(text).split())[:text_chars], attrs.get("href"), list(path), kept))
         queue.extend((c, (*path, number)) for c in children)
     return out
 
@@ -69,8 +69,8 @@ def page_nodes(html: str | None) -> list[tuple]:
 BATCH_NODES = 20_000
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per node of each page, with its page's key."""
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", text_chars: int = OWN_TEXT_CHARS) -> DataFrame:
+    """One row per node of each page, with its page's key and ``text_chars`` characters of its own text at most."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string())]
 
@@ -82,7 +82,7 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
         for batch in batches:
             owners, held = [], []
             for i, text in enumerate(batch.column("html").to_pylist()):
-                rows = page_nodes(text)
+                rows = page_nodes(text, text_chars)
                 held += rows
                 owners += [i] * len(rows)
                 if len(held) >= BATCH_NODES:

@@ -155,18 +155,38 @@ def table_entities(nodes: DataFrame, by: str) -> DataFrame:
     return nodes.where("tag = 'table'").select(by, name.alias("entity")).distinct()
 
 
-def section_names(nodes: DataFrame, key: str = "page_id", hops: int = 8) -> DataFrame:
-    """Per node the section it is in: the first telling class of it or of one of its ``hops`` - 1 nearest ancestors, else main."""
-    telling = r"(?i)hero|header|footer|nav|card|contact|feature|pricing|cta|testimonial|section"
-    own = slugify(F.get(F.filter("classes", lambda c: c.rlike(telling)), F.lit(0)))
-    rows = nodes.select(key, "node_id", "parent_id", own.alias("own"))
-    above = rows.select(F.col(key).alias("_k"), F.col("node_id").alias("_n"), F.col("parent_id").alias("_p"), F.col("own").alias("_o"))
-    out = rows.select(key, "node_id", F.col("parent_id").alias("at"), F.col("own").alias("section"))
-    done = out.where("section IS NOT NULL OR at IS NULL").select(key, "node_id", "section")
-    open_ = out.where("section IS NULL AND at IS NOT NULL")
-    for _ in range(hops - 1):
-        met = open_.join(above, (F.col(key) == F.col("_k")) & (F.col("at") == F.col("_n")), "left").select(key, "node_id", F.col("_p").alias("at"), F.col("_o").alias("section"))
-        done = done.unionByName(met.where("section IS NOT NULL OR at IS NULL").select(key, "node_id", "section"))
-        open_ = met.where("section IS NULL AND at IS NOT NULL")
-    done = done.unionByName(open_.select(key, "node_id", "section"))
-    return done.select(key, "node_id", F.coalesce("section", F.lit("main")).alias("section"))
+#: Classes that name a section, how far up they are looked for, and characters of a block of text.
+_TELLING = r"(?i)hero|header|footer|nav|card|contact|feature|pricing|cta|testimonial|section"
+SECTION_HOPS, LEAST_BLOCK, MOST_BLOCK = 8, 120, 20_000
+_MARKDOWN = r"(?:^|\n)#{1,6}\s|(?:^|\n)[-*]\s|\[[^\]]+\]\([^)]+\)|(?:^|\n)>\s"
+
+
+def section_names(nodes: DataFrame, key: str = "page_id", hops: int = SECTION_HOPS) -> DataFrame:
+    """Per node the section it is in: the first telling class of it or of one of its ``hops`` - 1 nearest ancestors, else main.
+
+    Nodes know the ids of their ancestors, so those of a page meet once, in one row
+    (a page has a bounded number of nodes), and each looks its nearest ones up.
+    """
+    telling = F.get(F.filter("classes", lambda c: c.rlike(_TELLING)), F.lit(0))
+    own = F.when(telling.isNotNull(), F.coalesce(F.nullif(slugify(telling), F.lit("")), F.lit("section")))
+    near = F.reverse(F.slice("path", -F.least(F.size("path"), F.lit(hops - 1)) if hops > 1 else F.lit(1), F.least(F.size("path"), F.lit(hops - 1))))
+    rows = nodes.select(key, F.struct("node_id", own.alias("own"), F.when(F.size("path") > 0, near).otherwise(F.array().cast("array<int>")).alias("near")).alias("x"))
+    by_page = rows.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("all"))
+    above = lambda x: F.get(F.filter(F.transform(x["near"], lambda i: F.get("all", i)["own"]), lambda o: o.isNotNull()), F.lit(0))
+    named = F.transform("all", lambda x: F.struct(x["node_id"].alias("node_id"), F.coalesce(x["own"], above(x), F.lit("main")).alias("section")))
+    return by_page.select(key, F.explode(named).alias("n")).select(key, "n.*")
+
+
+def text_blocks(nodes: DataFrame, pages: DataFrame, key: str = "page_id", path: str = "path") -> DataFrame:
+    """Long texts of paragraphs, code and quotations with their section: (key, node_id, id, type, section, content).
+
+    A block has LEAST_BLOCK characters or more and is cut at MOST_BLOCK; ``nodes``
+    must hold as much of a text.
+    """
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    long = nodes.where(F.col("tag").isin("p", "pre", "code", "blockquote")).select(key, "node_id", text.alias("content")).where(F.length("content") >= LEAST_BLOCK)
+    cut = long.withColumn("content", F.substring("content", 1, MOST_BLOCK)).join(section_names(nodes, key), [key, "node_id"])
+    name = F.when(F.col(path) == "/", "home").otherwise(F.coalesce(F.nullif(slugify(F.col(path)), F.lit("")), F.lit("page")))
+    both = cut.join(pages.select(key, name.alias("_page")), key)
+    ident = F.concat_ws("_", F.lit("block"), "_page", "section", F.col("node_id").cast("string"))
+    return both.select(key, "node_id", ident.alias("id"), F.when(F.col("content").rlike(_MARKDOWN), "markdown").otherwise("html").alias("type"), "section", "content")

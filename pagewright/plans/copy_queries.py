@@ -111,12 +111,33 @@ def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "number", "region", "label", F.array_join(F.transform("items", _ITEM), ",").alias("items"))
 
 
-@register("node_sections", "SELECT page_id, 4 AS n_hero, 1 AS n_main FROM pages")
+#: Articles of two pages in three bear a telling class.  A bold tag of these pages is never closed, so what follows it is two levels deeper.
+_SECTIONED = r"""WITH s AS (SELECT page_id, k, unnest(regexp_extract_all(seg, '<p>([^<]*)</p>', 1)) AS t FROM (SELECT page_id, unnest(parts) AS seg, generate_subscripts(parts, 1) - 1 AS k FROM (SELECT page_id, string_split(html, '<b>') AS parts FROM pages))),
+c AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS content, CASE WHEN page_id % 3 > 0 AND 2 * k + 2 <= 8 THEN 'feature-' || (page_id % 5) ELSE 'main' END AS section FROM s)"""
+
+
+def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    marked = F.concat(F.lit('<article class="x Feature-'), (k % 5).cast("string"), F.lit('">'))
+    return table(spark, sf_dir, "pages").withColumn("html", F.when(k % 3 > 0, F.replace("html", F.lit("<article>"), marked)).otherwise(F.col("html")))
+
+
+@register("page_blocks", f"{_SECTIONED} SELECT page_id, section, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS n_chars, md5(string_agg(content, '|' ORDER BY content)) AS digest FROM c WHERE length(content) >= {M.LEAST_BLOCK} GROUP BY page_id, section")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts of every page by the section that their nearest telling ancestor names."""
+    pages = _sectioned(spark, sf_dir)
+    nodes = dom.nodes(pages, text_chars=M.MOST_BLOCK)
+    found = M.text_blocks(nodes, pages.select("page_id", F.regexp_extract("url", "//[^/]*(/[^?#]*)", 1).alias("path")))
+    return found.groupBy("page_id", "section").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("n_chars"), F.md5(F.array_join(F.array_sort(F.collect_list("content")), "|")).alias("digest"))
+
+
+@register("node_sections", f"{_SECTIONED} SELECT page_id, section, count(*) AS n FROM c GROUP BY page_id, section")
 def node_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of a small tree: nodes below a telling class, and one that is not."""
-    html = F.lit('<div class="x Hero-top"><p><b>a</b></p><i>c</i></div><p>d</p>')
-    rows = M.section_names(dom.nodes(table(spark, sf_dir, "pages").select("page_id", html.alias("html"))))
-    return rows.groupBy("page_id").agg(F.count_if(F.col("section") == "hero-top").alias("n_hero"), F.count_if(F.col("section") == "main").alias("n_main"))
+    """Closed paragraphs of every page by their section."""
+    pages = _sectioned(spark, sf_dir)
+    nodes = dom.nodes(pages)
+    closed = nodes.where("tag = 'p'").join(nodes.where("tag = 'b'").select("page_id", F.col("parent_id").alias("node_id")), ["page_id", "node_id"], "left_anti")
+    return M.section_names(nodes).join(closed.select("page_id", "node_id"), ["page_id", "node_id"]).groupBy("page_id", "section").agg(F.count("*").alias("n"))
 
 
 @register("png_round_trip", "SELECT vec_id, 8 AS width, 8 AS height, true AS same FROM embeddings")

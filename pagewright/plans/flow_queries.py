@@ -12,6 +12,7 @@ from pagewright.plans.registry import register
 from pagewright.plans.session import scratch_path, table
 from pagewright.sources import files as S
 from pagewright.streaming import events as E
+from pagewright.streaming.once import OnceSink
 
 
 @register(
@@ -41,15 +42,12 @@ def scan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, mode: str, name: str) -> DataFrame:
-    """What a stream has written when it has read all there is."""
-    path = scratch_path(spark, name)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{path}/out")
-
-    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    writer.foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(StructType([*rows.schema.fields, StructField("_batch", IntegerType())])).parquet(f"{path}/out")
+    """What a stream has written when it has read all there is, each batch once."""
+    sink = OnceSink(spark, scratch_path(spark, name))
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True)
+    writer.foreachBatch(sink.writer()).start().awaitTermination()
+    found = sink.read()
+    return spark.createDataFrame([], StructType([*rows.schema.fields, StructField("batch", IntegerType())])) if found is None else found
 
 
 @register("scan_states_streaming", _FOLD)
@@ -57,7 +55,7 @@ def scan_states_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful fold over a stream of event files; the last state of each key."""
     source = spark.readStream.schema(E.EVENT).parquet(f"{sf_dir}/events.parquet*")
     out = _streamed(spark, E.fold_scans(source), "update", "fold")
-    return out.groupBy("user_id").agg(F.max_by(F.struct("scanned", "failed", "last_event", "status"), "_batch").alias("s")).select("user_id", "s.*")
+    return out.groupBy("user_id").agg(F.max_by(F.struct("scanned", "failed", "last_event", "status"), "batch").alias("s")).select("user_id", "s.*")
 
 
 @register("hourly_windows", "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

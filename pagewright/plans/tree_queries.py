@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import components as C
 from pagewright.operators import dom
+from pagewright.operators import forest as W
+from pagewright.operators.site import parents_by_depth
 from pagewright.plans.registry import register
 from pagewright.plans.session import table
 
@@ -93,3 +95,70 @@ def part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = nodes.select("page_id").distinct().select("page_id", (F.col("page_id") % 4).cast("long").alias("site"), F.concat(F.lit("/"), F.col("page_id").cast("string")).alias("path"))
     made = C.normalize(nodes, pages).components
     return made.select("site", "number", "id", "name", F.col("confidence").cast("double").alias("confidence"), "n_seen", F.array_join("children", ",").alias("children"))
+
+
+#: Parts as files of ten projects; some paths are a file and a folder as well.
+_PART_PATHS = """WITH f AS (SELECT p_size % 10 AS project, string_split(CASE WHEN p_size % 7 = 0 THEN p_brand ELSE p_brand || '/' || p_type || '/' || p_name END, '/') AS s FROM part),
+e AS (SELECT project, s, unnest(range(1, len(s) + 1)) AS i FROM f),
+n AS (SELECT project, s[1:i] AS g, bool_or(i = len(s)) AS is_file FROM e GROUP BY 1, 2),
+k AS (SELECT n.project, n.g, n.is_file, n.g[len(n.g)] AS name, len(n.g) - 1 AS depth, count(c.g) AS n_children FROM n LEFT JOIN n c ON c.project = n.project AND c.g[1:len(c.g) - 1] = n.g AND len(c.g) = len(n.g) + 1 GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY g) - 1 AS pre FROM k),
+b AS (SELECT o.*, (SELECT count(*) FROM n d WHERE d.project = o.project AND len(d.g) > len(o.g) AND d.g[1:len(o.g)] = o.g) AS n_below FROM o)"""
+
+
+def _part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.concat_ws("/", "p_brand", "p_type", "p_name")
+    rows = table(spark, sf_dir, "part").select((F.col("p_size") % 10).cast("long").alias("project"), F.when(F.col("p_size") % 7 == 0, F.col("p_brand")).otherwise(whole).alias("path"))
+    return W.path_nodes(rows, "project", "path")
+
+
+@register("part_tree_text", f"{_PART_PATHS} SELECT project, string_agg(repeat('  ', depth) || name || CASE WHEN n_children > 0 AND NOT is_file THEN '/' ELSE '' END, chr(10) ORDER BY g) AS text FROM k GROUP BY project")
+def part_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each project as an indented tree."""
+    return W.tree_text(_part_paths(spark, sf_dir), "project")
+
+
+@register("part_tree_places", f"{_PART_PATHS} SELECT project, array_to_string(g, '/') AS path, depth, n_below, pre, pre + n_below - depth AS post FROM b")
+def part_tree_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each file and folder stands in its tree, before and after what lies below it."""
+    placed = W.numbered_nodes(_part_paths(spark, sf_dir), "project")
+    return placed.select("project", F.array_join("segments", "/").alias("path"), F.col("depth").cast("long").alias("depth"), "n_below", F.col("pre").cast("long").alias("pre"), F.col("post").cast("long").alias("post"))
+
+
+def _fold_sql(levels: int) -> str:
+    """Nested JSON of ``levels`` levels, from the deepest."""
+    parts = []
+    for d in range(levels - 1, -1, -1):
+        own = """'{"name":"' || name || '"'"""
+        kids = f"LEFT JOIN j{d + 1} x ON x.project = o.project AND x.up = o.g" if d < levels - 1 else ""
+        listed = """CASE WHEN x.l IS NULL THEN '' ELSE ',"children":[' || x.l || ']' END""" if d < levels - 1 else "''"
+        parts.append(f"j{d} AS (SELECT o.project, o.g[1:len(o.g) - 1] AS up, string_agg({own} || {listed} || '}}', ',' ORDER BY pre) AS l FROM o {kids} WHERE depth = {d} GROUP BY 1, 2)")
+    return ", ".join(parts)
+
+
+@register("part_tree_json", f"{_PART_PATHS}, {_fold_sql(3)} SELECT project, '[' || l || ']' AS tree FROM j0")
+def part_tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trees as nested values, folded from the leaves up."""
+    placed = W.numbered_nodes(_part_paths(spark, sf_dir), "project")
+    up = F.when(F.col("depth") > 0, F.array_join(F.slice("segments", F.lit(1), F.size("segments") - 1), "/"))
+    rows = placed.withColumns({"path": F.array_join("segments", "/"), "up": up})
+    return W.nested(rows, ["project"], "path", "up", "pre", "depth", F.struct("name"), 4)
+
+
+_MENU = """WITH t AS (SELECT conv_id, turn, CAST(length(coalesce(text, '')) % 3 AS INTEGER) AS depth, coalesce(role, '') AS role FROM conversations),
+u AS (SELECT *, CASE WHEN depth = 1 THEN max(CASE WHEN depth = 0 THEN turn END) OVER w WHEN depth = 2 THEN greatest(max(CASE WHEN depth = 0 THEN turn END) OVER w, max(CASE WHEN depth = 1 THEN turn END) OVER w) END AS up
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j2 AS (SELECT conv_id, turn, up, '{"role":"' || role || '"}' AS j FROM u WHERE depth = 2),
+j1 AS (SELECT u.conv_id, u.turn, u.up, '{"role":"' || role || '"' || coalesce(',"children":[' || k.l || ']', '') || '}' AS j FROM u LEFT JOIN (SELECT conv_id, up, string_agg(j, ',' ORDER BY turn) AS l FROM j2 GROUP BY 1, 2) k ON k.conv_id = u.conv_id AND k.up = u.turn WHERE depth = 1),
+m AS (SELECT * FROM j1 UNION ALL SELECT * FROM j2),
+j0 AS (SELECT u.conv_id, u.turn, NULL AS up, '{"role":"' || role || '"' || coalesce(',"children":[' || k.l || ']', '') || '}' AS j FROM u LEFT JOIN (SELECT conv_id, up, string_agg(j, ',' ORDER BY turn) AS l FROM m WHERE up IS NOT NULL GROUP BY 1, 2) k ON k.conv_id = u.conv_id AND k.up = u.turn WHERE depth = 0),
+tops AS (SELECT conv_id, turn, j FROM j0 UNION ALL SELECT conv_id, turn, j FROM m WHERE up IS NULL)
+SELECT conv_id, '[' || string_agg(j, ',' ORDER BY turn) || ']' AS tree FROM tops GROUP BY conv_id"""
+
+
+@register("conversation_menus", _MENU)
+def conversation_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as items of menus whose depth follows from their texts: an item lies below the last one before it of smaller depth."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) % 3).cast("int").alias("depth"), F.coalesce("role", F.lit("")).alias("role"))
+    rows = parents_by_depth(turns, ["conv_id"], "turn", "depth", 3)
+    return W.nested(rows, ["conv_id"], "turn", "parent_seq", "turn", "depth", F.struct("role"), 3)
