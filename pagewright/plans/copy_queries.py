@@ -65,7 +65,12 @@ def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.templates(dom.nodes(table(spark, sf_dir, "pages"))).select("page_id", "template")
 
 
-@register("site_layouts")
+@register(
+    "site_layouts",
+    r"""WITH l AS (SELECT regexp_extract(url, '//([^/:?#]*)', 1) AS host, concat_ws('_', 'layout', CASE WHEN regexp_matches(html, '<header[\s>]') THEN 'header' END, CASE WHEN regexp_matches(html, '<aside[\s>]') THEN 'sidebar' END, CASE WHEN regexp_matches(html, '<footer[\s>]') THEN 'footer' END) AS l FROM pages),
+n AS (SELECT host, CASE WHEN l = 'layout' THEN 'layout_plain' ELSE l END AS layout_id, count(*) AS n FROM l GROUP BY 1, 2)
+SELECT host, layout_id, n FROM n QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC, layout_id) = 1""",
+)
 def site_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout that most pages of a host have."""
     pages = table(spark, sf_dir, "pages").select("page_id", U.url_parts(F.col("url"))["host"].alias("host"))

@@ -12,6 +12,7 @@ from pagewright.plans.registry import register
 from pagewright.plans.session import scratch_path, table
 from pagewright.sources import files as S
 from pagewright.streaming import events as E
+from pagewright.streaming import runs as R
 from pagewright.streaming.once import OnceSink
 
 
@@ -256,3 +257,32 @@ def component_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = ("UNUSED_IMPORT", "MISSING_COMPONENT_DECLARATION", "EXCESSIVE_NESTING", "UNBALANCED_DELIMITERS")
     problems = F.filter(E.code_violations(F.col("code"), F.lit("Card")), lambda x: x.isin(*named))
     return rows.select("p_partkey", F.array_join(problems, ",").alias("problems"), E.tidy_code(F.col("code")).alias("tidy"))
+
+
+_PROFILES = ("view", "purchase", "signup", "print")
+_RUN_MS = 10 * 86_400_000
+_RUNS = f"""WITH e AS (SELECT user_id AS page, event_type AS profile, epoch_ms(ts) AS ms FROM events), r AS (SELECT page, ms - ms % {_RUN_MS} AS start_ms, list(DISTINCT profile) AS seen FROM e GROUP BY 1, 2), m AS (SELECT max(ms) - 600000 AS mark FROM e)
+SELECT page, start_ms, p AS profile, CASE WHEN list_contains(seen, p) THEN 'captured' ELSE 'skipped' END AS status FROM r, m, unnest({list(_PROFILES)}) t(p) WHERE list_contains(seen, p) OR start_ms + {_RUN_MS} <= mark"""
+
+
+def _captures(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("page"), F.col("event_type").alias("profile"), "ts")
+
+
+@register("profile_runs", _RUNS)
+def profile_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as pages and events as captures of their profiles: which of four have come in each ten days."""
+    return R.batch_runs(_captures(table(spark, sf_dir, "events")), _PROFILES, _RUN_MS)
+
+
+@register("profile_runs_streaming", _RUNS)
+def profile_runs_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream with list state and timers."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, R.PROVIDER)
+    try:
+        source = _captures(spark.readStream.schema(E.EVENT).parquet(f"{sf_dir}/events.parquet*"))
+        return _streamed(spark, R.streamed_runs(source, _PROFILES, _RUN_MS), "append", "runs").select("page", "start_ms", "profile", "status")
+    finally:
+        spark.conf.set(setting, before)

@@ -62,13 +62,13 @@ def site_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "request_outcomes",
-    """WITH m AS (SELECT event_id // 2 AS k, ts, event_id % 2 AS reply FROM events WHERE event_id % 10 <> 3), s AS (SELECT k, min(ts) FILTER (WHERE reply = 0) AS asked, min(ts) FILTER (WHERE reply = 1) AS replied FROM m GROUP BY 1), n AS (SELECT max(ts) AS now FROM m)
+    """WITH s AS (SELECT event_id // 2 AS k, min(ts) FILTER (WHERE event_id % 2 = 0) AS asked, min(ts) FILTER (WHERE event_id % 2 = 1 AND value >= 20) AS replied FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events)
 SELECT k::VARCHAR AS id, CASE WHEN asked IS NULL THEN 'unasked' WHEN replied <= asked + INTERVAL 5 MINUTE THEN 'answered' WHEN replied IS NOT NULL OR now > asked + INTERVAL 5 MINUTE THEN 'timed_out' ELSE 'pending' END AS outcome FROM s, n""",
 )
 def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in pairs as requests and replies; every fifth reply is lost.  event_outcomes has the whole table."""
-    rows = table(spark, sf_dir, "events").where("event_id % 10 <> 3")
-    made = rows.select(F.floor(F.col("event_id") / 2).cast("string").alias("id"), "ts", F.when(F.col("event_id") % 2 == 0, "ask").otherwise("reply").alias("kind"))
+    """All events in pairs as requests and replies; a reply of low value is lost."""
+    kind = F.when(F.col("event_id") % 2 == 0, "ask").when(F.col("value") < 20, "lost").otherwise("reply")
+    made = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 2).cast("string").alias("id"), "ts", kind.alias("kind"))
     return Q.outcomes(made).select("id", "outcome")
 
 
