@@ -1,10 +1,10 @@
 """Technology detection: evidence against weighted signals, confidence and version per rule.
 
-Evidence is exploded to rows, one per item of a vector.  Signals are a bounded
-relation: each becomes an expression over the items of its vector, whose pattern
-is compiled once, and only hits are exploded further.  A relation beyond that
-bound meets the evidence by a join on the vector.  Two aggregations follow: the
-first item per page and signal, then the first page per signal, then the rule.
+Signals are a bounded relation: each becomes an expression over the items of its
+vector, whose pattern is compiled once.  Over pages it looks inside the arrays of
+items and only first hits become rows; evidence that is rows already is tried row by
+row.  A relation beyond that bound meets the evidence by a join on the vector.
+Aggregations follow: the first page per signal, then the rule.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from pagewright.functions import html as H
 from pagewright.functions.columns import record
+from pagewright.plans.session import cut_lineage
 
 #: Fixed values.
 DETECTED, PROBABLE = 0.75, 0.5
@@ -24,29 +25,32 @@ LITERAL_SIGNALS, BROADCAST_SIGNALS = 1_000, 50_000
 VERSION = r"^\d+(?:\.\d+){0,3}(?:[-+][0-9A-Za-z.-]+)?$"
 
 
-def evidence(pages: DataFrame) -> DataFrame:
-    """Rows (scan_id, page_seq, page_url, vector, pos, value) from pages with html and optional observed columns.
-
-    ``headers`` and ``js_globals`` are maps, ``cookies`` and ``markers`` arrays;
-    where the table has none of them these vectors are empty.
-    """
-    have = set(pages.columns)
+def _vectors(columns: list[str]) -> dict[str, Column]:
+    """The items of each vector of a page with html, as arrays of strings."""
     none = F.array().cast("array<string>")
     snip = H.snippet(F.col("html"))
     joined = lambda m, sep: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(sep), e["value"]))
-    vectors = {
+    return {
         "meta": joined(H.meta_tags(F.col("html")), "="),
         "scriptSrc": H.script_sources(F.col("html")),
         "htmlRegex": F.filter(F.array(snip), lambda s: s != ""),
         "cssClasses": H.css_classes(snip),
         "networkRequests": H.network_urls(snip),
-        "headers": joined(F.col("headers"), ":") if "headers" in have else none,
-        "jsGlobals": F.map_keys(F.map_filter("js_globals", lambda _, v: v)) if "js_globals" in have else none,
-        "cookies": F.col("cookies") if "cookies" in have else none,
-        "domElements": F.col("markers") if "markers" in have else none,
+        "headers": joined(F.col("headers"), ":") if "headers" in columns else none,
+        "jsGlobals": F.map_keys(F.map_filter("js_globals", lambda _, v: v)) if "js_globals" in columns else none,
+        "cookies": F.col("cookies") if "cookies" in columns else none,
+        "domElements": F.col("markers") if "markers" in columns else none,
     }
+
+
+def evidence(pages: DataFrame) -> DataFrame:
+    """Rows (scan_id, page_seq, page_url, vector, pos, value) from pages with html and optional observed columns.
+
+    ``headers`` and ``js_globals`` are maps, ``cookies`` and ``markers`` arrays;
+    where the table has none of them these vectors are empty.
+    """
     item = lambda name: lambda x, i: record(vector=F.lit(name), pos=i, value=x)
-    items = F.flatten(F.array(*[F.transform(v, item(name)) for name, v in vectors.items()]))
+    items = F.flatten(F.array(*[F.transform(v, item(name)) for name, v in _vectors(pages.columns).items()]))
     rows = pages.select("scan_id", "page_seq", "page_url", items.alias("items"))
     return rows.select("scan_id", "page_seq", "page_url", F.explode("items").alias("i")).select("scan_id", "page_seq", "page_url", "i.*")
 
@@ -91,7 +95,7 @@ def hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
     if count > LITERAL_SIGNALS:
         signals = F.broadcast(rules) if count <= BROADCAST_SIGNALS else rules
         return rows.join(signals, "vector").where(matches(F.col("mode"), F.col("pattern"), F.col("value")))
-    known = [x.asDict() for x in rules.collect()]
+    known, numbered = _numbered(rules)
     by_vector: dict[str, list[Column]] = {}
     for number, signal in enumerate(known):
         test = matches(F.lit(signal["mode"]), F.lit(signal["pattern"]), F.col("value"))
@@ -99,19 +103,52 @@ def hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
     found = F.array().cast("array<int>")
     for vector, tests in by_vector.items():
         found = F.when(F.col("vector") == vector, F.array_compact(F.array(*tests))).otherwise(found)
-    numbered = rules.sparkSession.createDataFrame([(i, *x.values()) for i, x in enumerate(known)], T.StructType([T.StructField("_signal", T.IntegerType()), *rules.schema.fields]))
     return rows.select("*", F.explode(found).alias("_signal")).join(F.broadcast(numbered.drop("vector")), "_signal").drop("_signal")
 
 
+def _numbered(rules: DataFrame) -> tuple[list[dict], DataFrame]:
+    """The signals, and their table with their numbers."""
+    known = [x.asDict() for x in rules.collect()]
+    kind = T.StructType([T.StructField("_signal", T.IntegerType()), *rules.schema.fields])
+    return known, rules.sparkSession.createDataFrame([(i, *x.values()) for i, x in enumerate(known)], kind)
+
+
+def page_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """The first item of each page that matches a signal, with the columns of the signal; vectors that no signal asks for are not read."""
+    known, numbered = _numbered(rules)
+    vectors = {name: v for name, v in _vectors(pages.columns).items() if any(s["vector"] == name for s in known)}
+    rows = pages.select("scan_id", "page_seq", "page_url", *[v.alias(f"_{name}") for name, v in vectors.items()])
+
+    def first(number: int, signal: dict) -> Column:
+        test = lambda x: matches(F.lit(signal["mode"]), F.lit(signal["pattern"]), x)
+        value = F.get(F.filter(f"_{signal['vector']}", test), F.lit(0))
+        return F.when(value.isNotNull(), record(_signal=F.lit(number), value=value))
+
+    found = F.array_compact(F.array(*[first(i, s) for i, s in enumerate(known) if s["vector"] in vectors]))
+    hit = rows.select("scan_id", "page_seq", "page_url", F.explode(found).alias("h")).select("scan_id", "page_seq", "page_url", "h.*")
+    return hit.join(F.broadcast(numbered), "_signal").drop("_signal")
+
+
+def detect_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """What ``detect`` gives for the evidence of ``pages``; with few signals items of evidence never become rows."""
+    if not 0 < rules.count() <= LITERAL_SIGNALS:
+        return detect(evidence(pages), rules)
+    return _reported(cut_lineage(page_hits(pages, rules)))  # hits are few, and two aggregations need them
+
+
 def detect(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per scan and rule that is reported.
 
     Of a signal the first page, and on it the first item, gives evidence and
     version.  A rule keeps its first 20 signals and 100 pages in order.
     """
-    key = ["scan_id", "rule_id", "signal_seq"]
     hit = hits(rows, rules)
-    first = hit.groupBy("scan_id", "rule_id", "name", "category", "signal_seq", "vector", "weight", "version_regex", "version_kind", "page_seq", "page_url").agg(F.min_by("value", "pos").alias("value"))
+    return _reported(hit.groupBy("scan_id", "rule_id", "name", "category", "signal_seq", "vector", "weight", "version_regex", "version_kind", "page_seq", "page_url").agg(F.min_by("value", "pos").alias("value")))
+
+
+def _reported(first: DataFrame) -> DataFrame:
+    """The report from the first hit of each page and signal."""
+    key = ["scan_id", "rule_id", "signal_seq"]
     own = F.struct("page_seq", "value")
     signal = first.groupBy(*key, "name", "category", "vector", "weight", "version_regex", "version_kind").agg(F.min(own).alias("f"))
     versioned = signal.select("*", extract_version(F.col("f.value"), F.col("version_regex")).alias("version"), truncated(F.col("f.value")).alias("evidence"))

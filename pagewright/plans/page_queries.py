@@ -110,7 +110,7 @@ string_agg(vector, ',' ORDER BY f, seq) AS vectors, least(any_value(n_pages), 10
 def detect_technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection per host with a rule set for this corpus."""
     rules = spark.createDataFrame(rule_rows(CORPUS_RULES), SCHEMA)
-    found = D.detect(D.evidence(scan_pages(spark, sf_dir)), rules)
+    found = D.detect_pages(scan_pages(spark, sf_dir), rules)
     return found.select("scan_id", "technology_id", "confidence", "confidence_status", F.array_join("vectors", ",").alias("vectors"), "n_pages", "first_page")
 
 
@@ -126,7 +126,7 @@ def detect_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
             "markers": F.when(e % 7 == 0, F.array(F.lit("#__next"))).otherwise(F.array().cast("array<string>")),
         }
     )
-    found = D.detect(D.evidence(seen), builtin(spark))
+    found = D.detect_pages(seen, builtin(spark))
     return found.withColumn("vectors", F.array_join("vectors", ","))
 
 

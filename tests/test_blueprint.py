@@ -62,6 +62,8 @@ def test_signals_as_expressions_and_as_a_relation(spark, monkeypatch):
     for most in (detect.LITERAL_SIGNALS, 0):
         monkeypatch.setattr(detect, "LITERAL_SIGNALS", most)
         found.append(sorted(map(repr, detect.detect(detect.evidence(pages), builtin(spark)).collect())))
+    monkeypatch.undo()
+    assert sorted(map(repr, detect.detect_pages(pages, builtin(spark)).collect())) == found[0]
     assert found[0] == found[1] and {"WordPress", "PHP", "jQuery", "Next.js", "Cloudflare"} <= {n for n in ("WordPress", "PHP", "jQuery", "Next.js", "Cloudflare", "Ghost") if any(f"name='{n}'" in r for r in found[0])}
     assert detect.detect(detect.evidence(pages), spark.createDataFrame(rule_rows(()), SCHEMA)).count() == 0
 
