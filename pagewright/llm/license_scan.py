@@ -192,6 +192,8 @@ RULES = (
     *_cc_rules(),
 )
 
+#: Letters of a cue, at least, where a sentence has such a word.
+CUE_CHARS = 7
 #: The identifier of a reservation of rights, which a full licence text right after it takes back.
 RESERVED = "e1"
 #: The mark that no sentence goes across; a line end is the mark that it may go across.
@@ -222,8 +224,36 @@ def _pattern(sentence: str) -> str:
     return out.removesuffix(r"[ \n]")
 
 
+def cues(known: tuple) -> list[str]:
+    """A few words of which every known sentence has one, long ones, so that most texts without a licence have none."""
+    left, found = [{w for w in s.split() if w != "*"} for s, _ in known], []
+    while left:
+        counts: dict[str, int] = {}
+        for words in left:
+            longest = max(map(len, words))
+            for w in words:
+                if len(w) >= min(CUE_CHARS, longest):
+                    counts[w] = counts.get(w, 0) + 1
+        best = min(counts, key=lambda w: (-counts[w], -len(w), w))
+        found.append(best)
+        left = [words for words in left if best not in words]
+    return found
+
+
 def identifiers(text: Column, known: tuple = SENTENCES) -> Column:
-    """Identifiers of the known sentences of ``text``, in order; where two begin at one place, the longer is meant."""
+    """Identifiers of the known sentences of ``text``, in order; where two begin at one place, the longer is meant.
+
+    A text is searched only if it holds a cue: marking parts words but makes none,
+    so a sentence's words are in the text as they are.
+    """
+    if not known:
+        return F.array().cast("array<string>")
+    whole = F.lower(F.coalesce(text, F.lit("")))
+    hint = reduce(lambda a, b: a | b, [F.contains(whole, F.lit(c)) for c in cues(known)])
+    return F.when(hint, _identifiers(text, known)).otherwise(F.array().cast("array<string>"))
+
+
+def _identifiers(text: Column, known: tuple) -> Column:
     longest = sorted(known, key=lambda x: (-len(x[0].split()), x[0]))
     first = [s for s, _ in longest if not s.startswith("* ")]
     star = [_pattern(s.removeprefix("* ")) for s, _ in longest if s.startswith("* ")]

@@ -557,6 +557,17 @@ def test_license_texts_wrapped_and_commented(spark):
     assert {(r["name"], r["shape"]): ([(m["license"], m["form"], m["times"]) for m in r["matches"]], r["permissive"]) for r in got} == want
 
 
+def test_license_cues_are_in_every_sentence(spark):
+    """Looking for cues first changes nothing: every sentence has one, and texts give what they give when all are searched."""
+    found = license_scan.cues(license_scan.SENTENCES)
+    assert len(found) < 20 and all(any(c in s.split() for c in found) for s, _ in license_scan.SENTENCES)
+    assert license_scan.cues((("a bb * ccc", "x"), ("dd", "y"))) == ["ccc", "dd"] and license_scan.cues(()) == []
+    texts = [f"Intro.\n{s.replace(' * ', ' x y ').replace('* ', 'z ').upper().replace(' ', sep)}.\nEnd." for s, _ in license_scan.SENTENCES for sep in (" ", "\n// ", "-")] + ["", None, "nothing to see", "license"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = rows.select("k", license_scan.identifiers(F.col("t")).alias("a"), license_scan._identifiers(F.col("t"), license_scan.SENTENCES).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and sum(bool(r["a"]) for r in got) > len(license_scan.SENTENCES)
+
+
 def test_license_sentences_keep_their_bounds_and_tables(spark):
     texts = ["See the code. Released\nunder the MIT\nLicense", "released.\nunder the MIT License", "Released\n\nunder the MIT License", "not released under the MIT License", "// SPDX-License-Identifier: MIT", "Copyright A\nAll rights reserved.", "You may\ndo what you like; really."]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
