@@ -17,7 +17,7 @@ from pagewright.llm import registry
 sys.path.insert(0, str(Path(__file__).parent))
 from test_llm_operators import DOCS, plain_contamination, plain_features, plain_keep_one, plain_spans  # noqa: E402
 
-TABLES = ("documents", "pages", "benchmark", "labels", "conversations")
+TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, sf):
