@@ -46,10 +46,10 @@ def clone_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT page_id % 20 AS scan, 'pages/p' || page_id || '.html' AS path, strlen(html) AS size FROM pages WHERE page_id % 20 <> 3""",
 )
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages packed per scan and unpacked; one scan has an unsafe path and no archive."""
+    """Pages packed per scan, in as many volumes as they need, and unpacked; one scan has an unsafe path and no archive."""
     path = F.when(F.col("page_id") % 20 == 3, F.concat(F.lit("../p"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".html")))
     rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("scan"), path.alias("path"), F.col("html").cast("binary").alias("content"))
-    packed = S.archives(rows, "scan").where("archive IS NOT NULL")
+    packed = S.archives(rows, "scan", volumes=True).where("archive IS NOT NULL")
     return S.read_archive(packed, "scan").drop("crc")
 
 

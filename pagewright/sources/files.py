@@ -61,27 +61,49 @@ def manifest(routes: DataFrame, assets: DataFrame) -> DataFrame:
     return both.select("scan_id", F.to_json(F.struct(F.size("routes").alias("route_count"), F.size("assets").alias("asset_count"), "routes", "assets")).alias("manifest"))
 
 
-def archives(files: DataFrame, key: str) -> DataFrame:
+def archives(files: DataFrame, key: str, volumes: bool = False) -> DataFrame:
     """One stored archive per key from rows (key, path, content), entries sorted, times fixed.
 
     A key whose paths are unsafe, or whose files are too many or too large, has a
-    reason instead; the sizes are checked before any content is gathered.
+    reason instead; the sizes are checked before any content is gathered.  With
+    ``volumes`` nothing is too many or too large: a key has as many archives, a row
+    each, as hold all of its files, which hashes of their paths spread over groups
+    of half a volume, so that no task holds the whole key.  A file that is larger
+    than a volume is one alone.
     """
     sums = files.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("bytes"), F.bool_and(is_safe_project_path(F.col("path"))).alias("safe"))
-    reason = F.when(~F.col("safe"), "unsafe_path").when(F.col("n") > MOST_FILES, "too_many_files").when(F.col("bytes") > MOST_BYTES, "too_large")
-    judged = sums.select(key, reason.alias("reason"))
-    good = files.join(judged.where("reason IS NULL").select(key), key, "left_semi")
+    reason = F.when(~F.col("safe"), "unsafe_path")
+    if not volumes:
+        reason = reason.when(F.col("n") > MOST_FILES, "too_many_files").when(F.col("bytes") > MOST_BYTES, "too_large")
+    over = (F.col("n") > MOST_FILES) | (F.col("bytes") > MOST_BYTES)
+    groups = F.when(over, F.greatest(F.ceil(2 * F.col("n") / MOST_FILES), F.ceil(2 * F.col("bytes") / MOST_BYTES))).otherwise(F.lit(1).cast("long"))
+    judged = sums.select(key, reason.alias("reason"), groups.alias("_groups"))
+    good = files.join(judged.where("reason IS NULL").select(key, "_groups"), key).withColumn("_group", F.pmod(F.xxhash64("path"), "_groups"))
     kind = files.schema[key].dataType.simpleString()
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for path, content in sorted(zip(rows["path"], rows["content"], strict=True)):
-                z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), content)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "archive": [out.getvalue()]})
-
-    made = good.select(key, "path", "content").groupBy(key).applyInPandas(pack, f"{key} {kind}, archive binary")
-    return judged.join(made, key, "left")
+        made: list[bytes] = []
+        held: list[tuple[str, bytes]] = []
+        size = 0
+        for path, content in sorted(zip(rows["path"], rows["content"], strict=True)):
+            if held and (len(held) == MOST_FILES or size + len(content) > MOST_BYTES):
+                made.append(_packed(held))
+                held, size = [], 0
+            held.append((path, content))
+            size += len(content)
+        made.append(_packed(held))
+        return pd.DataFrame({key: [rows[key].iloc[0]] * len(made), "archive": made})
+
+    made = good.select(key, "_group", "path", "content").groupBy(key, "_group").applyInPandas(pack, f"{key} {kind}, archive binary")
+    return judged.drop("_groups").join(made, key, "left")
+
+
+def _packed(files: list[tuple[str, bytes]]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for path, content in files:
+            z.writestr(zipfile.ZipInfo(path, (1980, 1, 1, 0, 0, 0)), content)
+    return out.getvalue()
 
 
 def read_archive(archive: DataFrame, key: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Keyed tables, crawls, routes, trees, images and streams."""
 
+import io
 import random
 import struct
+import zipfile
 import zlib
 from collections import deque
 
@@ -130,6 +132,21 @@ def test_archives(spark):
     assert [(r["path"], r["size"], r["crc"]) for r in entries] == [("b.txt", 2, zlib.crc32(b"22")), ("x/1.txt", 1, zlib.crc32(b"1"))]
 
 
+def test_archives_in_volumes_hold_all_files(spark, monkeypatch):
+    monkeypatch.setattr(files, "MOST_FILES", 5)
+    monkeypatch.setattr(files, "MOST_BYTES", 100)
+    rows = [("many", f"f/{i}.txt", b"ab") for i in range(23)] + [("large", f"{i}.bin", b"x" * 60) for i in range(4)] + [("large", "huge.bin", b"y" * 300), ("small", "a", b"1"), ("bad", "../x", b"")]
+    table = spark.createDataFrame(rows, "k string, path string, content binary").repartition(3)
+    assert {r["k"]: r["reason"] for r in files.archives(table, "k").collect()} == {"many": "too_many_files", "large": "too_large", "small": None, "bad": "unsafe_path"}
+    packed = files.archives(table, "k", volumes=True).cache()
+    assert {(r["k"], r["reason"]) for r in packed.collect()} == {("many", None), ("large", None), ("small", None), ("bad", "unsafe_path")}
+    good = packed.where("archive is not null")
+    got = [(r["k"], r["path"], r["size"], r["crc"]) for r in files.read_archive(good, "k").collect()]
+    assert sorted(got) == sorted((k, p, len(c), zlib.crc32(c)) for k, p, c in rows if k != "bad")
+    each = [(len(z.infolist()), sum(i.file_size for i in z.infolist())) for z in (zipfile.ZipFile(io.BytesIO(r["archive"])) for r in good.collect())]
+    assert all(n <= 5 and (size <= 100 or n == 1) for n, size in each)
+
+
 def test_stream_windows_and_dedupe(spark, sf):
     path = scratch_path(spark, "events-stream")
     rows = spark.read.parquet(f"{sf}/events.parquet").orderBy("event_id")
