@@ -44,8 +44,18 @@ def font_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("first_page_tokens", "SELECT l_partkey AS token, arg_min(l_extendedprice, l_orderkey * 10 + l_linenumber) AS value, count(*) AS n FROM lineitem GROUP BY 1")
 def first_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value of the first page per key, and how many pages have it."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("token")).agg(F.min_by("l_extendedprice", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("value"), F.count("*").alias("n"))
+    """The value of the first page per key, and how many pages have it; of equal pages that which the table holds first.
+
+    Page and place are one decimal, page before file before row, as Spark hashes
+    fixed-width buffers and would sort all rows for a struct's.
+    """
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_partkey").alias("token"), "l_extendedprice", at.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = lines.select(F.col("_metadata.file_path").alias("file")).distinct().withColumn("rank", F.row_number().over(Window.orderBy("file")) - 1)  # a row for each file
+    place = F.col("at").cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + (F.col("rank") * 10**12 + F.col("row"))
+    order = F.when(F.col("l_extendedprice").isNotNull(), place.cast("decimal(38,0)"))
+    return rows.join(F.broadcast(files), "file").groupBy("token").agg(F.min_by("l_extendedprice", order).alias("value"), F.count("*").alias("n"))
 
 
 @register("default_layouts", "SELECT c_nationkey, arg_min(c_mktsegment, lpad((1000000 - n)::VARCHAR, 8, '0') || c_mktsegment) AS c_mktsegment, max(n) AS n FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
