@@ -47,21 +47,22 @@ class _Tree(HTMLParser):
         self.open[-1][3].append(data)
 
 
-def page_nodes(html: str | None, text_chars: int = OWN_TEXT_CHARS) -> list[tuple]:
-    """Rows of SCHEMA for one page."""
+def page_nodes(html: str | None, text_chars: int | None = OWN_TEXT_CHARS, most_nodes: int | None = MOST_NODES, most_depth: int | None = MOST_DEPTH, ancestors: int | None = None) -> list[tuple]:
+    """Rows of SCHEMA for one page.  None is no bound; ``path`` has the nearest ``ancestors``, by default all."""
     tree = _Tree()
     tree.feed(html or "")
     out: list[tuple] = []
-    queue = deque((c, ()) for c in tree.root[2])
-    while queue and len(out) < MOST_NODES:
-        (tag, attrs, children, text), path = queue.popleft()
-        if tag in SKIPPED or len(path) > MOST_DEPTH:
+    queue = deque((c, (), 0) for c in tree.root[2])
+    while queue and (most_nodes is None or len(out) < most_nodes):
+        (tag, attrs, children, text), path, depth = queue.popleft()
+        if tag in SKIPPED or (most_depth is not None and depth > most_depth):
             continue
         number = len(out)
         classes = list(dict.fromkeys((attrs.get("class") or "").split()))[:MOST_CLASSES]
         kept = [(name, attrs[name][:ATTRIBUTE_CHARS]) for name in ATTRIBUTES if attrs.get(name)]
-        out.append((number, path[-1] if path else None, len(path), tag, attrs.get("role") or "", classes, " ".join("".join(text).split())[:text_chars], attrs.get("href"), list(path), kept))
-        queue.extend((c, (*path, number)) for c in children)
+        out.append((number, path[-1] if path else None, depth, tag, attrs.get("role") or "", classes, " ".join("".join(text).split())[:text_chars], attrs.get("href"), list(path), kept))
+        below = (*path, number)
+        queue.extend((c, below if ancestors is None else below[-ancestors:], depth + 1) for c in children)
     return out
 
 
@@ -69,8 +70,13 @@ def page_nodes(html: str | None, text_chars: int = OWN_TEXT_CHARS) -> list[tuple
 BATCH_NODES = 20_000
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", text_chars: int = OWN_TEXT_CHARS) -> DataFrame:
-    """One row per node of each page, with its page's key and ``text_chars`` characters of its own text at most."""
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", text_chars: int | None = OWN_TEXT_CHARS, most_nodes: int | None = MOST_NODES, most_depth: int | None = MOST_DEPTH, ancestors: int | None = None) -> DataFrame:
+    """One row per node of each page, with its page's key and ``text_chars`` characters of its own text at most.
+
+    None is no bound.  Whole paths of pages of any depth grow with its square, so
+    who needs all nodes names how many of the nearest ``ancestors`` a path has, 1 at
+    least.
+    """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.list_(pa.int32()), pa.map_(pa.string(), pa.string())]
 
@@ -82,7 +88,7 @@ def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", text_chars
         for batch in batches:
             owners, held = [], []
             for i, text in enumerate(batch.column("html").to_pylist()):
-                rows = page_nodes(text, text_chars)
+                rows = page_nodes(text, text_chars, most_nodes, most_depth, ancestors)
                 held += rows
                 owners += [i] * len(rows)
                 if len(held) >= BATCH_NODES:

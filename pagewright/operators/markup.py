@@ -164,8 +164,8 @@ _MARKDOWN = r"(?:^|\n)#{1,6}\s|(?:^|\n)[-*]\s|\[[^\]]+\]\([^)]+\)|(?:^|\n)>\s"
 def section_names(nodes: DataFrame, key: str = "page_id", hops: int = SECTION_HOPS) -> DataFrame:
     """Per node the section it is in: the first telling class of it or of one of its ``hops`` - 1 nearest ancestors, else main.
 
-    Nodes know the ids of their ancestors, so those of a page meet once, in one row
-    (a page has a bounded number of nodes), and each looks its nearest ones up.
+    Nodes know the ids of their nearest ancestors, so those of a page, which has been
+    one value, meet once, in one row, and each looks its nearest ones up.
     """
     telling = F.get(F.filter("classes", lambda c: c.rlike(_TELLING)), F.lit(0))
     own = F.when(telling.isNotNull(), F.coalesce(F.nullif(slugify(telling), F.lit("")), F.lit("section")))
@@ -177,15 +177,15 @@ def section_names(nodes: DataFrame, key: str = "page_id", hops: int = SECTION_HO
     return by_page.select(key, F.explode(named).alias("n")).select(key, "n.*")
 
 
-def text_blocks(nodes: DataFrame, pages: DataFrame, key: str = "page_id", path: str = "path") -> DataFrame:
+def text_blocks(nodes: DataFrame, pages: DataFrame, key: str = "page_id", path: str = "path", most: int | None = MOST_BLOCK) -> DataFrame:
     """Long texts of paragraphs, code and quotations with their section: (key, node_id, id, type, section, content).
 
-    A block has LEAST_BLOCK characters or more and is cut at MOST_BLOCK; ``nodes``
-    must hold as much of a text.
+    A block has LEAST_BLOCK characters or more and is cut at ``most`` (None: whole);
+    ``nodes`` must hold as much of a text.
     """
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     long = nodes.where(F.col("tag").isin("p", "pre", "code", "blockquote")).select(key, "node_id", text.alias("content")).where(F.length("content") >= LEAST_BLOCK)
-    cut = long.withColumn("content", F.substring("content", 1, MOST_BLOCK)).join(section_names(nodes, key), [key, "node_id"])
+    cut = (long if most is None else long.withColumn("content", F.substring("content", 1, most))).join(section_names(nodes, key), [key, "node_id"])
     name = F.when(F.col(path) == "/", "home").otherwise(F.coalesce(F.nullif(slugify(F.col(path)), F.lit("")), F.lit("page")))
     both = cut.join(pages.select(key, name.alias("_page")), key)
     ident = F.concat_ws("_", F.lit("block"), "_page", "section", F.col("node_id").cast("string"))

@@ -1,5 +1,7 @@
 """Queries on rows and pages that their fixed inputs lack."""
 
+import duckdb
+
 from pagewright.plans import registry
 
 
@@ -14,3 +16,18 @@ def test_first_of_equal_pages_is_that_which_the_table_holds_first(spark, tmp_pat
         old.with_name(f".{old.name}.crc").unlink(missing_ok=True)
     got = {r["token"]: (r["value"], r["n"]) for r in registry.queries()["first_page_tokens"](spark, str(tmp_path)).collect()}
     assert got == {0: (2.0, 2)} | {p: (10.0 * p, 7) for p in range(1, 40)}
+
+
+def test_sections_and_blocks_of_deep_and_long_pages(spark, tmp_path):
+    """Bold tags that are never closed go deeper than 40 levels, more than 5,000 nodes and 20,000 characters are whole."""
+    text, long = "word " * 30, "long " * 5000
+    deep = "<article>" + "".join(f"<p>{text}{i}</p><p>x<b>" for i in range(60)) + "<p>end</p>"
+    wide = "<article>" + "<p>x</p>" * 6000 + f"<p>{long}</p></article>"
+    rows = [(3, "https://a/b", deep), (6, "https://a/c", wide), (4, "https://a/d", deep), (5, "https://a/e", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("node_sections", "page_blocks"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        want = con.execute(registry.oracle_sql()[name]).fetchall()
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 4
