@@ -188,3 +188,17 @@ def test_nodes_know_their_ancestors_and_attributes(spark):
     assert rows["div"]["attrs"] == {"aria-modal": "true"} and len(rows["p"]["attrs"]["id"]) == 256
     wide = "<p class='" + " ".join(f"c{i}" for i in range(60)) + "'>"
     assert len(dom.nodes(spark.createDataFrame([(1, wide)], "page_id int, html string")).first()["classes"]) == dom.MOST_CLASSES
+
+
+def test_links_below_components_that_are_left_out(spark, monkeypatch):
+    """A nav beyond the bound holds two buttons that repeat, and these a list: both are kept components of other places."""
+    node = {"page_id": 1, "role": "", "classes": [], "attrs": {}}
+    at = lambda i, up, tag, *path: {**node, "node_id": i, "parent_id": up, "depth": len(path), "tag": tag, "path": list(path)}
+    rows = [at(0, None, "html"), at(1, 0, "button", 0), at(2, 0, "button", 0), at(3, 0, "nav", 0), at(4, 3, "button", 0, 3), at(5, 3, "button", 0, 3), at(6, 4, "li", 0, 3, 4), at(7, 4, "li", 0, 3, 4), at(8, 1, "li", 0, 1), at(9, 0, "li", 0), at(10, 0, "li", 0)]
+    names = [f.split()[0] for f in NODES.split(", ")]
+    table = spark.createDataFrame([tuple(n[c] for c in names) for n in rows], NODES)
+    pages = spark.createDataFrame([(1, "s", "/")], "page_id int, site string, path string")
+    monkeypatch.setattr(components, "MOST_COMPONENTS", 2)
+    children = lambda whole: [r["children"] for r in components.normalize(table, pages, below_lost=whole).components.orderBy("number").collect()]
+    assert children(False) == [[], []]
+    assert children(True) == [["cmp_unknown_2"], []]
