@@ -1,9 +1,10 @@
 """Documents from outside, held against a table of typed paths: what fits is kept, what does not is reported.
 
 A document becomes a VARIANT and is opened level by level: each level's containers
-are exploded into their members, which meet the rules of their paths by a broadcast
-join.  So a member of a wrong type, or one too many, is a row of a report and never
-an error, and a document may have any number of members.
+are exploded into themselves and their members, which meet the rules of their paths
+by a broadcast join.  So a member of a wrong type, or one too many, is a row of a
+report and never an error, a document may have any number of members, and it is read
+and parsed once, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -43,19 +44,24 @@ def members(documents: DataFrame, key: str, text: str, rules: DataFrame) -> Data
     deepest = rules.select(F.max(F.size(F.split(F.replace("path", F.lit("[]"), F.lit(".[]")), r"\.")))).first()[0] or 0
     if deepest > MOST_LEVELS:
         raise ValueError(f"rules are deeper than {MOST_LEVELS} levels")
-    levels = [here]
     for level in range(1, deepest + 1):
-        open_ = here.where(F.col("kind").isin("list", "object") & (F.col("kind") == F.col("wanted")))
-        inner = open_.select("key", F.col("path").alias("_up"), F.col("location").alias("_at"), F.col("kind").alias("_kind"), F.col("most").alias("_most"), "value")
-        spread = inner.lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("pos", "name", "member"))
-        listed = F.col("_kind") == "list"
-        path = F.when(listed, F.concat("_up", F.lit("[]"))).otherwise(F.concat("_up", F.when(F.col("_up") == "", "").otherwise("."), "name"))
-        location = F.when(listed, F.concat("_at", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("_at", F.when(F.col("_at") == "", "").otherwise("."), "name"))
-        fits = ~listed | F.col("_most").isNull() | (F.col("pos") < F.col("_most"))
-        placed = spread.where(fits).select("key", F.lit(level).alias("level"), path.alias("path"), F.when(listed, F.col("pos")).alias("place"), location.alias("location"), kind_of(F.col("member")).alias("kind"), F.col("member").alias("value"))
-        here = placed.join(known, F.col("path") == F.col("_path")).drop("_path")
-        levels.append(here)
-    return reduce(DataFrame.unionByName, levels)
+        # a container that was reached last gives itself and its members, any other row itself (a null position)
+        opens = (F.col("level") == level - 1) & F.col("kind").isin("list", "object") & (F.col("kind") == F.col("wanted"))
+        own = here.withColumn("_open", F.coalesce(opens, F.lit(False)))
+        spread = own.lateralJoin(documents.sparkSession.tvf.variant_explode_outer(F.when(F.col("_open"), F.col("value")).outer()).toDF("_pos", "_name", "_member"))
+        both = spread.withColumn("_self", F.explode(F.when(F.col("_open") & F.col("_pos").isNotNull(), F.when(F.col("_pos") == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).otherwise(F.array(F.lit(True)))))
+        listed = F.col("kind") == "list"
+        inner = F.when(listed, F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.when(F.col("path") == "", "").otherwise("."), "_name"))
+        within = F.when(listed, F.concat("location", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat("location", F.when(F.col("location") == "", "").otherwise("."), "_name"))
+        fits = F.col("_self") | ~listed | F.col("most").isNull() | (F.col("_pos") < F.col("most"))
+        pick = lambda name, member: F.when(F.col("_self"), F.col(name)).otherwise(member).alias(name)
+        placed = both.where(fits).select(
+            "key", pick("level", F.lit(level)), pick("path", inner), pick("place", F.when(listed, F.col("_pos"))), pick("location", within), pick("kind", kind_of(F.col("_member"))), pick("value", F.col("_member")),
+            F.when(F.col("_self"), F.col("wanted")).alias("_wanted"), F.when(F.col("_self"), F.col("most")).alias("_most"), "_self",
+        )
+        met = placed.join(known, ~F.col("_self") & (F.col("path") == F.col("_path")), "left").where(F.col("_self") | F.col("_path").isNotNull())
+        here = met.select("key", "level", "path", "place", "location", "kind", "value", F.coalesce("_wanted", "wanted").alias("wanted"), F.when(F.col("_self"), F.col("_most")).otherwise(F.col("most")).alias("most"))
+    return here
 
 
 def accepted(found: DataFrame) -> DataFrame:
@@ -73,18 +79,22 @@ def report(found: DataFrame, rules: DataFrame) -> DataFrame:
     kind; too_long: so many characters were cut off; excess: so many members of a
     list were left out; missing: a required member of an object that is there is not.
     """
-    root = found.where("level = 0 AND (kind IS NULL OR kind <> 'object')").select("key", "location", "path", F.lit("malformed").alias("problem"), F.lit(1).alias("n"))
-    inner = found.where("level > 0")
-    wrong = inner.where("kind <> wanted").select("key", "location", "path", F.lit("wrong_kind").alias("problem"), F.lit(1).alias("n"))
-    sized = inner.where("kind = wanted AND most IS NOT NULL")
-    size = F.when(F.col("kind") == "string", F.length(F.try_variant_get("value", "$", "string"))).when(F.col("kind") == "list", F.size(F.try_variant_get("value", "$", "array<variant>")))
-    over = sized.withColumn("n", size - F.col("most")).where("n > 0").select("key", "location", "path", F.when(F.col("kind") == "string", "too_long").otherwise("excess").alias("problem"), "n")
     up = F.regexp_replace("path", r"(^|\.)[^.\[\]]+$", "")
-    needed = F.broadcast(rules.where("required AND NOT endswith(path, '[]')").select(F.col("path").alias("_need"), up.alias("_of")))
-    owners = found.where("kind = 'object' AND wanted = 'object'").select("key", F.col("location").alias("_at"), F.col("path").alias("_of"))
-    wanted = owners.join(needed, "_of").select("key", F.concat("_at", F.when(F.col("_at") == "", "").otherwise("."), F.regexp_extract("_need", r"([^.\[\]]+)$", 1)).alias("location"), F.col("_need").alias("path"))
-    missing = wanted.join(inner.select("key", "location"), ["key", "location"], "left_anti").select("key", "location", "path", F.lit("missing").alias("problem"), F.lit(1).alias("n"))
-    return reduce(DataFrame.unionByName, [root, wrong, over, missing])
+    need = F.struct(F.regexp_extract("path", r"([^.\[\]]+)$", 1).alias("name"), F.col("path").alias("path"))
+    needed = F.broadcast(rules.where("required AND NOT endswith(path, '[]')").groupBy(up.alias("_of")).agg(F.collect_list(need).alias("_needs")))
+    is_root = F.col("level") == 0
+    one = lambda problem, n: F.array(F.struct(F.col("location").alias("location"), F.col("path").alias("path"), problem.alias("problem"), n.cast("int").alias("n")))
+    none = F.array().cast("array<struct<location:string,path:string,problem:string,n:int>>")
+    malformed = F.when(is_root & (F.col("kind").isNull() | (F.col("kind") != "object")), one(F.lit("malformed"), F.lit(1)))
+    wrong = F.when(~is_root & (F.col("kind") != F.col("wanted")), one(F.lit("wrong_kind"), F.lit(1)))
+    size = F.when(F.col("kind") == "string", F.length(F.try_variant_get("value", "$", "string"))).when(F.col("kind") == "list", F.size(F.try_variant_get("value", "$", "array<variant>")))
+    over = F.when(~is_root & (F.col("kind") == F.col("wanted")) & (size > F.col("most")), one(F.when(F.col("kind") == "string", "too_long").otherwise("excess"), size - F.col("most")))
+    held = F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))
+    inside = lambda x: F.concat("location", F.when(F.col("location") == "", "").otherwise("."), x["name"])
+    gone = F.transform(F.filter("_needs", lambda x: ~F.array_contains(held, x["name"])), lambda x: F.struct(inside(x).alias("location"), x["path"].alias("path"), F.lit("missing").alias("problem"), F.lit(1).alias("n")))
+    missing = F.when((F.col("kind") == "object") & (F.col("wanted") == "object"), gone)
+    rows = found.join(needed, F.col("path") == F.col("_of"), "left")
+    return rows.select("key", F.explode(F.concat(*[F.coalesce(x, none) for x in (malformed, wrong, over, missing)])).alias("x")).select("key", "x.location", "x.path", "x.problem", "x.n")
 
 
 def rule_table(spark, rules: Sequence[tuple[str, str, bool, int | None]]) -> DataFrame:

@@ -102,3 +102,11 @@ def test_order_by_locale(spark):
     plain = {r["place"]: r["w"] for r in order.placed(table.where("k = 'g'"), ["k"], ["w"], "place", collation=None).collect()}
     assert [plain[i + 1] for i in range(len(words))] == sorted(words)
     assert table.select(F.col("w")).where(order.localed("w") == "ab").count() == 1
+
+
+def test_documents_are_read_once_and_never_shuffled(spark, sf):
+    from pagewright.plans import registry
+
+    for name in ("evidence_report", "event_property_report"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "hashpartitioning(key" not in plan
