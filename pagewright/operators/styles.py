@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STRING = r'"(?:\\.|[^"\\\n])*"?' + r"|'(?:\\.|[^'\\\n])*'?"
-_TOKEN = re.compile(rf"(?P<comment>/\*.*?(?:\*/|\Z))|(?P<url>url\(\s*(?:(?:{_STRING})\s*\)|[^)\"']*\)))|(?P<string>{_STRING})|(?P<mark>[{{}};])|(?P<open>[(\[])|(?P<close>[)\]])|(?P<text>[^/\"'{{}};()\[\]uU]+|.)", re.DOTALL | re.IGNORECASE)
+_TOKEN = re.compile(rf"(?P<comment>/\*.*?(?:\*/|\Z))|(?P<url>url\(\s*(?:(?:{_STRING})\s*\)|[^)\"']*\)))|(?P<string>{_STRING})|(?P<mark>[{{}};])|(?P<open>[(\[])|(?P<close>[)\]])|(?P<text>(?:[^/\"'{{}};()\[\]uU]|[uU](?!rl\()|/(?!\*))+|.)", re.DOTALL | re.IGNORECASE)
 _NAME = re.compile(r"@(-?[\w-]+)")
 
 DECLARATIONS = "seq int, block int, depth int, rule string, selector string, media string, property string, value string, urls array<string>"

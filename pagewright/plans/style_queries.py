@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import styles as Y
 from pagewright.plans.registry import register
-from pagewright.plans.session import table
+from pagewright.plans.session import saved, table
 
 
 def part_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,9 @@ def part_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('px; --s: "a;b}c /* no */"; } @MEDIA (min-width: '), (F.col("p_size") * 10).cast("string"), F.lit("px) { @supports (display: grid) { .p"), size, F.lit(" { Background: url(img/"), k,
         F.lit('.png) ; content: "url(img/'), k, F.lit(".png)\" } } } @font-face { font-family: \""), "p_brand", F.lit('"; font-weight: '), (F.col("p_size") * 10).cast("string"), F.lit("; src: url('f/"), k, F.lit(".woff') }"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", css.alias("css"))
+    # a small file of parts makes many sheets: parts are spread before, not sheets after
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size").repartition(spark.sparkContext.defaultParallelism)
+    return parts.select("p_partkey", "p_type", css.alias("css"))
 
 
 _BRAND, _K = "lower(replace(p_brand, '#', ''))", "p_partkey"
@@ -49,9 +51,10 @@ def sheet_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sheet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Custom properties, font faces and widths of the sheets of each kind of part."""
-    sites = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("site"))
-    rows = Y.sheet_declarations(part_sheets(spark, sf_dir), "p_partkey").join(sites, "p_partkey")
-    placed = rows.withColumns({"seq": F.col("p_partkey") * 100 + F.col("seq"), "block": F.col("p_partkey") * 100 + F.col("block")})
+    sheets = part_sheets(spark, sf_dir).select(F.struct("p_partkey", F.col("p_type").alias("site")).alias("k"), "css")
+    rows = Y.sheet_declarations(sheets, "k").where("startswith(property, '--') OR rule = 'font-face' OR media <> ''")
+    numbers = {"site": F.col("k.site"), "seq": F.col("k.p_partkey") * 100 + F.col("seq"), "block": F.col("k.p_partkey") * 100 + F.col("block")}
+    placed = saved(rows.withColumns(numbers).drop("k", "urls", "selector"), "sheet-tokens")  # read three times, tokenized once
     counts = [made.groupBy("site").agg(F.count("*").alias(name)) for name, made in (("n_variables", Y.custom_properties(placed, "site")), ("n_faces", Y.font_faces(placed, "site")))]
     return counts[0].join(counts[1], "site").join(Y.media_widths(placed, "site"), "site")
 

@@ -68,3 +68,10 @@ def test_sheets_as_tables(spark):
     assert sorted(((r["k"], r["css"]) for r in out.collect())) == [(1, 'p{a:url("../y.png")}'), (2, None)]
     html = spark.createDataFrame([("<STYLE media=x>a{b:c}</style ><p><style>d{e:f}</style>",), ("none",), (None,)], "h string")
     assert [r[0] for r in html.select(styles.style_elements(F.col("h"))).collect()] == ["a{b:c}\nd{e:f}", "", None]
+
+
+def test_sheets_of_a_small_table_are_spread_and_tokenized_once(spark, sf):
+    from pagewright.plans import registry
+
+    plan = lambda name: registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan("sheet_declarations") and "MapInArrow" not in plan("sheet_tokens")
