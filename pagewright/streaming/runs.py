@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,25 +30,23 @@ class Runs(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getListState("seen", "profile string")
 
-    def _rows(self, key: tuple, profiles: list[str], status: str) -> pd.DataFrame:
-        n = len(profiles)
-        texts = {"profile": pd.Series(profiles, dtype=object), "status": pd.Series([status] * n, dtype=object)}
-        return pd.DataFrame({"page": pd.Series([key[0]] * n, dtype="int64"), "start_ms": pd.Series([key[1]] * n, dtype="int64"), **texts})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = [p[0] for p in self.seen.get()]
-        came = sorted({p for batch in rows for p in batch["profile"] if p in self.profiles} - set(known))
+        came = sorted({r["profile"] for r in rows if r["profile"] in self.profiles} - set(known))
         if not known:
             self.handle.registerTimer(key[1] + self.width_ms)
         if came or not known:
             # a run without a known profile holds an empty one, so that its timer is set once
             self.seen.appendList([(p,) for p in came] or [("",)])
-        yield self._rows(key, came, CAPTURED)
+        for p in came:
+            yield Row(page=key[0], start_ms=key[1], profile=p, status=CAPTURED)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = {p[0] for p in self.seen.get()}
         self.seen.clear()
-        yield self._rows(key, [p for p in self.profiles if p not in known], SKIPPED)
+        for p in self.profiles:
+            if p not in known:
+                yield Row(page=key[0], start_ms=key[1], profile=p, status=SKIPPED)
 
     def close(self) -> None:
         pass
@@ -66,7 +63,7 @@ def streamed_runs(captures: DataFrame, profiles: Sequence[str], width_ms: int, l
     The session must use PROVIDER as its state store.
     """
     marked = _placed(captures.withWatermark("ts", lateness), width_ms).select("page", "start_ms", "profile", "ts")
-    return marked.groupBy("page", "start_ms").transformWithStateInPandas(Runs(profiles, width_ms), OUT, "append", "EventTime")
+    return marked.groupBy("page", "start_ms").transformWithState(Runs(profiles, width_ms), OUT, "append", "EventTime")
 
 
 def batch_runs(captures: DataFrame, profiles: Sequence[str], width_ms: int, late_ms: int = 600_000) -> DataFrame:

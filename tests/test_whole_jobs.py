@@ -1,8 +1,10 @@
 """Queries on rows and pages that their fixed inputs lack."""
 
 import duckdb
+from pyspark.sql import Row
 
 from pagewright.plans import registry
+from pagewright.streaming.runs import Runs
 
 
 def test_first_of_equal_pages_is_that_which_the_table_holds_first(spark, tmp_path):
@@ -31,3 +33,15 @@ def test_sections_and_blocks_of_deep_and_long_pages(spark, tmp_path):
         got = registry.queries()[name](spark, str(tmp_path))
         want = con.execute(registry.oracle_sql()[name]).fetchall()
         assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 4
+
+
+def test_runs_give_plain_rows():
+    """Runs give rows, not a frame each."""
+
+    class State(list):
+        get, appendList, getListState, registerTimer = (lambda s: iter(s)), list.extend, (lambda s, *_: s), (lambda s, _: None)
+
+    run = Runs(["view", "print"], 1000)
+    run.init(State())
+    assert [tuple(r) for r in run.handleInputRows((1, 0), iter([Row(profile="view"), Row(profile="x"), Row(profile="view")]), None)] == [(1, 0, "view", "captured")]
+    assert [tuple(r) for r in run.handleExpiredTimer((1, 0), None, None)] == [(1, 0, "print", "skipped")]
