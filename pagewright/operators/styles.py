@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STRING = r'"(?:\\.|[^"\\\n])*"?' + r"|'(?:\\.|[^'\\\n])*'?"
@@ -15,8 +15,6 @@ _NAME = re.compile(r"@(-?[\w-]+)")
 
 DECLARATIONS = "seq int, block int, depth int, rule string, selector string, media string, property string, value string, urls array<string>"
 _COLUMNS = [("seq", pa.int32()), ("block", pa.int32()), ("depth", pa.int32()), ("rule", pa.string()), ("selector", pa.string()), ("media", pa.string()), ("property", pa.string()), ("value", pa.string()), ("urls", pa.list_(pa.string()))]
-#: Custom properties and font faces of a page.
-MOST_VARIABLES, MOST_FACES = 300, 50
 
 
 def url_target(token: str) -> str:
@@ -119,23 +117,16 @@ def sheet_declarations(sheets: DataFrame, key: str, css: str = "css") -> DataFra
 
 
 def custom_properties(rows: DataFrame, by: str) -> DataFrame:
-    """Custom properties of rules that stand in no other rule, the first value of a name: (by, name, value), some at most."""
+    """Custom properties of rules that stand in no other rule, the first value of a name: (by, name, value)."""
     own = rows.where((F.col("depth") == 1) & F.startswith("property", F.lit("--")) & (F.col("rule") == ""))
-    first = own.groupBy(by, F.col("property").alias("name")).agg(F.min_by("value", "seq").alias("value"), F.min("seq").alias("at"))
-    return _first_of(first, by, MOST_VARIABLES).select(by, "name", "value")
+    return own.groupBy(by, F.col("property").alias("name")).agg(F.min_by("value", "seq").alias("value"))
 
 
 def font_faces(rows: DataFrame, by: str) -> DataFrame:
-    """Font faces by their descriptors, each once: (by, family, weight, style), some at most."""
+    """Font faces by their descriptors, each once: (by, family, weight, style)."""
     of = lambda name, other: F.coalesce(F.max_by(F.when(F.col("property") == name, F.col("value")), F.when(F.col("property") == name, F.col("seq"))), F.lit(other))
-    blocks = rows.where("rule = 'font-face'").groupBy(by, "block").agg(of("font-family", "").alias("family"), of("font-weight", "normal").alias("weight"), of("font-style", "normal").alias("style"), F.min("seq").alias("at"))
-    plain = blocks.withColumn("family", F.regexp_replace("family", r"""^["']|["']$""", ""))
-    once = plain.groupBy(by, "family", "weight", "style").agg(F.min("at").alias("at"))
-    return _first_of(once, by, MOST_FACES).select(by, "family", "weight", "style")
-
-
-def _first_of(rows: DataFrame, by: str, most: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("at", *[c for c in rows.columns if c not in (by, "at")]))).where(F.col("_n") <= most)
+    blocks = rows.where("rule = 'font-face'").groupBy(by, "block").agg(of("font-family", "").alias("family"), of("font-weight", "normal").alias("weight"), of("font-style", "normal").alias("style"))
+    return blocks.select(by, F.regexp_replace("family", r"""^["']|["']$""", "").alias("family"), "weight", "style").distinct()
 
 
 def media_widths(rows: DataFrame, by: str) -> DataFrame:

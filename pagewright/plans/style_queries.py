@@ -47,10 +47,10 @@ def sheet_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "sheet_tokens",
-    f"""SELECT p_type AS site, count(DISTINCT {_BRAND}) + 1 AS n_variables, least(count(DISTINCT (p_brand, p_size)), {Y.MOST_FACES}) AS n_faces, list_sort(list(DISTINCT CAST(p_size * 10 AS INTEGER))) AS widths FROM part GROUP BY p_type""",
+    f"""SELECT p_type AS site, count(DISTINCT {_BRAND}) + 1 AS n_variables, count(DISTINCT (p_brand, p_size)) AS n_faces, list_sort(list(DISTINCT CAST(p_size * 10 AS INTEGER))) AS widths FROM part GROUP BY p_type""",
 )
 def sheet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Custom properties, font faces and widths of the sheets of each kind of part."""
+    """All custom properties, font faces and widths of the sheets of each kind of part."""
     sheets = part_sheets(spark, sf_dir).select(F.struct("p_partkey", F.col("p_type").alias("site")).alias("k"), "css")
     rows = Y.sheet_declarations(sheets, "k").where("startswith(property, '--') OR rule = 'font-face' OR media <> ''")
     numbers = {"site": F.col("k.site"), "seq": F.col("k.p_partkey") * 100 + F.col("seq"), "block": F.col("k.p_partkey") * 100 + F.col("block")}

@@ -45,3 +45,14 @@ def test_runs_give_plain_rows():
     run.init(State())
     assert [tuple(r) for r in run.handleInputRows((1, 0), iter([Row(profile="view"), Row(profile="x"), Row(profile="view")]), None)] == [(1, 0, "view", "captured")]
     assert [tuple(r) for r in run.handleExpiredTimer((1, 0), None, None)] == [(1, 0, "print", "skipped")]
+
+
+def test_sites_of_many_sheets_keep_all_properties_and_faces(spark, tmp_path):
+    """One kind of part has 400 brands, another one sheet; equal brands and sizes are one face."""
+    parts = [(k, f"Brand#{k % 400}", "MANY", k % 3 + 1) for k in range(1250)] + [(1250, "Brand#1", "ONE", 7)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = registry.queries()["sheet_tokens"](spark, str(tmp_path)).select("site", "n_variables", "n_faces", "widths")
+    want = con.execute(f"SELECT site, n_variables, n_faces, widths FROM ({registry.oracle_sql()['sheet_tokens']})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) == [("MANY", 401, 1200, [10, 20, 30]), ("ONE", 2, 1, [70])]
